@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("line_queries", "bpe_queries", "leak_queries", "residue_queries", "cap_queries", "pack_queries", "split_queries")
+_MODULES = ("line_queries", "bpe_queries", "leak_queries", "residue_queries", "pii_queries", "cap_queries", "pack_queries", "split_queries")
 
 
 def gather(what: str) -> dict:
