@@ -100,7 +100,7 @@ def boundary_smoothing(spark, d):
     e = _events(spark, d).withColumn("pos", F.row_number().over(w)).withColumn("end", F.coalesce(F.lead("sec").over(w), F.col("sec") + 1)).withColumnRenamed("sec", "start")
     e = e.withColumn("start_off", F.pmod("event_id", F.lit(7)) / 5 - 0.5).withColumn("end_off", F.pmod("event_id", F.lit(11)) / 8 - 0.6)
     r = W.smoothed_bounds(e, "user_id")
-    return r.select("event_id", F.round("d_start", 6).alias("d_start"), F.round("d_end", 6).alias("d_end"), F.round("center", 3).alias("center"))
+    return r.select("event_id", F.round("d_start", 6).alias("d_start"), F.round("d_end", 6).alias("d_end"), F.round("center", 6).alias("center"))
 
 
 def local_times(spark, d):
@@ -201,7 +201,7 @@ SQL = {
     "anticipation": _DU + " SELECT user_id, round(greatest(dur / 20 - 17, 0), 4) AS start, round(greatest(dur / 20 - 1, 0), 4) AS end FROM du",
     "boundary_smoothing": _E + """, p AS (SELECT *, coalesce(lead(sec) OVER w, sec + 1) en, event_id % 7 / 5 - 0.5 so, event_id % 11 / 8 - 0.6 eo, row_number() OVER w pos FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)),
 q AS (SELECT *, greatest(least(coalesce((so + lag(eo) OVER w) / 2, so), 0.5), -0.5) ds, greatest(least(coalesce((lead(so) OVER w + eo) / 2, eo), 0.5), -0.5) de FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos))
-SELECT event_id, round(ds, 6) AS d_start, round(de, 6) AS d_end, round(((sec + ds) + (en + de)) / 2, 3) AS center FROM q""",
+SELECT event_id, round(ds, 6) AS d_start, round(de, 6) AS d_end, round(((sec + ds) + (en + de)) / 2, 6) AS center FROM q""",
     "running_offset": "WITH s AS (SELECT record_id, seg_idx, max(coalesce(greatest(end_time - start_time, 0.0), 0.0)) l FROM segment_k2f GROUP BY 1, 2) SELECT record_id, seg_idx, round(coalesce(sum(l) OVER (PARTITION BY record_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS offset FROM s",
     "cumulative_max": _E + " SELECT event_id, max(sec) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS top FROM e",
     "batch_ranges": "WITH s AS (SELECT DISTINCT record_id, seg_idx FROM segment_k2f), b AS (SELECT *, CAST((row_number() OVER (PARTITION BY record_id ORDER BY seg_idx) - 1) // 4 AS INT) batch FROM s) SELECT record_id, batch, count(*) AS n, min(seg_idx) AS first FROM b GROUP BY 1, 2 HAVING count(*) = 4",
