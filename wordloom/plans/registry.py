@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("interval_queries", "text_queries", "time_queries", "record_queries", "vector_queries")
+_MODULES = ("interval_queries", "text_queries", "time_queries", "record_queries", "media_queries", "vector_queries")
 
 
 def gather(what: str) -> dict:
