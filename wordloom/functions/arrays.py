@@ -9,10 +9,16 @@ PAD, START, END, MASK, MASKAUDIO, AUDIOSPAN, LTOVPOOL, RESETCTX = 0, 1, 2, 3, 4,
 POINTER = "struct<tok:int,audio_ptr:int,text_ptr:int>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it: a lambda's
+    variable is evaluated, a repeated expression may be evaluated again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fit(a: Column, n: int | Column, pad: Column) -> Column:
     """The array cut or padded at its end to n elements; null stays null."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.slice(F.concat(a, F.array_repeat(pad, F.greatest(n - F.size(a), F.lit(0)))), F.lit(1), n)
+    return let(a, lambda x: F.slice(F.concat(x, F.array_repeat(pad, F.greatest(n - F.size(x), F.lit(0)))), F.lit(1), n))
 
 
 def fit_tokens(a: Column, n: int) -> Column:
@@ -40,8 +46,13 @@ def cumulative_max(a: Column) -> Column:
 
 def run_lengths_to_spans(flat: Column, lengths: Column) -> Column:
     """A flat array cut into consecutive parts of the given lengths."""
-    ends = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, x: s + x)
-    return F.transform(lengths, lambda n, i: F.slice(flat, ends(i) + 1, n))
+
+
+    def cut(t: Column, ns: Column) -> Column:
+        ends = lambda i: F.aggregate(F.slice(ns, F.lit(1), i), F.lit(0), lambda s, x: s + x)
+        return F.transform(ns, lambda n, i: F.slice(t, ends(i) + 1, n))
+
+    return let(flat, lambda t: let(lengths, lambda ns: cut(t, ns)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,8 +61,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column, eps: float = 1e-5) -> Column:
     """v over the root of its squared length plus eps, in doubles."""
-    d = v.cast("array<double>")
-    return F.transform(d, lambda x: x / F.sqrt(dot(d, d) + eps))
+    return let(v.cast("array<double>"), lambda d: let(F.sqrt(dot(d, d) + eps), lambda n: F.transform(d, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -60,13 +70,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    powers = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda n: F.transform(e, lambda x: x / n)))
 
 
 def log_softmax(a: Column) -> Column:
-    return F.transform(a, lambda x: x - logsumexp(a))
+    return let(logsumexp(a), lambda n: F.transform(a, lambda x: x - n))
 
 
 def logsumexp(a: Column) -> Column:

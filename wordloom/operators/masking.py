@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import AUDIOSPAN, END, MASK, MASKAUDIO, PAD, START, fit_tokens, pointer, run_lengths_to_spans
+from ..functions.arrays import AUDIOSPAN, END, MASK, MASKAUDIO, PAD, START, fit_tokens, let, pointer, run_lengths_to_spans
 
 # Fixed value: weights of span lengths 1..15 in text without audio.
 SPAN_WEIGHTS = (0.03233136, 0.05236081, 0.08763368, 0.11757072, 0.13737426, 0.13717706, 0.12541218, 0.10262764, 0.0771088, 0.05364242, 0.0342899, 0.0203823, 0.01177542, 0.00664939, 0.00366406)
@@ -44,10 +44,13 @@ def donate(lengths: Column, masked: Column, rightwards: bool) -> Column:
     """Lengths after each empty masked span took a token from an unmasked neighbour with
     two or more: from its right one, or (rightwards) from its left one."""
     step = -1 if rightwards else 1
-    at = lambda a, i: F.get(a, i)
-    needs = lambda i: F.coalesce(at(masked, i) & (at(lengths, i) == 0), F.lit(False))
-    gives = lambda i: F.coalesce(~at(masked, i) & (at(lengths, i) >= 2), F.lit(False))
-    return F.transform(lengths, lambda n, i: n + (needs(i) & gives(i + step)).cast("int") - (gives(i) & needs(i - step)).cast("int"))
+
+    def move(ns: Column) -> Column:
+        needs = lambda i: F.coalesce(F.get(masked, i) & (F.get(ns, i) == 0), F.lit(False))
+        gives = lambda i: F.coalesce(~F.get(masked, i) & (F.get(ns, i) >= 2), F.lit(False))
+        return F.transform(ns, lambda n, i: n + (needs(i) & gives(i + step)).cast("int") - (gives(i) & needs(i - step)).cast("int"))
+
+    return let(lengths, move)
 
 
 def reassign_empty(spans: Column, masked: Column, first_right: bool = False) -> Column:
@@ -108,6 +111,10 @@ def truncated(tokens: Column, size: int, score: Column | None = None) -> Column:
     most what lies before the first mask or audio span, from the end at most what lies
     after the last mask. What is still too long keeps its masks, then the segments (audio
     pointers) of greatest score, in order."""
+    return let(tokens, lambda t: _truncated(t, size, score))
+
+
+def _truncated(tokens: Column, size: int, score: Column | None) -> Column:
     is_mask = lambda t: (t["tok"] == MASK) | (t["tok"] == MASKAUDIO)
     n = F.size(tokens)
     over = F.greatest(n - size, F.lit(0))
@@ -120,9 +127,13 @@ def truncated(tokens: Column, size: int, score: Column | None = None) -> Column:
     cut = F.slice(tokens, front + 1, n - front - back)
     if score is None:
         return cut
-    want = F.transform(cut, lambda t, i: F.struct((~is_mask(t)).cast("int").alias("a"), (-F.coalesce(F.get(score, t["audio_ptr"]), F.lit(0.0))).alias("b"), i.alias("i")))
-    keep = F.transform(F.slice(F.array_sort(want), 1, size), lambda x: x["i"])
-    return F.when(F.size(cut) <= size, cut).otherwise(F.filter(cut, lambda t, i: F.array_contains(keep, i)))
+
+    def sampled(c: Column) -> Column:
+        want = F.transform(c, lambda t, i: F.struct((~is_mask(t)).cast("int").alias("a"), (-F.coalesce(F.get(score, t["audio_ptr"]), F.lit(0.0))).alias("b"), i.alias("i")))
+        keep = F.transform(F.slice(F.array_sort(want), 1, size), lambda x: x["i"])
+        return F.when(F.size(c) <= size, c).otherwise(let(keep, lambda k: F.filter(c, lambda t, i: F.array_contains(k, i))))
+
+    return let(cut, sampled)
 
 
 def valid_token(t: Column) -> Column:

@@ -11,6 +11,7 @@ from ..operators import evaluation as EV
 from ..operators import masking as M
 from ..operators import packing as P
 from ..operators import sampling as SA
+from ..operators.examples import build_examples
 from ..rand import uniform, uniform_sql
 from ..session import table
 
@@ -240,7 +241,15 @@ def sorted_index(spark, d):
     return s.select("_ids_fn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.regexp_extract("_ids_fn", r"(\d+)", 1).try_cast("int"), "_ids_fn")).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (pack_text_blocks, pack_text_counts, grouped_blocks, bin_pack_segments, packed_records, video_src_index, split_src_index, attention_visibility, token_stats, span_mask, masked_texts, audio_span_mask, truncated_masks, empty_span_repair, neighbour_flags, mask_growth, pseudo_spans, valid_tokens, header_tokens, qa_sequences, padded_subtitles, flattened_batches, display_tokens, gumbel_sample, uniform_sample, bernoulli_choice, submission_pivot, choice_expansion, object_naming, reference_names, nation_lookup, action_names, positional_zip, union_predictions, sorted_index)}
+def example_builder(spark, d):
+    """Sums and counts over the three views of each record."""
+    e = build_examples(table(spark, d, "segment_k2f"))
+    total = lambda c: F.aggregate(F.transform(c, lambda t: t["tok"].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    masks = lambda c: F.size(F.filter(c, lambda t: t["tok"] == A.MASK))
+    return e.select("record_id", *[x for c in ("text_to_audio", "audio_to_text", "matching") for x in (total(c).alias(f"{c}_sum"), masks(c).alias(f"{c}_masks"), F.size(c).alias(f"{c}_len"))], F.size(F.flatten("targets_a")).alias("tokens_a"), F.size(F.flatten("targets_b")).alias("tokens_b"))
+
+
+QUERIES = {f.__name__: f for f in (example_builder, pack_text_blocks, pack_text_counts, grouped_blocks, bin_pack_segments, packed_records, video_src_index, split_src_index, attention_visibility, token_stats, span_mask, masked_texts, audio_span_mask, truncated_masks, empty_span_repair, neighbour_flags, mask_growth, pseudo_spans, valid_tokens, header_tokens, qa_sequences, padded_subtitles, flattened_batches, display_tokens, gumbel_sample, uniform_sample, bernoulli_choice, submission_pivot, choice_expansion, object_naming, reference_names, nation_lookup, action_names, positional_zip, union_predictions, sorted_index)}
 _IDX = _S + ", f AS (SELECT *, row_number() OVER w = 1 OR youtube_id IS DISTINCT FROM lag(youtube_id) OVER w AS first_of_source FROM s WINDOW w AS (PARTITION BY record_id ORDER BY seg_idx)), i AS (SELECT record_id, seg_idx, first_of_source, CAST(sum(CAST(first_of_source AS INT)) OVER (PARTITION BY record_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS src_index FROM f)"
 _3 = _S + ", n AS (SELECT *, len(tok_ids) n, len(tok_ids) // 3 a, 2 * len(tok_ids) // 3 b FROM s WHERE len(tok_ids) > 0), sp AS (SELECT record_id, seg_idx, [tok_ids[1:a], tok_ids[a+1:b], tok_ids[b+1:n]] spans, [(seg_idx * 3) % 5 = 0, (seg_idx * 3 + 1) % 5 = 0, (seg_idx * 3 + 2) % 5 = 0] m FROM n)"
 _MASKED = _3 + ", t AS (SELECT record_id, seg_idx, CASE WHEN m[1] THEN [3] ELSE spans[1] END a, CASE WHEN m[2] THEN [3] ELSE spans[2] END b, CASE WHEN m[3] THEN [3] ELSE spans[3] END c, m FROM sp)"
