@@ -60,8 +60,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column, eps: float = 1e-5) -> Column:
-    """v over the root of its squared length plus eps, in doubles."""
-    return let(v.cast("array<double>"), lambda d: let(F.sqrt(dot(d, d) + eps), lambda n: F.transform(d, lambda x: x / n)))
+    """v over the root of its squared length plus eps, in doubles; nulls where that is 0."""
+    return let(v.cast("array<double>"), lambda d: let(F.sqrt(dot(d, d) + eps), lambda n: F.transform(d, lambda x: F.try_divide(x, n))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -51,7 +51,7 @@ def mean_pairwise_cosine(vectors: DataFrame, group: str, vector: str = "embeddin
     """(group, n, avg_cos): the mean over all pairs of a group, by (|sum u|^2 - n) / (n (n - 1))
     for exact unit vectors u; no pair is formed. Vectors without length are left out;
     groups of one have a null mean."""
-    parts = vectors.where(F.col(vector).isNotNull()).select(group, unit(F.col(vector), 0.0).alias("u")).where("u[0] is not null and not isnan(u[0])")
+    parts = vectors.where(F.col(vector).isNotNull()).select(group, unit(F.col(vector), 0.0).alias("u")).where("u[0] is not null")
     n = parts.groupBy(group).agg(F.count("*").alias("n"))
     total = parts.select(group, F.posexplode("u").alias("pos", "x")).groupBy(group, "pos").agg(F.sum("x").alias("s")).groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
     return n.join(total, group).select(group, "n", ((F.col("ss") - F.col("n")) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("avg_cos"))

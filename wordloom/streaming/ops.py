@@ -36,18 +36,19 @@ def packed_blocks(docs: DataFrame, shard: str, order: str, tokens: str, length:
     kind = docs.schema[shard].dataType.simpleString()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rest, made = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        # State holds no arrays: the rest is kept as text.
+        rest, made = ([int(x) for x in state.get[0].split()], state.get[1]) if state.exists else ([], 0)
         out = []
         pdf = pd.concat(list(parts)).sort_values(order)
         for t in pdf[tokens]:
-            rest += [START, *([] if t is None else t), END]
+            rest += [START, *([] if t is None else (int(x) for x in t)), END]
             while len(rest) >= length:
                 out.append((key[0], made, rest[:length]))
                 rest, made = rest[length:], made + 1
             if len(rest) <= length // 8:
                 rest = []
-        state.update((rest, made))
+        state.update((" ".join(map(str, rest)), made))
         yield pd.DataFrame(out, columns=[shard, "block_no", "block"])
 
     rows = docs.select(shard, order, F.col(tokens).cast("array<int>").alias(tokens))
-    return rows.groupBy(shard).applyInPandasWithState(run, f"`{shard}` {kind}, block_no int, block array<int>", "rest array<int>, made int", "append", "NoTimeout")
+    return rows.groupBy(shard).applyInPandasWithState(run, f"`{shard}` {kind}, block_no int, block array<int>", "rest string, made int", "append", "NoTimeout")
