@@ -282,6 +282,8 @@ SELECT shard, blocks, discarded, carried FROM r QUALIFY row_number() OVER (PARTI
     "submission_pivot": _S + ", r AS (SELECT record_id, seg_idx c, len(tok_ids) n, coalesce(playback_speed, 0) p FROM s WHERE seg_idx < 4) SELECT record_id, " + ", ".join(f"max(CASE WHEN c = 3 THEN n * {j + 1} / 100 END) AS answer_{j}" for j in range(4)) + ", " + ", ".join(f"max(CASE WHEN c = {i} THEN (p + {j + 1})::DOUBLE END) AS rationale_conditioned_on_a{i}_{j}" for i in range(4) for j in range(4)) + " FROM r GROUP BY 1",
     "choice_expansion": "WITH q AS (SELECT item_id, string_split(vid_name, '_')[1:4] c FROM eval_items) SELECT item_id, CAST(unnest(range(len(c))) AS INT) AS cond, unnest(c) AS choice FROM q",
     "object_naming": "WITH p AS (SELECT p_partkey % 200 AS grp, p_partkey, lower(split_part(p_type, ' ', -1)) k FROM part) SELECT grp, p_partkey, CASE WHEN count(*) OVER (PARTITION BY grp, k) = 1 THEN 'the ' || k ELSE upper(k[1:1]) || k[2:] || ' ' || row_number() OVER (PARTITION BY grp, k ORDER BY p_partkey) END AS obj_name FROM p",
+    "reference_names": "WITH p AS (SELECT p_partkey % 200 AS grp, p_partkey, lower(split_part(p_type, ' ', -1)) k FROM part), n AS (SELECT grp, p_partkey, CASE WHEN count(*) OVER (PARTITION BY grp, k) = 1 THEN 'the ' || k ELSE upper(k[1:1]) || k[2:] || ' ' || row_number() OVER (PARTITION BY grp, k ORDER BY p_partkey) END o FROM p) SELECT grp, array_to_string(list(o ORDER BY p_partkey)[1:2], ' and ') AS names FROM n GROUP BY 1",
+    "display_tokens": _3 + ", x AS (SELECT record_id, seg_idx, unnest([0, 1, 2]) k, unnest([CASE WHEN m[1] THEN 1 ELSE len(spans[1]) END, CASE WHEN m[2] THEN 1 ELSE len(spans[2]) END, CASE WHEN m[3] THEN 1 ELSE len(spans[3]) END]) n, unnest([m[1] OR list_contains(spans[1], 3), m[2] OR list_contains(spans[2], 3), m[3] OR list_contains(spans[3], 3)]) h FROM sp) SELECT record_id, seg_idx, CAST(k AS INT) AS audio_ptr, CAST(n AS BIGINT) AS n, CAST(h AS INT) AS has_mask FROM x WHERE n > 0",
     "nation_lookup": "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "action_names": "SELECT p_partkey, 'take the ' || array_to_string(list_reverse(string_split(lower(replace(p_name, ' ', ':')), ':')), ' ') AS action FROM part",
     "positional_zip": "WITH a AS (SELECT video_id, video_id[1:1] k, row_number() OVER (PARTITION BY video_id[1:1] ORDER BY video_id) n FROM (SELECT DISTINCT video_id FROM video_ids)), b AS (SELECT youtube_id, youtube_id[1:1] k, row_number() OVER (PARTITION BY youtube_id[1:1] ORDER BY youtube_id) n FROM (SELECT DISTINCT youtube_id FROM meta_info)) SELECT k, CAST(n AS INT) AS n, video_id, youtube_id FROM a JOIN b USING (k, n)",

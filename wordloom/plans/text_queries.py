@@ -83,9 +83,9 @@ def quality_reason(spark, d):
 
 def sampled_gate(spark, d):
     """The similarity gate applied to a tenth of the rows, chosen by hash."""
-    u = uniform(3, "youtube_id", "crawled_at")
-    m = table(spark, d, "meta_info").select("youtube_id", u.alias("u"), "_avg_cosine_sim").distinct()
-    return m.select("youtube_id", F.round("u", 9).alias("u"), ((F.col("u") > 0.9) & (F.col("_avg_cosine_sim") > 0.85)).alias("dropped"))
+    u = uniform(3, "youtube_id", "upload_date")
+    m = table(spark, d, "meta_info").select("youtube_id", "upload_date", u.alias("u"), "_avg_cosine_sim").distinct()
+    return m.select("youtube_id", F.round("u", 9).alias("u"), F.coalesce((F.col("u") > 0.9) & (F.col("_avg_cosine_sim") > 0.85), F.lit(False)).alias("dropped"))
 
 
 def source_whitelist_shard(spark, d):
@@ -193,6 +193,8 @@ SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'no_transcript' WHEN n_c
 WHEN len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) < 20 THEN 'word density too low' WHEN lang IS NULL OR lower(lang[1:2]) <> 'en' THEN 'maybe not english'
 WHEN NOT isnan(_avg_cosine_sim) AND _avg_cosine_sim > 0.9 THEN 'acs_too_high' WHEN NOT isnan(_num_coco_objects_expectation) AND _num_coco_objects_expectation < 0.9 THEN 'nco_too_low' END AS failreason
 FROM documents LEFT JOIN m USING (youtube_id)""",
+    "sampled_gate": f"WITH m AS (SELECT DISTINCT youtube_id, upload_date, {uniform_sql(3, 'youtube_id', 'upload_date')} u, _avg_cosine_sim c FROM meta_info) SELECT youtube_id, round(u, 9) AS u, coalesce(u > 0.9 AND c > 0.85, false) AS dropped FROM m",
+    "string_codes": "WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(source, ''))), '..'), lambda h: CAST('0x' || h AS INT)) c FROM documents) SELECT doc_id, list_concat(c, list_transform(range(0, greatest(0, 24 - len(c))), lambda z: CAST(0 AS INT)))[1:24] AS codes FROM s",
     "source_whitelist_shard": "SELECT doc_id, doc_kind FROM documents WHERE doc_kind IN ('transcript', 'article', 'qa') AND doc_id % 4 = 1",
     "vocab_topk_ties": _WORDS + ", n AS (SELECT word, count(*) n FROM w GROUP BY 1), r AS (SELECT word, n, CAST(rank() OVER (ORDER BY n DESC) AS INT) AS rank FROM n) SELECT * FROM r WHERE rank <= 200",
     "answer_frequency": "SELECT lower(doc_kind) AS kind, coalesce(lower(lang), '') AS lang, count(*) AS n FROM documents GROUP BY 1, 2",

@@ -202,6 +202,10 @@ SQL = {
     "boundary_smoothing": _E + """, p AS (SELECT *, coalesce(lead(sec) OVER w, sec + 1) en, event_id % 7 / 5 - 0.5 so, event_id % 11 / 8 - 0.6 eo, row_number() OVER w pos FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)),
 q AS (SELECT *, greatest(least(coalesce((so + lag(eo) OVER w) / 2, so), 0.5), -0.5) ds, greatest(least(coalesce((lead(so) OVER w + eo) / 2, eo), 0.5), -0.5) de FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos))
 SELECT event_id, round(ds, 6) AS d_start, round(de, 6) AS d_end, round(((sec + ds) + (en + de)) / 2, 6) AS center FROM q""",
+    "expanded_segments": _DU + ", s AS (SELECT user_id, (dur / 50 + (o - 0.5) * 5.0) a, (dur / 50 + (o + 0.5) * 5.0) b FROM du, (VALUES (0), (-1), (1), (-2), (2), (-3), (3)) t(o)) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS INT) AS k, round(a, 3) AS start, round(b, 3) AS end FROM s WHERE a >= 0",
+    "local_times": "WITH s AS (SELECT DISTINCT record_id, seg_idx, start_time, playback_speed p, CAST(tok_start_times[-1] AS DOUBLE) t FROM segment_k2f WHERE start_time IS NOT NULL AND len(tok_start_times) > 0) SELECT DISTINCT record_id, seg_idx, round(start_time + p * t, 3) AS last_global, round((start_time + p * t - start_time) / p, 3) AS last_local FROM s",
+    "spectrogram_widths": "SELECT DISTINCT playback_speed, CAST(floor(22050 * 5.0::DOUBLE * playback_speed / (588 * playback_speed)) AS INT) + 1 AS width, 1536 * playback_speed AS fft_window, 588 * playback_speed AS hop FROM segment_k2f",
+    "audio_placement": "WITH s AS (SELECT DISTINCT seg_idx, [(seg_idx + 1) * 3 % 17 + 1, (seg_idx + 1) * 5 % 17 + 1, (seg_idx + 1) * 7 % 17 + 1, (seg_idx + 1) * 11 % 17 + 1] u FROM segment_k2f) SELECT seg_idx, list_transform([0, 1, 2], lambda i: CAST(floor(8 * list_sum(u[1:i + 1])::DOUBLE / list_sum(u)) + i * 60 AS INT)) AS starts FROM s",
     "running_offset": "WITH s AS (SELECT record_id, seg_idx, max(coalesce(greatest(end_time - start_time, 0.0), 0.0)) l FROM segment_k2f GROUP BY 1, 2) SELECT record_id, seg_idx, round(coalesce(sum(l) OVER (PARTITION BY record_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS offset FROM s",
     "cumulative_max": _E + " SELECT event_id, max(sec) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS top FROM e",
     "batch_ranges": "WITH s AS (SELECT DISTINCT record_id, seg_idx FROM segment_k2f), b AS (SELECT *, CAST((row_number() OVER (PARTITION BY record_id ORDER BY seg_idx) - 1) // 4 AS INT) batch FROM s) SELECT record_id, batch, count(*) AS n, min(seg_idx) AS first FROM b GROUP BY 1, 2 HAVING count(*) = 4",
