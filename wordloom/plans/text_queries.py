@@ -140,7 +140,8 @@ def processed_ids(spark, d):
 
 def kl_divergence(spark, d):
     """Divergence of each language's word lengths from all documents'."""
-    w = _words(spark, d).join(_docs(spark, d).select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang")), "doc_id").withColumn("len", F.least(F.length("word"), F.lit(20)))
+    rows = _docs(spark, d).where("text is not null").withColumn("lang", F.coalesce("lang", F.lit("?")))
+    w = W.words_of(rows, "lang", "text").withColumn("len", F.least(F.length("word"), F.lit(20)))
     p = w.groupBy("lang", "len").agg(F.count("*").alias("n"))
     p = p.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     q = p.groupBy("len").agg(F.sum("n").alias("m"))
