@@ -34,6 +34,8 @@ def test_agrees_on_documents(pair, spark):
     own, library = pair
     for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist():
         assert own.encode(t) == (library(t) if t else [])
+        assert own.decode(own.encode(t)) == (t or "")
+    assert own.decode(None) == "" and own.decode([10**9]) == ""
 
 
 def test_rows(spark):

@@ -42,11 +42,13 @@ class Encoder:
     def __init__(self, text: str | bytes):
         model = json.loads(text)["model"]
         ids = model["vocab"]
-        self.byte_ids = [ids[c] for c in byte_letters()]
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        self.byte_ids = [ids[c] for c in letters]
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        self.bytes = {i: bytes(letters[c] for c in t) for t, i in ids.items() if all(c in letters for c in t)}
         self.cut = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
 
@@ -121,6 +123,10 @@ class Encoder:
                 out += ids
         return out
 
+    def decode(self, ids: list[int] | None) -> str:
+        """The text of ids; ids that aren't in the vocabulary give nothing."""
+        return b"".join(self.bytes.get(i, b"") for i in ids or []).decode("utf-8", "replace")
+
 
 _encoders: dict[str, Encoder] = {}
 
