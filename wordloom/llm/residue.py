@@ -16,6 +16,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ CONTAINED = 0.8
 COVERED = 0.8
 #: Terms in more than this share of the documents retrieve nothing.
 COMMON = 0.05
-#: All terms of a filler exemplar of at most so many terms retrieve it.
-SHORT = 8
+#: A filler exemplar of at most SHORT terms is also retrieved by its terms in up to OFTEN of
+#: the documents, since its words may be everyday ones.
+SHORT, OFTEN = 8, 0.25
 #: Terms of a window, and the step between windows of a long passage.
 WINDOW, STEP = 32, 16
 
@@ -139,7 +141,8 @@ _MISSING = {"null", "undefined", "none", "nan"}
 _BLOCK = re.compile(r"</?(?:html|body|head|div|p|h\d|li|ul|ol|br|tr|td|table|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<\|[^|\n]*\|>|\d\d:\d\d:\d\d\.\d{3}|-->|&[a-z]+;")
 _CUT = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
-_TERM = re.compile(r"\ue000|\ue001|[^\W_]*\d[^\W_]*|[^\W\d_]+")
+_TERM = re.compile(r"[^\W_]+|[\ue000\ue001]")
+_ACCENT = re.compile("[\u0300-\u036f]+")
 _QUOTES = "\"'`\u201c\u201d\u2018\u2019"
 _QUICK = re.compile(r"[\[\]{}<>$%@|]|__|\(\(")
 
@@ -167,23 +170,25 @@ def _placeholders(text: str) -> str:
     return _LIKELY.sub(likely, text)
 
 
+_SPECIAL = {"\ue000": "ph", "\ue001": "nullv"} | dict.fromkeys(_MISSING, "nullv")
+
+
 def _term(w: str) -> str:
-    if w == "\ue000":
-        return "ph"
-    if w == "\ue001" or w in _MISSING:
-        return "nullv"
-    return w
+    return _SPECIAL.get(w, w)
 
 
 def passages(text: str) -> Iterator[list[str]]:
     """The terms of each window of a text, in order: words in lower case without accents;
     numbers and ids give none."""
-    text = _placeholders(unicodedata.normalize("NFKC", text))
-    text = _TAG.sub(" ", _BLOCK.sub("\n", text)).lower()
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    text = _placeholders(text)
+    if "<" in text:
+        text = _BLOCK.sub("\n", text)
+    text = _TAG.sub(" ", text).lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = _ACCENT.sub("", unicodedata.normalize("NFD", text))
     for part in _CUT.split(text):
-        terms = [_term(w) for w in _TERM.findall(part) if not any(c.isdigit() for c in w)]
+        terms = [_SPECIAL.get(w, w) for w in _TERM.findall(part) if w.isalpha() or w in _SPECIAL]
         if not terms:
             continue
         if len(terms) <= WINDOW + STEP:
@@ -205,8 +210,10 @@ class Index:
         self.total = [sum(self.weight[t] for t in s) for _, s in self.sets]
         self.postings: dict[str, list[int]] = defaultdict(list)
         for e, (_, s) in enumerate(self.sets):
-            short = self.sets[e][0] == "filler" and len(s) <= SHORT
-            for t in s if short else s & self.telling or s:
+            own = s & self.telling
+            if self.sets[e][0] == "filler" and len(s) <= SHORT:
+                own = own | {t for t in s if counts.get(t, 0) <= OFTEN * documents}
+            for t in own or s:
                 self.postings[t].append(e)
         self.frame = frozenset(t for label, s in self.sets if label == "frame" for t in s)
         self.keys = frozenset(self.postings)
@@ -228,17 +235,19 @@ class Index:
         return frozenset(out)
 
     def is_residue(self, text: str | None) -> bool:
-        whole, page, hit = 0.0, 0.0, False
+        page, rest, hit = [], [], False
         for terms in passages(text or ""):
             labels = self.labels(tuple(terms)) if not self.keys.isdisjoint(terms) else ()
             if "residue" in labels and "talk" not in labels:
                 return True
-            size = sum(self.weight.get(t, self.other) for t in terms)
-            whole += size
-            if labels and not labels <= {"talk", "residue"}:
-                page += size
-                hit = hit or bool(labels & {"filler", "script", "error"})
-        return hit and page >= COVERED * whole
+            covered = bool(labels) and not labels <= {"talk", "residue"}
+            (page if covered else rest).append(terms)
+            hit = hit or covered and bool(labels & {"filler", "script", "error"})
+        if not hit:
+            return False
+        size = lambda windows: sum(self.weight.get(t, self.other) for w in windows for t in w)
+        mine = size(page)
+        return mine >= COVERED * (mine + size(rest))
 
 
 def find_residue(documents: DataFrame) -> DataFrame:
@@ -251,7 +260,7 @@ def find_residue(documents: DataFrame) -> DataFrame:
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(1).to_pylist():
-                seen.update(terms.intersection(*[{w for p in passages(t) for w in p}]))
+                seen.update(terms.intersection(chain.from_iterable(passages(t))))
                 seen[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
