@@ -3,7 +3,8 @@
 An entity's intervals are sorted by start, each start is compared with the running
 maximum of the ends before it, and the starts that lie beyond it open islands that are
 labelled cumulatively. One entity may own a third of all rows, so no window ever spans
-an entity: rows are windowed by (entity, time bucket), and what an earlier bucket
+an entity: intervals are reduced to the greatest end of each start, windowed by (entity,
+time bucket), whose rows the bucket's width bounds, and what an earlier bucket
 hands on (its greatest end, its number of islands) goes through a summary of one row a
 bucket.
 """
@@ -54,8 +55,9 @@ def island_starts(df: DataFrame, entity: Sequence[str], start: str, end: str, bu
     """
     keys = [f"_k{i}" for i in range(len(entity))]
     rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(entity, keys)], F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{end}`").cast("bigint").alias("e"))
-    rows = rows.where("e > s").withColumn("b", F.floor(F.col("s") / bucket))
-    inner = Window.partitionBy(*keys, "b").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a start: a bucket then has at most as many rows as it has starts.
+    rows = rows.where("e > s").groupBy(*keys, F.floor(F.col("s") / bucket).alias("b"), "s").agg(F.max("e").alias("e"))
+    inner = Window.partitionBy(*keys, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("seen", F.max("e").over(inner)).where("seen is null or s > seen")
     reach = rows.groupBy(*keys, "b").agg(F.max("e").alias("top"))
     past = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

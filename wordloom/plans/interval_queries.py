@@ -15,8 +15,8 @@ words AS (
   SELECT youtube_id, s + p * CAST(round_even(CAST(a[i] AS DOUBLE) * 1000, 0) AS BIGINT) s, s + p * CAST(round_even(CAST(b[i] AS DOUBLE) * 1000, 0) AS BIGINT) e
   FROM (SELECT youtube_id, s, p, a, b, unnest(range(1, 1 + least(len(a), len(b)))) i FROM good)),
 iv AS (
-  SELECT youtube_id, 'segment' time_level, s, e FROM good
-  UNION ALL SELECT youtube_id, 'token', s, e FROM words WHERE e > s),
+  SELECT DISTINCT youtube_id, 'segment' time_level, s, e FROM good
+  UNION ALL SELECT DISTINCT youtube_id, 'token', s, e FROM words WHERE e > s),
 run AS (
   SELECT *, max(e) OVER (PARTITION BY youtube_id, time_level ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM iv)
 """
