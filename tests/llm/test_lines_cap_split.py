@@ -102,6 +102,14 @@ def test_share_levels_against_brute_force(spark, counts, share):
     assert kept == want
 
 
+def test_both_rankings_agree(spark):
+    data = [("abc"[i % 7 % 3], i, float(i * 31 % 17)) for i in range(600)] + [(None, i, 1.0) for i in range(5)]
+    df = spark.createDataFrame(data, "c string, i int, q double")
+    best = [F.desc("q"), F.asc("i")]
+    for level in (1, 60, 599):
+        assert rows(cap.cap_contributors(df, "c", best, level, few=0)) == rows(cap.cap_contributors(df, "c", best, level))
+
+
 def test_capped_videos(spark):
     nan = float("nan")
     m = meta(spark, [(f"v{i}", "c", v, q, None, T0) for i, (q, v) in enumerate([(nan, 9.0), (None, 9.0), (0.5, -1.0), (0.5, None), (0.5, 0.0), (0.7, 1.0), (-1.0, 1.0), (0.5, 0.0), (0.1, nan)])])

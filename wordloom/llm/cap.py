@@ -14,8 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .crawl import latest_crawl
+
 #: Parts into which a contributor's records are split for the first ranking.
 SALTS = 64
+#: The largest level for which the second ranking takes the best of all salted groups.
+FEW = 10_000
 
 
 def water_level(df: DataFrame, contributor: str, max_count: int | None, max_share: float | None) -> int | None:
@@ -54,22 +59,42 @@ def water_level(df: DataFrame, contributor: str, max_count: int | None, max_shar
     return min((x for x in (solved, max_count) if x is not None), default=None)
 
 
-def cap_contributors(df: DataFrame, contributor: str, best: Sequence[Column], max_count: int | None = None, max_share: float | None = None, salts: int = SALTS) -> DataFrame:
+def ranks(df: DataFrame, contributor: str, best: Sequence[Column]) -> DataFrame:
+    """df with each record's rank in its contributor, whatever its size: rows are sorted by
+    ranges, so that a large contributor lies in many partitions, ranked within each, and
+    moved on by what the contributor has in the partitions before."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    # Stored, so that rank and count see the same ranges.
+    rows = cut(df.repartitionByRange(parts, F.asc(contributor), *best).withColumn("_part", F.spark_partition_id()))
+    count = rows.groupBy("_part", contributor).agg(F.count("*").alias("_n"))
+    past = Window.partitionBy(contributor).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    count = count.select(F.col("_part").alias("_p"), F.col(contributor).alias("_c"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+    near = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_part", contributor).orderBy(*best)))
+    far = near.join(count, (F.col("_part") == F.col("_p")) & (F.col(contributor) == F.col("_c")))
+    return far.select(*df.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+
+
+def cap_contributors(df: DataFrame, contributor: str, best: Sequence[Column], max_count: int | None = None, max_share: float | None = None, salts: int = SALTS, few: int = FEW) -> DataFrame:
     """df with the column kept: false for the records a contributor must give up.
 
     best orders a contributor's records, the best first; it should end in a unique key,
-    else ties are broken arbitrarily. Records without contributor (null) are all kept.
+    else ties are broken arbitrarily. Records without contributor (null) are all kept. Up
+    to a level of `few`, salted groups are ranked first and only their best ones again;
+    beyond it, ranks come from sorted ranges. Both give the same.
     """
     level = water_level(df, contributor, max_count, max_share)
     if level is None:
         return df.withColumn("kept", F.lit(True))
-    named = df.where(F.col(contributor).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != contributor]), F.lit(salts)))
-    near = named.withColumn("_near", F.row_number().over(Window.partitionBy(contributor, "_salt").orderBy(*best)))
+    named = df.where(F.col(contributor).isNotNull())
+    free = df.where(F.col(contributor).isNull()).withColumn("kept", F.lit(True))
+    if level > few:
+        out = ranks(named, contributor, best)
+        return out.select(*df.columns, (F.col("_rank") <= level).alias("kept")).unionByName(free)
+    near = named.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != contributor]), F.lit(salts)))
+    near = near.withColumn("_near", F.row_number().over(Window.partitionBy(contributor, "_salt").orderBy(*best)))
     lost = near.where(F.col("_near") > level).select(*df.columns, F.lit(False).alias("kept"))
     far = near.where(F.col("_near") <= level).withColumn("_far", F.row_number().over(Window.partitionBy(contributor).orderBy(*best)))
-    rest = far.select(*df.columns, (F.col("_far") <= level).alias("kept"))
-    free = df.where(F.col(contributor).isNull()).withColumn("kept", F.lit(True))
-    return rest.unionByName(lost).unionByName(free)
+    return far.select(*df.columns, (F.col("_far") <= level).alias("kept")).unionByName(lost).unionByName(free)
 
 
 def ranked_videos(meta: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -77,16 +102,10 @@ def ranked_videos(meta: DataFrame) -> tuple[DataFrame, list[Column]]:
     then views, both from the greatest, then youtube_id. A null or NaN expectation and a
     null, NaN or negative view_count rank behind all others."""
     number = lambda c: F.when(~F.isnan(c), F.col(c))
-    rows = latest(meta).select("youtube_id", "channel", number("_num_coco_objects_expectation").alias("quality"), F.when(number("view_count") >= 0, F.col("view_count")).alias("views"))
+    rows = latest_crawl(meta, "_num_coco_objects_expectation", "view_count").select("youtube_id", "channel", number("_num_coco_objects_expectation").alias("quality"), F.when(number("view_count") >= 0, F.col("view_count")).alias("views"))
     return rows, [F.desc_nulls_last("quality"), F.desc_nulls_last("views"), F.asc("youtube_id")]
 
 
-def latest(meta: DataFrame) -> DataFrame:
-    from .crawl import latest_crawl
-
-    return latest_crawl(meta, "_num_coco_objects_expectation", "view_count")
-
-
 def capped_videos(meta: DataFrame, max_count: int | None = 8, max_share: float | None = None) -> DataFrame:
     """(youtube_id, channel, quality, views, kept) of every video of the crawl."""
     rows, best = ranked_videos(meta)
