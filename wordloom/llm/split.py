@@ -49,7 +49,10 @@ def joined_channels(segments: DataFrame, meta: DataFrame) -> DataFrame:
 
 def place(weights: np.ndarray, need: np.ndarray) -> np.ndarray:
     """The split of each group. weights: one row a group, first its rows, then its rows by
-    label; need: one row a split, what it still lacks of each. need is changed."""
+    label; need: one row a split, what it still lacks of each. need is changed. Of the
+    splits that have room for a group's rows, the one that needs its label most gets it,
+    so that labels never push a split beyond its share of rows; without room anywhere,
+    the one that lacks the most rows."""
     split = np.full(len(weights), -1)
     open_ = weights[:, 1:].sum(axis=0)
     order = np.argsort(-weights[:, 0], kind="stable")
@@ -64,9 +67,13 @@ def place(weights: np.ndarray, need: np.ndarray) -> np.ndarray:
         label = int(np.flatnonzero(open_ > 0)[np.argmin(open_[open_ > 0])])
         for g in columns[label]:
             if split[g] < 0:
-                want = need[:, 1 + label]
-                best = np.flatnonzero(want >= want.max() - 1e-9)
-                put(g, int(best[np.argmax(need[best, 0])]))
+                room = np.flatnonzero(need[:, 0] >= weights[g, 0])
+                if len(room):
+                    want = need[room, 1 + label]
+                    room = room[want >= want.max() - 1e-9]
+                    put(g, int(room[np.argmax(need[room, 0])]))
+                else:
+                    put(g, int(np.argmax(need[:, 0])))
         open_[label] = 0
     for g in order:
         if split[g] < 0:
