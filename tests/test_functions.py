@@ -23,6 +23,15 @@ def test_spelling(text, want):
     assert T.spell_text(text) == want
 
 
+@pytest.mark.parametrize("text", ["Café – naïve", "plain", "", None, "日本", "Ünïcödé"])
+def test_repair(text):
+    broken = text and text.encode().decode("cp1252", "replace")
+    assert T.repair(text) == text
+    if broken is not None and "\ufffd" not in broken:
+        assert T.repair(broken) == text
+    assert T.name_emoji("a\U0001f600b") == "a[grinningface]b" and T.name_emoji(None) is None
+
+
 def test_spelled_numbers_in_spark(spark):
     assert [r[0] for r in spark.createDataFrame([("5:07",), (None,)], "t string").select(T.spelled_numbers("t")).collect()] == ["five oh seven", None]
 

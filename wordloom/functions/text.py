@@ -15,12 +15,44 @@ MARKUP = r"<p>|<strong>|><p>|<br>|<em>|<span>|\[unreadable\]"
 RUNS = "-$%&'+,./:;?!@[]\\_’\"="
 SPELLED = {"&": " and ", "/": " slash ", "@": " at ", "\\": " backslash ", "+": " plus ", "%": " percent ", "=": " equals "}
 BLANKED = "()<>{}[]^_|~-"
-BAD_WORDS_IN_DESCRIPTION = ("#", "http", "@", "www")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 URL = r"""(?i)\b(?:https?://|www\d{0,3}[.]|[a-z0-9\-]++(?:[.][a-z0-9\-]++)*+(?<=[.][a-z]{2,4})/)(?:[^\s()<>]|\([^\s()<>]*+\))*(?:[^\s()<>`!\[\]{};:'".,?«»“”‘’]|\([^\s()<>]*+\))"""
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
 
 
+_BROKEN = re.compile("[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u2122]")
+_EMOJI = re.compile("[\U0001f300-\U0001faff\u2600-\u27bf]\ufe0f?")
+
+
+def repair(t: str | None) -> str | None:
+    """A text whose UTF-8 was read as Windows-1252, once or twice, read again; others and
+    those that can't be read again stay."""
+    for _ in range(2):
+        if t is None or not _BROKEN.search(t):
+            return t
+        try:
+            raw = b"".join(c.encode("cp1252") if c not in "\x81\x8d\x8f\x90\x9d" else c.encode("latin-1") for c in t)
+            t = raw.decode("utf-8")
+        except UnicodeError:
+            return t
+    return t
+
+
+def name_emoji(t: str | None) -> str | None:
+    """Emoji as their names in brackets, without blanks."""
+    return t and _EMOJI.sub(lambda m: "[" + unicodedata.name(m[0][0], "emoji").lower().replace(" ", "") + "]", t)
+
+
+@F.pandas_udf(StringType())
+def repaired_text(s: pd.Series) -> pd.Series:
+    return s.map(repair)
+
+
+@F.pandas_udf(StringType())
+def named_emoji(s: pd.Series) -> pd.Series:
+    return s.map(name_emoji)
+
+
 def fold_table() -> tuple[str, str]:
     """Letters with marks and their plain letters, for translate(), by decomposition."""
     a, b = [], []

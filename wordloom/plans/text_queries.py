@@ -73,6 +73,10 @@ def spelled_numbers(spark, d):
     return _docs(spark, d).where("text is not null").select("doc_id", T.spelled_numbers(F.col("text")).alias("spelled"))
 
 
+def repaired_texts(spark, d):
+    return _docs(spark, d).where("text is not null").select("doc_id", T.named_emoji(T.repaired_text("text")).alias("repaired"))
+
+
 def quality_reason(spark, d):
     """The crawl's gates on documents joined with their video's latest crawl."""
     meta = table(spark, d, "meta_info").groupBy("youtube_id").agg(F.max(F.struct("crawled_at", "categories", "_avg_cosine_sim", "_num_coco_objects_expectation")).alias("m"))
@@ -178,7 +182,7 @@ def split_chunks(spark, d):
     return rn.select("doc_id", F.least(F.floor(F.col("rn") / size), F.lit(6)).cast("int").alias("part"))
 
 
-QUERIES = {f.__name__: f for f in (clean_text, clean_description, normalise_words, word_features, token_quality, clean_subtitle_words, desc_token_filter, spelled_numbers, quality_reason, sampled_gate, source_whitelist_shard, vocab_topk_ties, answer_frequency, dedup_random_survivor, sha_keys, string_codes, source_colours, infill_template, anti_join_resume, processed_ids, kl_divergence, span_length_stats, clock_functions, qa_ids, split_chunks)}
+QUERIES = {f.__name__: f for f in (clean_text, clean_description, normalise_words, word_features, token_quality, clean_subtitle_words, desc_token_filter, spelled_numbers, repaired_texts, quality_reason, sampled_gate, source_whitelist_shard, vocab_topk_ties, answer_frequency, dedup_random_survivor, sha_keys, string_codes, source_colours, infill_template, anti_join_resume, processed_ids, kl_divergence, span_length_stats, clock_functions, qa_ids, split_chunks)}
 
 _UP = "({0} = upper({0}) AND {0} <> lower({0}))"
 _LAG = "coalesce(lag({0}) OVER w, {1}) AS {0}_left, coalesce(lead({0}) OVER w, {1}) AS {0}_right"
