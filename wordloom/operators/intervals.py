@@ -46,6 +46,14 @@ def merged_array(intervals: Column) -> Column:
     return F.aggregate(F.array_sort(intervals), zero, step, done)
 
 
+def _reduced(df: DataFrame, entity: Sequence[str], start: str, end: str, bucket: int) -> DataFrame:
+    """(_k0.., b, s, e): of each entity's start the greatest end, with its bucket. One row a
+    start: a bucket then has at most as many rows as it has starts."""
+    keys = [f"_k{i}" for i in range(len(entity))]
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(entity, keys)], F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{end}`").cast("bigint").alias("e"))
+    return rows.where("e > s").groupBy(*keys, F.floor(F.col("s") / bucket).alias("b"), "s").agg(F.max("e").alias("e"))
+
+
 def island_starts(df: DataFrame, entity: Sequence[str], start: str, end: str, bucket: int = BUCKET_MS) -> DataFrame:
     """(entity..., s, before, b): the rows that open an island, with the greatest end
     before them (null for an entity's first) and their bucket. Needs integer times.
@@ -54,9 +62,7 @@ def island_starts(df: DataFrame, entity: Sequence[str], start: str, end: str, bu
     entity. Columns other than these may have any name; they are not read.
     """
     keys = [f"_k{i}" for i in range(len(entity))]
-    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(entity, keys)], F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{end}`").cast("bigint").alias("e"))
-    # One row a start: a bucket then has at most as many rows as it has starts.
-    rows = rows.where("e > s").groupBy(*keys, F.floor(F.col("s") / bucket).alias("b"), "s").agg(F.max("e").alias("e"))
+    rows = _reduced(df, entity, start, end, bucket)
     inner = Window.partitionBy(*keys, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("seen", F.max("e").over(inner)).where("seen is null or s > seen")
     reach = rows.groupBy(*keys, "b").agg(F.max("e").alias("top"))
@@ -94,8 +100,7 @@ def periods(df: DataFrame, entity: Sequence[str], start: str, end: str, bucket:
     ends = labelled.where("before is not null").select(*keys, (F.col("label") - 1).alias("label"), F.lit(None).cast("bigint").alias("s"), F.col("before").alias("e"))
     # The last island ends at the entity's greatest end.
     count = labelled.groupBy(*keys).agg(F.max("label").alias("label"))
-    rows = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(entity, keys)], F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{end}`").cast("bigint").alias("e"))
-    top = rows.where("e > s").groupBy(*[F.col(k).alias(f"r{k}") for k in keys]).agg(F.max("e").alias("e"))
+    top = _reduced(df, entity, start, end, bucket).groupBy(*[F.col(k).alias(f"r{k}") for k in keys]).agg(F.max("e").alias("e"))
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).eqNullSafe(F.col(f"r{k}"))
