@@ -60,7 +60,15 @@ def stream_copies(spark, d):
     return _run(spark, ST.without_copies(s, "at", ["record_id", "seg_idx"], "3650 days").select("record_id", "seg_idx"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (caption_words, caption_density, align_words, offset_network, stream_copies)}
+def stream_day_counts(spark, d):
+    """Events of a stream by type and day, for the days that the last event has closed."""
+    path = f"{d}/events.parquet"
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*").where("ts is not null").withColumn("at", F.col("ts").cast("timestamp"))
+    r = _run(spark, ST.windowed_counts(s, "at", ["event_type"], "1 day", "0 seconds"), "days")
+    return r.select(F.unix_seconds("start").alias("day_start"), "event_type", "n")
+
+
+QUERIES = {f.__name__: f for f in (stream_day_counts, caption_words, caption_density, align_words, offset_network, stream_copies)}
 _CUES = rf"""WITH d AS (SELECT doc_id, regexp_replace(replace(text, chr(13), ''), '(^|\n)({_CLOCK}) --> ({_CLOCK})[^\n]*', chr(10) || chr(1) || '\2' || chr(2) || '\3' || chr(2), 'g') t FROM documents WHERE starts_with(text, 'WEBVTT') AND contains(text, ' --> ')),
 c AS (SELECT doc_id, unnest(string_split(t, chr(1))[2:]) c, unnest(range(len(string_split(t, chr(1))) - 1)) k FROM d),
 p AS (SELECT doc_id, k, string_split(c, chr(2))[1] a, string_split(c, chr(2))[2] b, list_filter(regexp_split_to_array(regexp_replace(string_split(c, chr(2))[3], '<[^\n]*?>', '', 'g'), '[ \n]+'), lambda w: w <> '') w FROM c),
@@ -70,5 +78,6 @@ r AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, i)
 SQL = {
     "caption_words": _CUES + " SELECT doc_id, pos, word, round(st, 3) AS start, round(en, 3) AS end FROM r",
     "caption_density": _CUES + ", b AS (SELECT doc_id, CAST(floor(st / 30.0) AS BIGINT) b, count(*) n FROM r GROUP BY 1, 2), l AS (SELECT doc_id, unnest(range(0, max(b) + 1)) AS bin FROM b GROUP BY 1) SELECT l.doc_id, bin, coalesce(n, 0) AS n FROM l LEFT JOIN b ON l.doc_id = b.doc_id AND l.bin = b.b",
+    "stream_day_counts": "WITH e AS (SELECT date_trunc('day', ts) d, event_type FROM events WHERE ts IS NOT NULL) SELECT CAST(epoch(d) AS BIGINT) AS day_start, event_type, count(*) AS n FROM e WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2",
     "stream_copies": "SELECT DISTINCT record_id, seg_idx FROM segment_k2f",
 }
