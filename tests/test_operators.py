@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators import align, captions, evaluation, examples, intervals, masking, packing, quality, sampling, vectors, words
 from wordloom.operators import segments as S
+from wordloom.operators.running import running
 
 
 def rows(df):
@@ -69,6 +70,23 @@ def test_nearest_span(spark):
     assert rows(r.select("pos", "nearest", "assigned")) == [(0, 0, 0), (1, 2, 2), (2, 0, 2)]
 
 
+@pytest.mark.parametrize("kind", ["max", "min", "sum"])
+def test_running(spark, kind):
+    r = random.Random(6)
+    data = [(k, i, r.choice([None, *range(-9, 9)])) for k in ("a", "b", None) for i in r.sample(range(-50, 300), 60)]
+    df = spark.createDataFrame(data, "k string, pos int, v int")
+    fold = {"max": max, "min": min, "sum": sum}[kind]
+    want = []
+    for k in ("a", "b", None):
+        seen = []
+        for _, i, v in sorted((x for x in data if x[0] == k), key=lambda x: x[1]):
+            seen += [v] if v is not None else []
+            want.append((k, i, fold(seen) if seen else None))
+    for width in (1, 7, 1000):
+        assert rows(running(df, ["k"], "pos", F.col("v"), "out", kind, width).select("k", "pos", "out")) == sorted(want, key=str)
+    assert running(df.limit(0), ["k"], "pos", F.col("v"), "out", kind).count() == 0
+
+
 def test_word_gates(spark):
     w = spark.createDataFrame([(1, 0, "HELLO,"), (1, 1, "I"), (1, 2, "am"), (1, 3, "A B"), (2, 0, "x")], "d int, pos int, word string")
     q = {r.d: r for r in words.token_quality(w.where("word <> 'A B'").unionByName(spark.createDataFrame([(1, 3, "ABC")], w.schema)), "d").collect()}

@@ -6,9 +6,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def assign_to_intervals(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, closed: str = "left", width: float = 60.0, how: str = "inner") -> DataFrame:
     """Points joined with the intervals of their key that hold them: [start, end) or, with
@@ -31,8 +33,7 @@ def nearest_span_monotone(words: DataFrame, spans: Column, key: str, pos: str =
     first of equals, then made monotone by a running maximum over the key's words."""
     d = F.transform(spans, lambda s: F.abs(s - F.col(centroid)))
     near = words.withColumn("nearest", F.array_position(d, F.array_min(d)).cast("int") - 1)
-    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return near.withColumn("assigned", F.max("nearest").over(w))
+    return running(near, [key], pos, F.col("nearest"), "assigned")
 
 
 def snapped_frame(t: Column, last: Column, rate: int = 3) -> Column:

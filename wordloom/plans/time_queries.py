@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import segments as S
 from ..operators import words as W
+from ..operators.running import running
 from ..session import table
 
 
@@ -127,8 +128,7 @@ def running_offset(spark, d):
 
 def cumulative_max(spark, d):
     e = _events(spark, d)
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.max("sec").over(w).alias("top"))
+    return running(e, ["user_id"], "event_id", F.col("sec"), "top", width=1000).select("event_id", "top")
 
 
 def batch_ranges(spark, d):
