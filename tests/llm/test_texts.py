@@ -68,6 +68,16 @@ def test_residue(spark):
     assert residue.find_residue(d.limit(0)).count() == 0
 
 
+PLAIN = [f"Sentence about the {w} kiln and the copper lamp that we like on this page, to view and read." for w in ["warm", "cold"] * 100]
+PAGES = ["Please enable JavaScript to continue", "Lorem ipsum dolor sit amet", "This video is unavailable", "Error 404\nPage not found\nBack to start page", "Captions could not be loaded. Reload the player and try again."]
+
+
+def test_residue_whose_page_is_a_third_of_the_rows(spark):
+    for page in PAGES:
+        d = docs(spark, [(1000 + i, t) for i, t in enumerate(PLAIN + ["Skip to main content\nReturn to the home page"])] + [(i, page) for i in range(100)])
+        assert [x[0] for x in rows(residue.find_residue(d))] == list(range(100)), page
+
+
 def test_tagger_on_held_out_lines():
     model = pii.default_model()
     data = [pii._lines_of(p) for p in pii_training.lines(800, 77)]

@@ -1,12 +1,13 @@
 """Template residue, filler, error pages and script notices.
 
 Labelled exemplars are kept in an inverted index from terms to exemplars. A document is
-cut into passage windows; a window's terms retrieve the exemplars that share a telling
-term, and TF-IDF containment decides: of an exemplar in the window for residue and for
-talk about such things (the other words of the window are free), of the window in an
-exemplar for pages that are filler, an error or a notice as a whole. A document is a
-case if one window holds residue that is not merely talked about, or if such pages cover
-nearly all of its weight. Document frequencies are counted over all documents.
+cut into passage windows; a window's terms retrieve the exemplars, and TF-IDF containment
+decides: of an exemplar in the window for residue and for talk about such things (the
+other words of the window are free), of the window in an exemplar for pages that are
+filler, an error or a notice as a whole. Only exemplars that cannot reach the share are
+passed over, however frequent their terms are. A document is a case if one window holds
+residue that is not merely talked about, or if such pages cover nearly all of its weight.
+Document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 CONTAINED = 0.8
 #: Share of a document's weight that filler, errors and notices must cover.
 COVERED = 0.8
-#: Terms in more than this share of the documents retrieve nothing.
-COMMON = 0.05
-#: A filler exemplar of at most SHORT terms is also retrieved by its terms in up to OFTEN of
-#: the documents, since its words may be everyday ones.
+#: A filler exemplar of at most SHORT terms is retrieved by its terms in up to OFTEN of the
+#: documents.
 SHORT, OFTEN = 8, 0.25
 #: Terms of a window, and the step between windows of a long passage.
 WINDOW, STEP = 32, 16
@@ -206,38 +205,54 @@ class Index:
         vocabulary = sorted({t for _, s in self.sets for t in s})
         self.weight = {t: 1 + float(np.log((1 + documents) / (1 + counts.get(t, 0)))) for t in vocabulary}
         self.other = float(np.mean(list(self.weight.values())))
-        self.telling = frozenset(t for t in vocabulary if counts.get(t, 0) <= COMMON * documents)
         self.total = [sum(self.weight[t] for t in s) for _, s in self.sets]
+        self.frame = frozenset(t for label, s in self.sets if label == "frame" for t in s)
+        self.pages = [e for e, (label, _) in enumerate(self.sets) if label not in ("residue", "talk")]
+        # Residue and talk: without one of these terms, less than CONTAINED is left of the exemplar.
         self.postings: dict[str, list[int]] = defaultdict(list)
-        for e, (_, s) in enumerate(self.sets):
-            own = s & self.telling
-            if self.sets[e][0] == "filler" and len(s) <= SHORT:
-                own = own | {t for t in s if counts.get(t, 0) <= OFTEN * documents}
-            for t in own or s:
+        for e, (label, s) in enumerate(self.sets):
+            left = self.total[e] if label in ("residue", "talk") else 0
+            for t in sorted(s, key=lambda t: (-self.weight[t], t)):
+                if left < (CONTAINED - 1e-6) * self.total[e]:
+                    break
                 self.postings[t].append(e)
-        self.frame = frozenset(t for label, s in self.sets if label == "frame" for t in s)
+                left -= self.weight[t]
+        # Pages: below 0 in sum, less than CONTAINED of the window stands in all pages together.
+        self.worth = {t: (1 - CONTAINED) * self.weight[t] for e in self.pages for t in self.sets[e][1]}
+        for t in self.weight.keys() - self.worth.keys():
+            self.worth[t] = -CONTAINED * self.weight[t]
+        self.rare = {e: frozenset(t for t in s if counts.get(t, 0) <= OFTEN * documents) or s for e, (label, s) in enumerate(self.sets) if label == "filler" and len(s) <= SHORT}
         self.keys = frozenset(self.postings)
         self.labels = lru_cache(50_000)(self._labels)
 
+    def may_be_page(self, terms: list[str] | tuple[str, ...]) -> bool:
+        worth, other = self.worth, -CONTAINED * self.other
+        return sum([worth.get(t, other) for t in terms]) >= -1e-6
+
     def _labels(self, terms: tuple[str, ...]) -> frozenset[str]:
         """The labels of the exemplars that the window contains or is contained in."""
         count = Counter(terms)
         own, out = count.keys(), set()
-        size = sum(n * self.weight.get(t, self.other) for t, n in count.items())
         for e in {e for t in own & self.keys for e in self.postings[t]}:
             label, s = self.sets[e]
-            if label in ("residue", "talk"):
-                part = sum(self.weight[t] for t in s if t in own) / self.total[e]
-            else:
-                part = sum(n * self.weight[t] for t, n in count.items() if t in s or t in self.frame) / size
-            if part >= CONTAINED:
+            if sum(self.weight[t] for t in s if t in own) / self.total[e] >= CONTAINED:
+                out.add(label)
+        if not self.may_be_page(terms):
+            return frozenset(out)
+        size = sum(n * self.weight.get(t, self.other) for t, n in count.items())
+        part = lambda s: sum(n * self.weight[t] for t, n in count.items() if t in s) / size
+        framed = any(part(s) >= CONTAINED for label, s in self.sets if label == "frame")
+        for e in self.pages:
+            label, s = self.sets[e]
+            # A window that is a frame's is another page's only by that page's own words.
+            if not self.rare.get(e, s).isdisjoint(own) and part(s if framed else s | self.frame) >= CONTAINED:
                 out.add(label)
         return frozenset(out)
 
     def is_residue(self, text: str | None) -> bool:
         page, rest, hit = [], [], False
         for terms in passages(text or ""):
-            labels = self.labels(tuple(terms)) if not self.keys.isdisjoint(terms) else ()
+            labels = self.labels(tuple(terms)) if not self.keys.isdisjoint(terms) or self.may_be_page(terms) else ()
             if "residue" in labels and "talk" not in labels:
                 return True
             covered = bool(labels) and not labels <= {"talk", "residue"}
