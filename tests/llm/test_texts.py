@@ -78,6 +78,12 @@ def test_residue_whose_page_is_a_third_of_the_rows(spark):
         assert [x[0] for x in rows(residue.find_residue(d))] == list(range(100)), page
 
 
+def test_short_filler_that_is_a_third_of_the_rows(spark):
+    for page in ["Test. Test. 1 2 3", "Text.\nSample", "foo foo"]:
+        d = docs(spark, [(1000 + i, t) for i, t in enumerate(PLAIN)] + [(i, page) for i in range(100)])
+        assert [x[0] for x in rows(residue.find_residue(d))] == list(range(100)), page
+
+
 def test_tagger_on_held_out_lines():
     model = pii.default_model()
     data = [pii._lines_of(p) for p in pii_training.lines(800, 77)]

@@ -28,9 +28,6 @@ from pyspark.sql import functions as F
 CONTAINED = 0.8
 #: Share of a document's weight that filler, errors and notices must cover.
 COVERED = 0.8
-#: A filler exemplar of at most SHORT terms is retrieved by its terms in up to OFTEN of the
-#: documents.
-SHORT, OFTEN = 8, 0.25
 #: Terms of a window, and the step between windows of a long passage.
 WINDOW, STEP = 32, 16
 
@@ -221,7 +218,6 @@ class Index:
         self.worth = {t: (1 - CONTAINED) * self.weight[t] for e in self.pages for t in self.sets[e][1]}
         for t in self.weight.keys() - self.worth.keys():
             self.worth[t] = -CONTAINED * self.weight[t]
-        self.rare = {e: frozenset(t for t in s if counts.get(t, 0) <= OFTEN * documents) or s for e, (label, s) in enumerate(self.sets) if label == "filler" and len(s) <= SHORT}
         self.keys = frozenset(self.postings)
         self.labels = lru_cache(50_000)(self._labels)
 
@@ -245,7 +241,7 @@ class Index:
         for e in self.pages:
             label, s = self.sets[e]
             # A window that is a frame's is another page's only by that page's own words.
-            if not self.rare.get(e, s).isdisjoint(own) and part(s if framed else s | self.frame) >= CONTAINED:
+            if not s.isdisjoint(own) and part(s if framed else s | self.frame) >= CONTAINED:
                 out.add(label)
         return frozenset(out)
 
