@@ -84,6 +84,20 @@ def test_short_filler_that_is_a_third_of_the_rows(spark):
         assert [x[0] for x in rows(residue.find_residue(d))] == list(range(100)), page
 
 
+HOLES = ["Songs by [artist] for you.", "We meet at {venue} today.", "Our %event% starts soon.", "Only in $store$ today.", "A talk from __show__ for you.", "A kiln {{ " + "very_" * 20 + "long }} here.", "A kiln [insert " + "a long and winding note about the loom " * 3 + "] here.", 'Now see our video "{{title}}" and the loom.', "Views: undefined\nA warm kiln.", "Posted by null. A warm kiln.", "Hello undefined, we fire the kiln."]
+WHOLE = ["The soil has a low ph and the loom nullv is warm.", "A sign \ue000 of the private area.", "So [laughs] we met [inaudible] by [inaudible] there.", 'The template writes "{{title}}" where the loom goes.', "Known issues: none.", "It was hosted by Ann in the old mill.", "A line \\textbf{bold} and <strong>warm</strong>, import {kiln} too."]
+
+
+def test_placeholders_of_any_name_length_and_quotes(spark):
+    d = docs(spark, [(i, t) for i, t in enumerate(HOLES)] + [(100 + i, t) for i, t in enumerate(WHOLE)] + [(1000 + i, t) for i, t in enumerate(PLAIN)])
+    assert [x[0] for x in rows(residue.find_residue(d))] == list(range(len(HOLES)))
+
+
+def test_missing_values_in_a_third_of_the_rows(spark):
+    d = docs(spark, [(i, "Duration: NaN minutes. A kiln.") for i in range(100)] + [(100 + i, t) for i, t in enumerate(WHOLE)] + [(1000 + i, t) for i, t in enumerate(PLAIN)])
+    assert [x[0] for x in rows(residue.find_residue(d))] == list(range(100))
+
+
 def test_tagger_on_held_out_lines():
     model = pii.default_model()
     data = [pii._lines_of(p) for p in pii_training.lines(800, 77)]

@@ -1,6 +1,7 @@
 """Template residue, filler, error pages and script notices.
 
-Labelled exemplars are kept in an inverted index from terms to exemplars. A document is
+Patterns turn placeholders and unfilled fields into terms of their own; what they mean in a
+window is left to the exemplars. Labelled exemplars are kept in an inverted index from terms to exemplars. A document is
 cut into passage windows; a window's terms retrieve the exemplars, and TF-IDF containment
 decides: of an exemplar in the window for residue and for talk about such things (the
 other words of the window are free), of the window in an exemplar for pages that are
@@ -33,17 +34,21 @@ WINDOW, STEP = 32, 16
 
 # Labelled exemplars. Residue and talk are matched by their own words, which
 # must stand in the window; a bar parts alternatives of the other kinds, whose windows
-# must consist of the exemplar's words. "ph" stands for a placeholder, "nullv" for a
-# missing value, "0" for numbers (without weight).
+# must consist of the exemplar's words. <ph> stands for a placeholder, <quoted> for one in
+# quotation marks, <missing> for a missing value, <field> for one that fills a field; no
+# text gives such a term.
 EXEMPLARS: dict[str, list[str]] = {
     "residue": [
-        "ph",
-        "duration nullv minutes",
-        "hosted by nullv",
-        "rated nullv of",
+        "<ph>",
+        "<field>",
+        "duration <missing> minutes",
+        "hosted by <missing>",
+        "rated <missing> of",
         "todo write intro about",
         "description goes here your name",
     ],
+    "quoted": ["<quoted>"],
+    "code": "template templates templating placeholder placeholders variable variables syntax code python sql string strings replaced swapped substituted".split(),
     "talk": [
         "lesson page templates explain why swapped real value",
         "template language replaced real value before page",
@@ -93,7 +98,7 @@ EXEMPLARS: dict[str, list[str]] = {
         "service unavailable in your region",
         "not found the page you asked for could not be found",
         "connection to database failed timeout after ms",
-        "page clip video channel playlist transcript caption file account recording service connection refused stack overflow null pointer out of memory read timed out at line nullv",
+        "page clip video channel playlist transcript caption file account recording service connection refused stack overflow null pointer out of memory read timed out at line <missing>",
         "your session has expired sign in again to continue",
         "our site we the server has have no answer been down for maintenance run into a problem come back try again refresh later soon in a few minutes",
         "page introuvable erreur veuillez reessayer plus tard",
@@ -123,50 +128,70 @@ EXEMPLARS: dict[str, list[str]] = {
         "go back",
     ],
 }
-# Names of fields that make a bracketed word a placeholder.
+# Names of fields that make a word in any brackets a placeholder. Other names
+# do so in braces, dollar and percent signs, with a dot or underscore in them, or after a
+# word that a value must follow; notes of captions, HTML and Python names are none.
 FIELDS = "author channel company city date description duration email episode first_name guest guest_name host image item item_label item.label language last_name link name price product speaker subject tags title topic url user user.name user_name username video_title year".split()
+NOTES = "applause bleep cheering crosstalk foreign inaudible indiscernible laughing laughs laughter music noise redacted sic silence unintelligible".split()
+MARKUP = "abbr article aside body button cite code del div font footer head header html img input ins label main mark nav pre section small span strong style sub sup table tbody thead video".split()
 
 _FIELD = r"[A-Za-z]+(?:[._][A-Za-z]+)*"
 _SURE = re.compile(
-    r"\{%[^%\n]{1,80}%\}|<%=?[^%>\n]{1,60}%>|\{\{\{?[^{}\n]{1,40}\}\}\}?|[$#]\{[^{}\n]{1,40}\}|%%[\w.]{2,40}%%|@@[\w.]{2,40}@@|\[\s*(?:insert|your)\b[^\[\]\n]{0,60}\]",
+    r"\{%[^%\n]+%\}|<%=?[^%>\n]+%>|\{\{\{?[^{}\n]+\}\}\}?|[$#]\{[^{}\n]+\}|%%[\w.]{2,}%%|@@[\w.]{2,}@@|\[\s*(?:insert|your)\b[^\[\]\n]*\]",
     re.I,
 )
 _LIKELY = re.compile(rf"\{{({_FIELD})\}}|\$({_FIELD})\$|__({_FIELD})__|(?<!<)\|({_FIELD})\||\(\(({_FIELD})\)\)|<({_FIELD})>|\[({_FIELD})\]|%({_FIELD})%")
+_AWAITS = re.compile(r"(?i)\b(?:by|from|at|with|our|your|dear|hi|hello)\s+[\"'`\u201c\u2018]?$")
+_CODE = re.compile(r"(?:[\w\\$=(:]|\b(?:import|export|const|let|var)\s+)$")
+# A field's name and colon, a participle and "by", or a greeting before a missing value; "none" may be a value.
+_UNFILLED = re.compile(r"(?im)((?:^|[.!?;|]\s+)[^\W\d_]+(?:[ _][^\W\d_]+){0,2}:\s*|\b\w+ed by\s+|\b(?:hi|hello|dear|welcome|welcome back),?\s+)(?:null|undefined|nan|\ue001)(?=\s*(?:[.,;!|]|$))")
 _OBJECT = re.compile(r"\[object object\]", re.I)
 _MISSING = {"null", "undefined", "none", "nan"}
 _BLOCK = re.compile(r"</?(?:html|body|head|div|p|h\d|li|ul|ol|br|tr|td|table|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<\|[^|\n]*\|>|\d\d:\d\d:\d\d\.\d{3}|-->|&[a-z]+;")
 _CUT = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
-_TERM = re.compile(r"[^\W_]+|[\ue000\ue001]")
+_TERM = re.compile(r"[^\W_]+|[\ue000-\ue003]")
 _ACCENT = re.compile("[\u0300-\u036f]+")
 _QUOTES = "\"'`\u201c\u201d\u2018\u2019"
+_ABSENT = re.compile("(?i)null|undefined|nan|\ue001")
 _QUICK = re.compile(r"[\[\]{}<>$%@|]|__|\(\(")
 
 
 def _mark(text: str, m: re.Match, out: str) -> str:
     before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-    return " " if before and after and before in _QUOTES and after in _QUOTES else f" {out} "
+    return " \ue002 " if before and after and before in _QUOTES and after in _QUOTES else f" {out} "
 
 
 def _placeholders(text: str) -> str:
-    """The text with U+E000 for placeholders and U+E001 for [object Object]; those that
-    stand in quotation marks are talked about and vanish."""
-    if not _QUICK.search(text):
-        return text
-    low = text.lower()
-
-    def likely(m: re.Match) -> str:
-        name = next(g for g in m.groups() if g).lower()
-        if name not in FIELDS or (m.group(0)[0] == "<" and f"</{name}>" in low):
-            return m.group(0)
-        return _mark(m.string, m, "\ue000")
-
-    text = _OBJECT.sub(" \ue001 ", text)
-    text = _SURE.sub(lambda m: _mark(m.string, m, "\ue000" if not re.match(r"\[\s*your\b.*\bgoes here", m.group(0), re.I) else "\ue000 " + m.group(0)[1:-1]), text)
-    return _LIKELY.sub(likely, text)
-
-
-_SPECIAL = {"\ue000": "ph", "\ue001": "nullv"} | dict.fromkeys(_MISSING, "nullv")
+    """The text with U+E000 for placeholders, U+E002 for those in quotation marks, U+E001 for
+    [object Object] and U+E003 for missing values that fill a field."""
+    if _QUICK.search(text):
+        low = text.lower()
+
+        def likely(m: re.Match) -> str:
+            name, sign = next(g for g in m.groups() if g).lower(), m.group(0)[0]
+            before = m.string[max(0, m.start() - 20) : m.start()]
+            if sign == "<" and f"</{name}>" in low:
+                return m.group(0)
+            if name not in FIELDS:
+                named = "_" in name or "." in name
+                if len(name) < 3 or name in NOTES or (sign == "<" and name in MARKUP):
+                    return m.group(0)
+                if sign in "{$%":
+                    if _CODE.search(before) or (sign == "%" and m.group(0).isupper()):
+                        return m.group(0)
+                elif not named and not _AWAITS.search(before):
+                    return m.group(0)
+            return _mark(m.string, m, "\ue000")
+
+        text = _OBJECT.sub(" \ue001 ", text)
+        text = _SURE.sub(lambda m: _mark(m.string, m, "\ue000" if not re.match(r"\[\s*your\b.*\bgoes here", m.group(0), re.I) else "\ue000 " + m.group(0)[1:-1]), text)
+        text = _LIKELY.sub(likely, text)
+    return _UNFILLED.sub("\\1 \ue003 ", text) if _ABSENT.search(text) else text
+
+
+_SPECIAL = {"\ue000": "<ph>", "\ue001": "<missing>", "\ue002": "<quoted>", "\ue003": "<field>"} | dict.fromkeys(_MISSING, "<missing>")
+_MARKS = re.compile("[\ue000-\ue003]")
 
 
 def _term(w: str) -> str:
@@ -176,7 +201,7 @@ def _term(w: str) -> str:
 def passages(text: str) -> Iterator[list[str]]:
     """The terms of each window of a text, in order: words in lower case without accents;
     numbers and ids give none."""
-    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    text = text if text.isascii() else unicodedata.normalize("NFKC", _MARKS.sub(" ", text))
     text = _placeholders(text)
     if "<" in text:
         text = _BLOCK.sub("\n", text)
@@ -194,6 +219,10 @@ def passages(text: str) -> Iterator[list[str]]:
                 yield terms[i : i + WINDOW]
 
 
+#: Labels whose exemplars must stand in the window.
+INSIDE = frozenset({"residue", "quoted", "code", "talk"})
+
+
 class Index:
     """The inverted index of the exemplars, weighted by inverse document frequency."""
 
@@ -204,11 +233,11 @@ class Index:
         self.other = float(np.mean(list(self.weight.values())))
         self.total = [sum(self.weight[t] for t in s) for _, s in self.sets]
         self.frame = frozenset(t for label, s in self.sets if label == "frame" for t in s)
-        self.pages = [e for e, (label, _) in enumerate(self.sets) if label not in ("residue", "talk")]
+        self.pages = [e for e, (label, _) in enumerate(self.sets) if label not in INSIDE]
         # Residue and talk: without one of these terms, less than CONTAINED is left of the exemplar.
         self.postings: dict[str, list[int]] = defaultdict(list)
         for e, (label, s) in enumerate(self.sets):
-            left = self.total[e] if label in ("residue", "talk") else 0
+            left = self.total[e] if label in INSIDE else 0
             for t in sorted(s, key=lambda t: (-self.weight[t], t)):
                 if left < (CONTAINED - 1e-6) * self.total[e]:
                     break
@@ -231,7 +260,8 @@ class Index:
         own, out = count.keys(), set()
         for e in {e for t in own & self.keys for e in self.postings[t]}:
             label, s = self.sets[e]
-            if sum(self.weight[t] for t in s if t in own) / self.total[e] >= CONTAINED:
+            # However frequent they are, placeholders and missing values must stand there themselves.
+            if own >= {t for t in s if t[0] == "<"} and sum(self.weight[t] for t in s if t in own) / self.total[e] >= CONTAINED:
                 out.add(label)
         if not self.may_be_page(terms):
             return frozenset(out)
@@ -248,10 +278,10 @@ class Index:
     def is_residue(self, text: str | None) -> bool:
         page, rest, hit = [], [], False
         for terms in passages(text or ""):
-            labels = self.labels(tuple(terms)) if not self.keys.isdisjoint(terms) or self.may_be_page(terms) else ()
-            if "residue" in labels and "talk" not in labels:
+            labels = self.labels(tuple(terms)) if not self.keys.isdisjoint(terms) or self.may_be_page(terms) else frozenset()
+            if "talk" not in labels and ("residue" in labels or ("quoted" in labels and "code" not in labels)):
                 return True
-            covered = bool(labels) and not labels <= {"talk", "residue"}
+            covered = not labels <= INSIDE
             (page if covered else rest).append(terms)
             hit = hit or covered and bool(labels & {"filler", "script", "error"})
         if not hit:
