@@ -130,6 +130,14 @@ def test_personal_lines(spark):
     assert pii.personal_lines(df.limit(0)).count() == 0
 
 
+def test_long_lines_are_one_chain():
+    model = pii.default_model()
+    for lead in range(394, 404):
+        line = "kiln " * lead + ". Presented by Dr. Marcus Kormarkins, call +44 7700 900716 now"
+        (found,) = pii.spans(model, [line])
+        assert [(line[a:b], kind) for _, a, b, kind in found] == [("Dr. Marcus Kormarkins", "N"), ("+44 7700 900716", "P")], lead
+
+
 def test_blanks_of_no_width_keep_places():
     line = "Mail\xa0me: ​ann.lee@post.example"
     (found,) = pii.spans(pii.default_model(), [line])

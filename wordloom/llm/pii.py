@@ -34,8 +34,6 @@ REACH = 3
 ROUNDS = 3
 #: Tokens whose scores a worker keeps.
 REMEMBERED = 60_000
-#: Tokens of a line that are worked on at once; longer lines are cut there.
-LONGEST = 400
 _L = len(LABELS)
 
 _DASH = "\\-\u2010\u2011\u2012\u2013"
@@ -360,8 +358,8 @@ def spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, str]
         for k, line in enumerate(text.split("\n")):
             flat, keep = even(line)
             toks = tokenize(flat)
-            for i in range(0, len(toks), LONGEST):
-                lines.append(toks[i : i + LONGEST])
+            if toks:
+                lines.append(toks)
                 back.append((k, keep, flat))
         tokens.append(lines)
         maps.append(back)
