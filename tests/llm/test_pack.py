@@ -53,6 +53,15 @@ def test_every_item_once(spark):
     assert {(g["record_id"], g["n_parts"]) for g in got if g["record_id"] == 902} == {(902, 4)}
 
 
+def test_null_keys_and_differing_copies(spark):
+    budget = spark.createDataFrame([("tok_ids", 8), ("random_text", 8)], "stream_name string, capacity int")
+    rows = [(None, 1, [20] * 3, None), (None, 1, [20] * 3, None), (None, None, [20] * 4, None), (2, None, [20] * 5, None)]
+    rows += [(1, 1, [20] * 6, [20] * 2), (1, 1, [20] * 2, [20] * 20), (1, 1, [20] * 2, [20] * 20)]
+    rows += [(3, 1, None, [20] * 11), (3, 1, None, [1] * 8 + [20] * 6)]
+    got = sorted((g["stream_name"], g["n_tokens"]) for g in pack.pack_segments(frame(spark, rows), budget).collect())
+    assert got == [("random_text", n) for n in (4, 6, 8, 8, 8)] + [("tok_ids", n) for n in (3, 3, 4, 5, 6)]
+
+
 def test_empty(spark):
     budget = spark.createDataFrame([("tok_ids", 64)], "stream_name string, capacity int")
     assert pack.pack_segments(frame(spark, []), budget).count() == 0

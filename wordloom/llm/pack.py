@@ -84,10 +84,12 @@ def length_without_padding(tokens: Column) -> Column:
 
 
 def items(segments: DataFrame, budget: DataFrame) -> DataFrame:
-    """(record_id, seg_idx, stream_name, capacity, part, n_parts, n_tokens, n_loss).
+    """(record_id, seg_idx, _lone, stream_name, capacity, part, n_parts, n_tokens, n_loss).
 
     A row of segments is one item of each stream that has tokens besides padding; rows
-    delivered again (equal record_id and seg_idx) count once. An item longer than the
+    delivered again (equal record_id and seg_idx) count once, of different arrays the
+    longest of each stream for itself. Rows with a null in record_id or seg_idx name no
+    segment and are items of their own, each with its number in _lone (else null). An item longer than the
     capacity is cut into full parts and a rest. Streams without a positive capacity in
     budget are not packed; of several, the greatest counts.
     """
@@ -105,17 +107,21 @@ def items(segments: DataFrame, budget: DataFrame) -> DataFrame:
     if not known:
         known = {"tok_ids": 1}
         segments = segments.limit(0)
-    rows = segments.select("record_id", "seg_idx", F.struct(*[parts(s, c).alias(s) for s, c in known.items()]).alias("x"))
-    rows = rows.groupBy("record_id", "seg_idx").agg(F.max("x").alias("x"))
-    each = [F.struct(F.lit(s).alias("stream_name"), F.lit(int(c)).alias("capacity"), F.col(f"x.{s}").alias("parts")) for s, c in known.items()]
-    rows = rows.select("record_id", "seg_idx", F.explode(F.array(*each)).alias("y")).where("y.parts is not null")
-    rows = rows.select("record_id", "seg_idx", "y.stream_name", "y.capacity", F.size("y.parts").alias("n_parts"), F.explode("y.parts").alias("p"))
-    return rows.select("record_id", "seg_idx", "stream_name", "capacity", "n_parts", "p.part", "p.n_tokens", "p.n_loss")
+    rows = segments.select("record_id", "seg_idx", *[parts(s, c).alias(f"_{s}") for s, c in known.items()])
+    # Rows without a whole key are told apart by a number of their own.
+    lone = F.when(F.col("record_id").isNull() | F.col("seg_idx").isNull(), F.monotonically_increasing_id())
+    # Parts are compared by how many tokens they hold in all before anything else.
+    longest = lambda s: F.max(F.when(F.col(f"_{s}").isNotNull(), F.struct(F.size(f"_{s}"), F.element_at(f"_{s}", -1)["n_tokens"], F.col(f"_{s}").alias("parts"))))["parts"]
+    rows = rows.groupBy("record_id", "seg_idx", lone.alias("_lone")).agg(*[longest(s).alias(f"_{s}") for s in known])
+    each = [F.struct(F.lit(s).alias("stream_name"), F.lit(int(c)).alias("capacity"), F.col(f"_{s}").alias("parts")) for s, c in known.items()]
+    rows = rows.select("record_id", "seg_idx", "_lone", F.explode(F.array(*each)).alias("y")).where("y.parts is not null")
+    rows = rows.select("record_id", "seg_idx", "_lone", "y.stream_name", "y.capacity", F.size("y.parts").alias("n_parts"), F.explode("y.parts").alias("p"))
+    return rows.select("record_id", "seg_idx", "_lone", "stream_name", "capacity", "n_parts", "p.part", "p.n_tokens", "p.n_loss")
 
 
 def pack_segments(segments: DataFrame, budget: DataFrame, max_segments: int = MAX_SEGMENTS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Every item's container: stream_name, shard and container_no name a container.
     Each stream is packed for itself, each item (each part of a cut one) placed once."""
     shards = max(1, math.ceil(segments.count() / shard_items))
-    rows = items(segments, budget).withColumn("shard", F.pmod(F.xxhash64("record_id", "seg_idx"), F.lit(shards)).cast("int"))
+    rows = items(segments, budget).withColumn("shard", F.pmod(F.xxhash64("record_id", "seg_idx", "_lone"), F.lit(shards)).cast("int"))
     return rows.groupBy("stream_name", "shard").applyInPandas(lambda pdf: pack_shard(pdf, max_segments), PLACED)

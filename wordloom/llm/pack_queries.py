@@ -14,7 +14,7 @@ def _packed(spark, d):
 
 def p2_found(spark, d):
     """The items that were cut: each has one part with number 1."""
-    return _packed(spark, d).where("part = 1").select("record_id", "seg_idx", "stream_name")
+    return _packed(spark, d).where("part = 1").select("record_id", "seg_idx", "stream_name").distinct()
 
 
 def p2_placements(spark, d):
