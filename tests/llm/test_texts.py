@@ -4,6 +4,8 @@ import numpy as np
 
 from wordloom.llm import leaks, pii, pii_training, residue
 
+from . import residue_texts
+
 DOC = "doc_id bigint, text string, item_id string, ids string, row int, t string, v string"
 ITEM = "item_id bigint, text string, doc_id int"
 
@@ -142,3 +144,23 @@ def test_blanks_of_no_width_keep_places():
     line = "Mail\xa0me: ​ann.lee@post.example"
     (found,) = pii.spans(pii.default_model(), [line])
     assert pii.replaced(line, found) == "Mail\xa0me: ​[EMAIL]"
+
+
+def test_residue_on_held_out_texts(spark):
+    sets = {**{k: (v, True) for k, v in residue_texts.residue().items()}, **{k: (v, False) for k, v in residue_texts.clean().items()}}
+    assert all(len(v) >= 200 for v, _ in sets.values())
+    every = [(k, t) for k, (v, _) in sets.items() for t in v]
+    found = {r[0] for r in rows(residue.find_residue(docs(spark, [(i, t) for i, (_, t) in enumerate(every)])))}
+    right = wrong = 0
+    for kind, (_, want) in sets.items():
+        mine = [i for i, (k, _) in enumerate(every) if k == kind]
+        n = sum(i in found for i in mine)
+        right, wrong = right + n * want, wrong + n * (not want)
+        assert not want or n >= 0.95 * len(mine), kind
+    assert right >= 0.98 * (right + wrong)
+
+
+def test_shapes_of_slots():
+    assert residue.slots("Hi {{ guest.city }}!")[:2] == residue.slots("Hi {{ user.name }}!")[:2] == ["{{a_b}}", "hi {{a_b}}"]
+    assert residue.slots("so [laughs] we met [crowd cheering] <b>there</b> f(x) = {1, 2} and 5% to 10% of $3 and $4") == []
+    assert "by [a]" in residue.slots("Songs by [artist]") and "by undefined" in residue.slots("It was hosted by undefined.")

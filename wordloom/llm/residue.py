@@ -1,317 +1,312 @@
 """Template residue, filler, error pages and script notices.
 
-Patterns turn placeholders and unfilled fields into terms of their own; what they mean in a
-window is left to the exemplars. Labelled exemplars are kept in an inverted index from terms to exemplars. A document is
-cut into passage windows; a window's terms retrieve the exemplars, and TF-IDF containment
-decides: of an exemplar in the window for residue and for talk about such things (the
-other words of the window are free), of the window in an exemplar for pages that are
-filler, an error or a notice as a whole. Only exemplars that cannot reach the share are
-passed over, however frequent their terms are. A document is a case if one window holds
-residue that is not merely talked about, or if such pages cover nearly all of its weight.
-Document frequencies are counted over all documents.
+Labelled exemplars (residue_exemplars) are kept in an inverted index. A document is cut into
+passage windows, one for each sentence or line, and the terms of a window retrieve the
+exemplars that share one. Two kinds of exemplars are compared by TF-IDF containment:
+
+- Of an exemplar in the window: unfilled slots and missing values, which are residue even
+  among real sentences. Their terms are shapes: "{{ user.name }}" and "{{ guest.city }}" are
+  one term, "by [artist]" and "by [guest]" another, so names of slots don't matter.
+- Of the window in the exemplars of one label (the best few together): pages that are
+  filler, an error or a notice as a whole. Terms are words, equals taken as one, and pairs of
+  neighbouring words, so a window must hold an exemplar's phrases and not only its words
+  (but for bags of words, as of Latin filler). Exemplars of talk about such things compete.
+
+A document is a case if a window holds residue and no word of code or templates, or if pages
+cover nearly all of its letters. Document frequencies are counted over all documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Containment from which a window counts as an exemplar's.
+from . import residue_exemplars as E
+
+#: Share of a residue exemplar's weight that a window must hold.
 CONTAINED = 0.8
-#: Share of a document's weight that filler, errors and notices must cover.
+#: Share of a window's weight that exemplars of a page must hold, and how many may share in it.
+PAGE, TOGETHER = 0.62, 4
+#: Share of a document's letters that filler, errors and notices must cover.
 COVERED = 0.8
 #: Terms of a window, and the step between windows of a long passage.
 WINDOW, STEP = 32, 16
 
-# Labelled exemplars. Residue and talk are matched by their own words, which
-# must stand in the window; a bar parts alternatives of the other kinds, whose windows
-# must consist of the exemplar's words. <ph> stands for a placeholder, <quoted> for one in
-# quotation marks, <missing> for a missing value, <field> for one that fills a field; no
-# text gives such a term.
-EXEMPLARS: dict[str, list[str]] = {
-    "residue": [
-        "<ph>",
-        "<field>",
-        "duration <missing> minutes",
-        "hosted by <missing>",
-        "rated <missing> of",
-        "todo write intro about",
-        "description goes here your name",
-    ],
-    "quoted": ["<quoted>"],
-    "code": "template templates templating placeholder placeholders variable variables syntax code python sql string strings replaced swapped substituted".split(),
-    "talk": [
-        "lesson page templates explain why swapped real value",
-        "template language replaced real value before page",
-        "null undefined two different things example print shows",
-        "spec sheet lists as the set of finishes",
-    ],
-    "filler": [
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum",
-        "test testing one two three end of",
-        "blah bla",
-        "asdf qwer qwerty asdfgh zxcv zxcvb hjkl uiop",
-        "foo bar baz qux",
-        "xxx xx xxxx",
-        "text sample",
-        "this is placeholder copy replace before publishing",
-        "dummy paragraph for layout only",
-        "your sample content text goes here",
-        "heading item caption subtitle paragraph title text sample goes here",
-    ],
-    "script": [
-        "please kindly you must need have to go on turn switch on enable allow activate javascript js scripts scripting client side cookies and in the your browser settings for this site and reload to continue load view read see use watch run the this transcript comments clip player page app",
-        "without javascript js scripts scripting client side cookies and you cannot continue load view read see use watch the this transcript comments clip player page",
-        "we could not continue load view read see use watch the this transcript comments clip player page because your browser blocks javascript js scripts scripting client side cookies and",
-        "javascript js scripts scripting client side cookies and is are seems to be off disabled blocked not supported here it is needed to continue load view read see use watch the this transcript comments clip player page",
-        "noscript comments are shown only with js javascript enabled",
-        "veuillez activer javascript pour afficher les sous titres",
-        "activa javascript en tu navegador para continuar",
-        "bitte aktivieren sie javascript um diese seite anzuzeigen",
-        "this site requires javascript yours seems to be switched off",
-        "verify that you are human scripts are blocked so the check cannot start",
-        "loading if nothing happens allow scripts and reload",
-        "checking your browser before you continue this takes a few seconds ray id",
-        "cookies and scripting javascript must be allowed for the player to load",
-    ],
-    "error": [
-        "error failure http e id code while loading reading fetching page clip video channel playlist transcript caption file account recording comments",
-        "oops whoops sorry uh oh we are sorry the requested that this page clip video channel playlist transcript caption file account recording could not be found cannot be shown is private is no longer here failed to load was taken down has been removed by the uploader this that is not available",
-        "the page clip video channel playlist transcript caption file account recording you are looking for has have expired moved been was deleted removed does not exist ask the owner for access go back try a search instead check the address",
-        "fatal error uncaught exception in srv app player php on line",
-        "traceback most recent call last file worker py line in fetch keyerror transcript",
-        "error code message quota exceeded id",
-        "accessdenied error code message request has expired id",
-        "bad gateway upstream closed the connection",
-        "gateway timeout forbidden bad request gone not acceptable not found unauthorized",
-        "internal server error the incident has been logged",
-        "service temporarily unavailable",
-        "service unavailable in your region",
-        "not found the page you asked for could not be found",
-        "connection to database failed timeout after ms",
-        "page clip video channel playlist transcript caption file account recording service connection refused stack overflow null pointer out of memory read timed out at line <missing>",
-        "your session has expired sign in again to continue",
-        "our site we the server has have no answer been down for maintenance run into a problem come back try again refresh later soon in a few minutes",
-        "page introuvable erreur veuillez reessayer plus tard",
-        "seite nicht gefunden die angeforderte adresse existiert nicht fehler",
-        "este video no esta disponible codigo de error",
-        "error this video is unavailable",
-        "access denied reference you do not have permission to view this page clip video channel playlist transcript caption file account recording",
-        "captions could not be loaded reload the player and try again",
-        "an error occurred please reload the page playback id",
-        "too many requests slow down and retry in seconds",
-        "something went wrong on our side please try again later code",
-        "http error the server did not respond in time",
-        "this page clip video channel playlist transcript caption file account recording has been was removed by the uploader owner author",
-        "your browser is out of date and cannot play this clip",
-        "sorry no results the requested page clip video channel playlist transcript caption file account recording does not exist or was moved",
-    ],
-    "frame": [
-        "home videos about contact",
-        "help centre center terms privacy",
-        "menu search sign in",
-        "skip to main content",
-        "back to start page",
-        "return to the home page",
-        "all rights reserved",
-        "contact support if this keeps happening",
-        "error id",
-        "go back",
-    ],
-}
-# Names of fields that make a word in any brackets a placeholder. Other names
-# do so in braces, dollar and percent signs, with a dot or underscore in them, or after a
-# word that a value must follow; notes of captions, HTML and Python names are none.
-FIELDS = "author channel company city date description duration email episode first_name guest guest_name host image item item_label item.label language last_name link name price product speaker subject tags title topic url user user.name user_name username video_title year".split()
-NOTES = "applause bleep cheering crosstalk foreign inaudible indiscernible laughing laughs laughter music noise redacted sic silence unintelligible".split()
-MARKUP = "abbr article aside body button cite code del div font footer head header html img input ins label main mark nav pre section small span strong style sub sup table tbody thead video".split()
-
-_FIELD = r"[A-Za-z]+(?:[._][A-Za-z]+)*"
-_SURE = re.compile(
-    r"\{%[^%\n]+%\}|<%=?[^%>\n]+%>|\{\{\{?[^{}\n]+\}\}\}?|[$#]\{[^{}\n]+\}|%%[\w.]{2,}%%|@@[\w.]{2,}@@|\[\s*(?:insert|your)\b[^\[\]\n]*\]",
-    re.I,
+_SLOT = re.compile(
+    r"(?P<open>\{\{\{?|\{%|<%[=-]?|[$#]\{|\{|\*\||\[\[|\[|\(\((?!\()|%%|@@|##|__|[%$|]|<(?![/%\s]))[ ]*"
+    r"(?P<name>[^\W_][^{}\[\]<>%$@#|*()\n]*?)[ ]*"
+    r"(?P<close>\}\}\}?|%\}|%>|\}|\|\*|\]\]|\]|\)\)|%%|@@|##|__|[%$|]|(?<![-=/])>)"
 )
-_LIKELY = re.compile(rf"\{{({_FIELD})\}}|\$({_FIELD})\$|__({_FIELD})__|(?<!<)\|({_FIELD})\||\(\(({_FIELD})\)\)|<({_FIELD})>|\[({_FIELD})\]|%({_FIELD})%")
-_AWAITS = re.compile(r"(?i)\b(?:by|from|at|with|our|your|dear|hi|hello)\s+[\"'`\u201c\u2018]?$")
-_CODE = re.compile(r"(?:[\w\\$=(:]|\b(?:import|export|const|let|var)\s+)$")
-# A field's name and colon, a participle and "by", or a greeting before a missing value; "none" may be a value.
-_UNFILLED = re.compile(r"(?im)((?:^|[.!?;|]\s+)[^\W\d_]+(?:[ _][^\W\d_]+){0,2}:\s*|\b\w+ed by\s+|\b(?:hi|hello|dear|welcome|welcome back),?\s+)(?:null|undefined|nan|\ue001)(?=\s*(?:[.,;!|]|$))")
+_PAIRS = {"{{{": "}}}", "{{": "}}", "{%": "%}", "<%": "%>", "<%=": "%>", "<%-": "%>", "${": "}", "#{": "}", "{": "}", "*|": "|*", "[[": "]]", "[": "]", "((": "))", "%%": "%%", "@@": "@@", "##": "##", "__": "__", "%": "%", "$": "$", "|": "|", "<": ">"}
+#: Openings whose content must be one word.
+_TIGHT = frozenset("% $ | __ @@ ## %%".split())
+_CODE_BEFORE = re.compile(r"(?:[\w\\=(:/&]|\b(?:import|export|const|let|var)\s+)$")
+_JOINED = re.compile(r"[^\W_]+(?:[._-][^\W_]+)+|[a-z]+(?:[A-Z][a-z]+)+")
+_LAST_WORD = re.compile(r"(?:([^\W\d_]+)[\"'`\u201c\u2018(,]*|([:$]))\s*[\"'`\u201c\u2018]?$")
 _OBJECT = re.compile(r"\[object object\]", re.I)
-_MISSING = {"null", "undefined", "none", "nan"}
+_ABSENT = re.compile(r"(?i)\b(?:null|undefined|nan|none)\b")
 _BLOCK = re.compile(r"</?(?:html|body|head|div|p|h\d|li|ul|ol|br|tr|td|table|section|article)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|<\|[^|\n]*\|>|\d\d:\d\d:\d\d\.\d{3}|-->|&[a-z]+;")
 _CUT = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
-_TERM = re.compile(r"[^\W_]+|[\ue000-\ue003]")
+# Words; a break between words that are no neighbours is the empty word.
+_WORD = re.compile(r"\w*\d\w*|[^\W\d_]+|[^\w\s'\u2019,.!?_-]|(?<=\s)[-\u2013](?=\s)")
 _ACCENT = re.compile("[\u0300-\u036f]+")
-_QUOTES = "\"'`\u201c\u201d\u2018\u2019"
-_ABSENT = re.compile("(?i)null|undefined|nan|\ue001")
-_QUICK = re.compile(r"[\[\]{}<>$%@|]|__|\(\(")
-
-
-def _mark(text: str, m: re.Match, out: str) -> str:
-    before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-    return " \ue002 " if before and after and before in _QUOTES and after in _QUOTES else f" {out} "
-
-
-def _placeholders(text: str) -> str:
-    """The text with U+E000 for placeholders, U+E002 for those in quotation marks, U+E001 for
-    [object Object] and U+E003 for missing values that fill a field."""
-    if _QUICK.search(text):
-        low = text.lower()
-
-        def likely(m: re.Match) -> str:
-            name, sign = next(g for g in m.groups() if g).lower(), m.group(0)[0]
-            before = m.string[max(0, m.start() - 20) : m.start()]
-            if sign == "<" and f"</{name}>" in low:
-                return m.group(0)
-            if name not in FIELDS:
-                named = "_" in name or "." in name
-                if len(name) < 3 or name in NOTES or (sign == "<" and name in MARKUP):
-                    return m.group(0)
-                if sign in "{$%":
-                    if _CODE.search(before) or (sign == "%" and m.group(0).isupper()):
-                        return m.group(0)
-                elif not named and not _AWAITS.search(before):
-                    return m.group(0)
-            return _mark(m.string, m, "\ue000")
-
-        text = _OBJECT.sub(" \ue001 ", text)
-        text = _SURE.sub(lambda m: _mark(m.string, m, "\ue000" if not re.match(r"\[\s*your\b.*\bgoes here", m.group(0), re.I) else "\ue000 " + m.group(0)[1:-1]), text)
-        text = _LIKELY.sub(likely, text)
-    return _UNFILLED.sub("\\1 \ue003 ", text) if _ABSENT.search(text) else text
-
-
-_SPECIAL = {"\ue000": "<ph>", "\ue001": "<missing>", "\ue002": "<quoted>", "\ue003": "<field>"} | dict.fromkeys(_MISSING, "<missing>")
-_MARKS = re.compile("[\ue000-\ue003]")
-
-
-def _term(w: str) -> str:
-    return _SPECIAL.get(w, w)
-
-
-def passages(text: str) -> Iterator[list[str]]:
-    """The terms of each window of a text, in order: words in lower case without accents;
-    numbers and ids give none."""
-    text = text if text.isascii() else unicodedata.normalize("NFKC", _MARKS.sub(" ", text))
-    text = _placeholders(text)
-    if "<" in text:
-        text = _BLOCK.sub("\n", text)
-    text = _TAG.sub(" ", text).lower()
-    if not text.isascii():
-        text = _ACCENT.sub("", unicodedata.normalize("NFD", text))
-    for part in _CUT.split(text):
-        terms = [_SPECIAL.get(w, w) for w in _TERM.findall(part) if w.isalpha() or w in _SPECIAL]
-        if not terms:
+_QUICK = re.compile(r"[\[\]{}<>%@|#]|\$\S+\$|__|\(\(|(?i:\b(?:null|undefined|nan|none|todo|tbd|goes here)\b)")
+_NOTE = frozenset(E.NOTES)
+
+
+def _kind_of(name: str) -> str | None:
+    """The shape of what stands in a slot: one word by its case, joined words, several
+    words, a number; None for lists and sentences."""
+    if name.isdigit():
+        return "0" if len(name) < 3 else None
+    if _JOINED.fullmatch(name):
+        return "a_b"
+    words = name.split(" ")
+    if len(words) > 1 and words[0].lower() in E.FIRST:
+        return "a b"
+    if not all(w.replace("'", "").isalpha() for w in words if w):
+        return None
+    if len(words) == 1:
+        return "A" if len(name) > 1 and name.isupper() else "a" if name.islower() else "Aa"
+    return "a b"
+
+
+def _is_note(words: list[str]) -> bool:
+    return words[0] not in E.FIRST and any(w in _NOTE or w.endswith("ing") for w in words)
+
+
+def slots(part: str) -> list[str]:
+    """The terms of a passage's unfilled slots and missing values.
+
+    A slot gives its shape ("{a_b}"), its shape with the word before it ("by [a]"), and,
+    where it holds several words, its first and last word ("[insert ..", ".. name]").
+    Notes of captions, markup and what is glued to code give none.
+    """
+    out: list[str] = []
+    low = part.lower()
+    at = 0
+    while m := _SLOT.search(part, at):
+        opening, name, closing = m["open"], m["name"], m["close"]
+        kind = _kind_of(name)
+        if _PAIRS[opening] != closing or kind is None or (opening in _TIGHT and " " in m[0]):
+            at = m.start() + 1
             continue
-        if len(terms) <= WINDOW + STEP:
-            yield terms
-        else:
-            for i in range(0, len(terms) - STEP, STEP):
-                yield terms[i : i + WINDOW]
-
-
-#: Labels whose exemplars must stand in the window.
-INSIDE = frozenset({"residue", "quoted", "code", "talk"})
+        at = m.end()
+        words = [w.lower() for w in re.findall(r"[^\W\d_]+", name)]
+        opening = opening.rstrip("=-")
+        if words and opening in ("[", "<", "((", "|") and _is_note(words):
+            continue
+        if opening == "<" and words and kind != "a b" and (len(name) < 3 and kind != "a_b" or words[0] in E.MARKUP or f"</{name.lower()}" in low):
+            continue
+        if opening in ("%", "$", "{", "|") and kind == "a" and len(name) < 3:
+            continue
+        before = part[: m.start()]
+        if opening in ("{", "<", "[", "(", "$", "%", "__", "|") and _CODE_BEFORE.search(before):
+            continue
+        if opening in ("${", "{{") and before.endswith("\\"):
+            continue
+        shape = opening + kind + closing
+        out.append(shape)
+        if w := _LAST_WORD.search(before):
+            out.append(f"{(w[1] or w[2]).lower()} {shape}")
+        if len(words) > 1:
+            out.append(f"{opening}{words[0]} ..")
+        if words:
+            out.append(f"{opening}.. {words[-1]}{closing}" if opening not in ("[", "<", "((", "__", "|", "%", "[[") or words[-1] in _FIELDS else "")
+    for m in _ABSENT.finditer(part):
+        before, after = part[: m.start()], part[m.end() :]
+        value = m[0].lower()
+        if before[-1:] in "\"'`\u201c\u2018" and before:
+            before = before[:-1]
+        if (w := _LAST_WORD.search(before)) and not re.match(r"\w|\s*[(.]\w", after):
+            out.append(f"{(w[1] or w[2]).lower()} {value}")
+        if w := re.match(r"\s*([^\W\d_]+)", after):
+            out.append(f"{value} {w[1].lower()}")
+        elif re.match(r"\s*[%/]", after):
+            out.append(f"{value} of")
+    if _OBJECT.search(part):
+        out.append("[object]")
+    return [t for t in out if t]
+
+
+_FIELDS = frozenset(E.FIELD)
+
+
+def residue_exemplars() -> list[frozenset[str]]:
+    """The terms of each exemplar of a slot or missing value: the most telling one."""
+    out = [frozenset(["[object]"])]
+    for a, b in zip(E.SURE[::2], E.SURE[1::2]):
+        out += [frozenset(slots(f"{a}{n}{b}")[:1]) for n in E.NAMES]
+    for a, b in zip(E.LOOSE[::2], E.LOOSE[1::2]):
+        out.append(frozenset(slots(f"{a}{E.JOINED}{b}")[:1]))
+        out += [frozenset([f"{a}{w} .."]) for w in E.FIRST]
+        out += [frozenset([f"{a}.. {f}{b}"]) for f in E.FIELD]
+    for w in E.AFTER:
+        out += [frozenset(t for t in slots(f"{w} {s}") if t.startswith(w + " ")) for s in E.OPEN]
+    for line in E.MISSING.strip().split("\n"):
+        out.append(frozenset([line]))
+    return sorted({x for x in out if x}, key=sorted)
+
+
+def plain(text: str) -> str:
+    """NFKC, block markup as line breaks."""
+    text = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _BLOCK.sub("\n", text) if "<" in text else text
+
+
+_SAME = {w: k for k, ws in E.SAME.items() for w in ws.split()}
+
+
+def words_of(part: str) -> list[str]:
+    """Words in lower case without accents, equals as one; tags, cue times, numbers and
+    marks that part words give an empty word, which breaks pairs."""
+    part = _TAG.sub(" | ", part).lower()
+    if not part.isascii():
+        part = _ACCENT.sub("", unicodedata.normalize("NFD", part))
+    return [_SAME.get(w, w if w.isalpha() else "") for w in _WORD.findall(part)]
+
+
+def windows(part: str) -> Iterator[list[str]]:
+    """The words of a passage, in overlapping windows if they are many."""
+    words = words_of(part)
+    if not any(words):
+        return
+    if len(words) <= WINDOW + STEP:
+        yield words
+    else:
+        for i in range(0, len(words) - STEP, STEP):
+            yield words[i : i + WINDOW]
+
+
+def _pairs(words: list[str] | tuple[str, ...]) -> list[tuple[str, str]]:
+    return [(a, b) for a, b in zip(words, words[1:]) if a and b]
 
 
 class Index:
     """The inverted index of the exemplars, weighted by inverse document frequency."""
 
     def __init__(self, counts: dict[str, int], documents: int):
-        self.sets = [(label, frozenset(_term(w) for w in text.split())) for label, texts in EXEMPLARS.items() for text in texts]
-        vocabulary = sorted({t for _, s in self.sets for t in s})
+        # Slots and missing values: exemplars of one term, each as rare as a term can be.
+        self.slots: dict[str, list[frozenset[str]]] = defaultdict(list)
+        for s in residue_exemplars():
+            for t in s:
+                self.slots[t].append(s)
+        self.code = frozenset(w for w in words_of(" ".join(E.CODE)) if w)
+        self.pages = [(label, frozenset(w) - {""}, frozenset(_pairs(w))) for label in E.PAGES for w in map(words_of, E.lines(label))]
+        vocabulary = sorted(set().union(*(s for _, s, _ in self.pages)))
         self.weight = {t: 1 + float(np.log((1 + documents) / (1 + counts.get(t, 0)))) for t in vocabulary}
         self.other = float(np.mean(list(self.weight.values())))
-        self.total = [sum(self.weight[t] for t in s) for _, s in self.sets]
-        self.frame = frozenset(t for label, s in self.sets if label == "frame" for t in s)
-        self.pages = [e for e, (label, _) in enumerate(self.sets) if label not in INSIDE]
-        # Residue and talk: without one of these terms, less than CONTAINED is left of the exemplar.
-        self.postings: dict[str, list[int]] = defaultdict(list)
-        for e, (label, s) in enumerate(self.sets):
-            left = self.total[e] if label in INSIDE else 0
-            for t in sorted(s, key=lambda t: (-self.weight[t], t)):
-                if left < (CONTAINED - 1e-6) * self.total[e]:
+        self.by_pair: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.by_word: dict[str, list[int]] = defaultdict(list)
+        for e, (label, words, pairs) in enumerate(self.pages):
+            for p in pairs:
+                self.by_pair[p].append(e)
+            # Bags of words, menus and exemplars of one word are retrieved by words.
+            for w in words if label in ("words", "frame") or not pairs else ():
+                self.by_word[w].append(e)
+        self.bags = frozenset(w for label, s, _ in self.pages if label == "words" for w in s)
+        self.label = lru_cache(50_000)(self._label)
+
+    def _label(self, words: tuple[str, ...]) -> str | None:
+        """The label whose best exemplars together hold the window, if any does."""
+        w1 = [self.weight.get(w, self.other) if w else 0.0 for w in words]
+        at = [i for i in range(len(words) - 1) if words[i] and words[i + 1]]
+        w2 = {i: (w1[i] + w1[i + 1]) / 2 for i in at}
+        pairs = {i: (words[i], words[i + 1]) for i in at}
+        size, both = sum(w1), sum(w2.values())
+        # What stands in no exemplar at all can't be held by one.
+        known = sum([v for w, v in zip(words, w1) if w in self.weight]) + sum([v for i, v in w2.items() if pairs[i] in self.by_pair])
+        if known < PAGE * (size + both) and sum([v for w, v in zip(words, w1) if w in self.bags]) < PAGE * size:
+            return None
+        by_label: dict[str, set[int]] = defaultdict(set)
+        for e in {e for p in pairs.values() for e in self.by_pair.get(p, ())} | {e for w in words for e in self.by_word.get(w, ())}:
+            by_label[self.pages[e][0]].add(e)
+        best: dict[str, float] = {}
+        for label, found in by_label.items():
+            mine = sorted(found | by_label.get("frame", set()) if label not in ("frame", "talk") else found)
+            bag = label == "words"
+            left_w, left_p = {i: v for i, v in enumerate(w1) if v}, {} if bag else dict(w2)
+            whole, have = size if bag else size + both, 0.0
+            for _ in range(TOGETHER):
+                gain, top = max(((sum([v for i, v in left_w.items() if words[i] in self.pages[e][1]]) + sum([v for i, v in left_p.items() if pairs[i] in self.pages[e][2]]), -e) for e in mine), default=(0.0, 0))
+                if gain <= 0:
                     break
-                self.postings[t].append(e)
-                left -= self.weight[t]
-        # Pages: below 0 in sum, less than CONTAINED of the window stands in all pages together.
-        self.worth = {t: (1 - CONTAINED) * self.weight[t] for e in self.pages for t in self.sets[e][1]}
-        for t in self.weight.keys() - self.worth.keys():
-            self.worth[t] = -CONTAINED * self.weight[t]
-        self.keys = frozenset(self.postings)
-        self.labels = lru_cache(50_000)(self._labels)
-
-    def may_be_page(self, terms: list[str] | tuple[str, ...]) -> bool:
-        worth, other = self.worth, -CONTAINED * self.other
-        return sum([worth.get(t, other) for t in terms]) >= -1e-6
-
-    def _labels(self, terms: tuple[str, ...]) -> frozenset[str]:
-        """The labels of the exemplars that the window contains or is contained in."""
-        count = Counter(terms)
-        own, out = count.keys(), set()
-        for e in {e for t in own & self.keys for e in self.postings[t]}:
-            label, s = self.sets[e]
-            # However frequent they are, placeholders and missing values must stand there themselves.
-            if own >= {t for t in s if t[0] == "<"} and sum(self.weight[t] for t in s if t in own) / self.total[e] >= CONTAINED:
-                out.add(label)
-        if not self.may_be_page(terms):
-            return frozenset(out)
-        size = sum(n * self.weight.get(t, self.other) for t, n in count.items())
-        part = lambda s: sum(n * self.weight[t] for t, n in count.items() if t in s) / size
-        framed = any(part(s) >= CONTAINED for label, s in self.sets if label == "frame")
-        for e in self.pages:
-            label, s = self.sets[e]
-            # A window that is a frame's is another page's only by that page's own words.
-            if not s.isdisjoint(own) and part(s if framed else s | self.frame) >= CONTAINED:
-                out.add(label)
-        return frozenset(out)
+                _, ws, ps = self.pages[-top]
+                left_w = {i: v for i, v in left_w.items() if words[i] not in ws}
+                left_p = {i: v for i, v in left_p.items() if pairs[i] not in ps}
+                have += gain
+            best[label] = have / whole
+        if not best:
+            return None
+        if best.get("frame", 0) >= max(PAGE, *best.values()) - 1e-9:
+            return "frame"
+        label = max(sorted(best), key=best.get)
+        return label if label != "talk" and best[label] >= PAGE else None
+
+    def has_residue(self, part: str) -> bool:
+        """Whether a passage holds an exemplar of residue, and none of its words is of code."""
+        terms = set(slots(part))
+        words = words_of(part)
+        if any(t in self.slots for t in terms) and self.code.isdisjoint(words):
+            if any(len(s & terms) >= CONTAINED * len(s) for t in terms for s in self.slots.get(t, ())):
+                return True
+        return self.label(tuple(words)) == "residue"
 
     def is_residue(self, text: str | None) -> bool:
-        page, rest, hit = [], [], False
-        for terms in passages(text or ""):
-            labels = self.labels(tuple(terms)) if not self.keys.isdisjoint(terms) or self.may_be_page(terms) else frozenset()
-            if "talk" not in labels and ("residue" in labels or ("quoted" in labels and "code" not in labels)):
-                return True
-            covered = not labels <= INSIDE
-            (page if covered else rest).append(terms)
-            hit = hit or covered and bool(labels & {"filler", "script", "error"})
-        if not hit:
+        if not text:
             return False
-        size = lambda windows: sum(self.weight.get(t, self.other) for w in windows for t in w)
-        mine = size(page)
-        return mine >= COVERED * (mine + size(rest))
+        marked, page, rest, hit, open_ = _QUICK.search(text) is not None, 0, 0, False, True
+        text = plain(text)
+        for part in _CUT.split(text):
+            if marked and _QUICK.search(part) and self.has_residue(part):
+                return True
+            if open_:
+                for words in windows(part):
+                    size = sum(map(len, words))
+                    label = self.label(tuple(words))
+                    if label in ("words", "filler", "script", "error", "frame"):
+                        page += size
+                        hit = hit or label != "frame"
+                    else:
+                        rest += size
+                # All the letters still to come could not make up for this.
+                open_ = rest <= (1 - COVERED) * len(text)
+            elif not marked:
+                break
+        return open_ and hit and page >= COVERED * (page + rest)
+
+
+def document_counts(texts: DataFrame) -> tuple[dict[str, int], int]:
+    """Documents that hold each word of the exemplars, and all documents: one row a word comes
+    to the driver. Of equal words, the most frequent one counts for all."""
+    vocabulary = {w for label in E.PAGES for line in E.lines(label) for w in words_of(line)} | {w for ws in E.SAME.values() for w in ws.split()}
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("text"), r"[^\p{L}\p{N}]+")))
+    counted = texts.select(F.explode(words).alias("w")).where(F.col("w").isin(["", *sorted(vocabulary)])).groupBy("w").agg(F.count("*").alias("n"))
+    raw = {r["w"]: r["n"] for r in counted.collect()}
+    total, out = raw.pop("", 0), {}
+    for w, n in raw.items():
+        out[_SAME.get(w, w)] = max(n, out.get(_SAME.get(w, w), 0))
+    return out, total
 
 
 def find_residue(documents: DataFrame) -> DataFrame:
     """(doc_id) of every document that is residue, filler, an error page or a notice.
     Null, empty and blank texts are none; equal rows give their id once."""
     texts = documents.where("text is not null and text <> ''").select("doc_id", "text")
-    terms = frozenset(_term(w) for group in EXEMPLARS.values() for e in group for w in e.split())
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(1).to_pylist():
-                seen.update(terms.intersection(chain.from_iterable(passages(t))))
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    # One row a term of the exemplars.
-    counts = {r["term"]: r["n"] for r in texts.mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    documents_seen = counts.pop("", 0)
+    counts, total = document_counts(texts)
     kind = documents.select("doc_id").schema[0].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(counts, documents_seen)
+        index = Index(counts, total)
         for batch in batches:
             keep = [i for i, t in enumerate(batch.column(1).to_pylist()) if index.is_residue(t)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["doc_id"])
