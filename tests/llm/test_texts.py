@@ -4,7 +4,7 @@ import numpy as np
 
 from wordloom.llm import leaks, pii, pii_training, residue
 
-from . import residue_texts
+from . import personal_texts, residue_texts
 
 DOC = "doc_id bigint, text string, item_id string, ids string, row int, t string, v string"
 ITEM = "item_id bigint, text string, doc_id int"
@@ -164,3 +164,25 @@ def test_shapes_of_slots():
     assert residue.slots("Hi {{ guest.city }}!")[:2] == residue.slots("Hi {{ user.name }}!")[:2] == ["{{a_b}}", "hi {{a_b}}"]
     assert residue.slots("so [laughs] we met [crowd cheering] <b>there</b> f(x) = {1, 2} and 5% to 10% of $3 and $4") == []
     assert "by [a]" in residue.slots("Songs by [artist]") and "by undefined" in residue.slots("It was hosted by undefined.")
+
+
+def test_personal_information_in_held_out_lines():
+    cases, clean = personal_texts.cases(), personal_texts.clean()
+    got = [{pii.KINDS[x[3]] for x in g if x[3] != pii.MENTION} for g in pii.spans(pii.default_model(), [t for _, t in cases] + clean)]
+    for kind in pii.KINDS.values():
+        mine = [kind in g for (k, _), g in zip(cases, got) if k == kind]
+        wrong = sum(kind in g for (k, _), g in zip([*cases, *[("", t) for t in clean]], got) if k != kind)
+        assert len(mine) >= 200 and sum(mine) >= 0.88 * len(mine), kind
+        assert sum(mine) >= 0.9 * (sum(mine) + wrong), kind
+
+
+def test_parts_of_names_are_mentions(spark):
+    text = "Guest: Maria Lopez\nThanks to Lopez for the tools\nThe old mill"
+    df = spark.createDataFrame([("v", text)], "youtube_id string, description string")
+    assert rows(pii.personal_lines(df)) == [("v", 1, "person_name")]
+    assert pii.redacted_descriptions(df).first().description == "Guest: [PERSON_NAME]\nThanks to [PERSON_NAME] for the tools\nThe old mill"
+
+
+def test_similar_tokens_share_a_key():
+    assert pii.alike("word", "Raghunathan") == pii.alike("word", "RAGUNATHAN'S") and pii.alike("num", "+44 7700 900123") == pii.alike("num", "447700900123")
+    assert pii.alike("word", "Lopez") == "lopez" and pii.alike("other", "!") is None

@@ -1,8 +1,8 @@
 """Personal information in free text, by a skip-chain conditional random field.
 
-A line's tokens form a chain; equal tokens of one text that could belong to a name or a
-number are joined by skip edges from each occurrence to the next, whose potentials
-favour equal labels. Node scores are sums of weights of features of the tokens around;
+A line's tokens form a chain; equal or similar tokens of one text (of one key, see alike)
+that could belong to a name or a number are joined by skip edges from each occurrence to
+the next, whose potentials favour equal labels. Node scores are sums of weights of features of the tokens around;
 chain weights are fitted by conditional likelihood, skip weights by the agreement that
 loopy belief propagation expects against the one seen, both on generated labelled lines
 (pii_training), so the model depends on no corpus. Marginals come from loopy message
@@ -13,6 +13,7 @@ again. Lines of a batch are worked on together, by length.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from . import pii_training
 
 LABELS = ("O", "E", "P", "I", "A", "N")
+#: A part of a name that stands elsewhere in the text in full: redacted, but no full name.
+MENTION = "n"
 KINDS = {"E": "email", "P": "phone", "I": "id_number", "A": "address", "N": "person_name"}
 #: Generated lines and texts for training; more change little.
-TRAIN_LINES, TRAIN_TEXTS, EPOCHS = 9000, 400, 7
+TRAIN_LINES, TRAIN_TEXTS, EPOCHS = 20000, 400, 7
 #: Tokens on either side whose features count.
 REACH = 3
 #: Rounds of messages over skip edges.
@@ -39,9 +42,10 @@ _L = len(LABELS)
 _DASH = "\\-\u2010\u2011\u2012\u2013"
 _TOKEN = re.compile(
     rf"""(?P<url>(?:https?\s?:?\s?-?//|www\.)\S+)
-|(?P<mail>[\w.+%-]{{1,64}}\s{{0,3}}[@\uff20]\s{{0,3}}[A-Za-z\d-]+(?:\.[A-Za-z\d-]+)+|[\w.+%-]{{1,64}}\s{{0,3}}(?:\[at\]|\(at\)|\bat\b)\s{{0,3}}[\w.-]+\s{{0,3}}(?:\[dot\]|\(dot\)|\bdot\b)\s{{0,3}}[\w-]+(?:\s{{0,3}}(?:\[dot\]|\(dot\)|\bdot\b)\s{{0,3}}[\w-]+)*)
+|(?P<mail>[\w.+%-](?:[\w.+%'-]{{0,62}}[\w.+%-])?\s{{0,3}}[@\uff20]\s{{0,3}}[A-Za-z\d-]+(?:\.[A-Za-z\d-]+)+|[\w.+%-]{{1,64}}\s{{0,3}}(?:\[at\]|\(at\)|\bat\b)\s{{0,3}}[\w.-]+\s{{0,3}}(?:\[dot\]|\(dot\)|\bdot\b)\s{{0,3}}[\w-]+(?:\s{{0,3}}(?:\[dot\]|\(dot\)|\bdot\b)\s{{0,3}}[\w-]+)*)
 |(?P<handle>[@\uff20][\w.]+)
 |(?P<tag>\#[^\W\d]\w*)
+|(?P<code>(?<!\w)(?=[A-Za-z]*\d)(?=\d*[A-Za-z])[A-Za-z\d]{{6,}}(?!\w))
 |(?P<num>(?:(?<!\w)[A-Za-z]{{1,2}})?[+(]{{0,2}}\d(?:[ ().{_DASH}/]{{0,3}}\d)*(?:[{_DASH}]?[A-Za-z\u00ba]{{1,2}}(?!\w))?)
 |(?P<word>[^\W\d_]+(?:['\u2019][^\W\d_]+)*(?:\.(?=\s?[^\W\d_]|[:,]))?)
 |(?P<other>\S)""",
@@ -80,16 +84,18 @@ def features(cls: str, s: str) -> tuple[str, ...]:
         bare = low.rstrip(".")
         body = s.rstrip(".")
         form = "1" if len(body) == 1 else "X" if body.isupper() else "x" if body.islower() else "Xx" if body[:1].isupper() and body[1:].islower() else "mix"
-        out = ["w=" + low, "form=" + form]
+        out = ["w=" + low, "form=" + form, f"{form}{min(len(body), 9)}"]
         if bare in _GIVEN:
             out.append("given")
         if len(bare) > 5:
             out.append("s3=" + bare[-3:])
         return tuple(out)
-    if cls == "num":
+    if cls in ("num", "code"):
         sh = _shape(s)
         n = sh.count("d")
-        return ("num", "sh=" + sh, f"n={min(n, 14)}", "lead=" + s[0] if s[0] in "+(0" else "lead=d", "tail=" + ("L" if sh[-1] == "L" else "d"), "head=" + ("L" if sh[0] == "L" else "d"), f"groups={min(len(re.findall('d+', sh)), 6)}")
+        return (cls, "sh=" + sh, f"n={min(n, 14)}", "lead=" + s[0] if s[0] in "+(0" else "lead=d", "tail=" + ("L" if sh[-1] == "L" else "d"), "head=" + ("L" if sh[0] == "L" else "d"), f"groups={min(len(re.findall('d+', sh)), 6)}")
+    if cls == "mail":
+        return ("c=mail", "top=" + re.split(r"[.\s)\]]", low)[-1], "at" if "@" in s or "\uff20" in s else "spelled", "tight" if " " not in s else "loose")
     if cls == "other":
         return ("p=" + (s if s.isascii() else "\u00a4"),)
     return ("c=" + cls,)
@@ -171,21 +177,41 @@ def _marginals(scores: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tupl
     return p / p.sum(axis=2, keepdims=True), pairs
 
 
+_POSSESSIVE = re.compile("['\u2019]s$")
+_VOWELS = re.compile("(?<=.)[aeiouyhw]+")
+_DOUBLE = re.compile(r"(.)\1+")
+
+
+@lru_cache(REMEMBERED)
+def alike(cls: str, s: str) -> str | None:
+    """The key that equal and similar tokens share: the digits of a number; of a word, its
+    letters without accents, case, possessive and full stop, and, where it is long, only its
+    first letter and consonants, doubled ones once. None for tokens that give no edges, as
+    words in small letters, which would only confirm each other."""
+    if cls in ("num", "code"):
+        digits = re.sub(r"\D", "", s)
+        return digits if len(digits) > 4 else None
+    if cls != "word" or len(s) < 3 or s[0].islower():
+        return None
+    word = _POSSESSIVE.sub("", s.lower().rstrip("."))
+    word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    return _DOUBLE.sub(r"\1", _VOWELS.sub("", word)) if len(word) > 5 else word
+
+
 def _skips(model_known: frozenset, texts: list[list[list]]) -> tuple[np.ndarray, np.ndarray]:
-    """Skip edges as places in the row of all tokens: equal tokens of one text that are no
-    common words, each occurrence with the next."""
+    """Skip edges as places in the row of all tokens: tokens of one text and one key that are
+    no common words, each occurrence with the next."""
     a, b, at = [], [], 0
     for lines in texts:
         last: dict[str, int] = {}
         for toks in lines:
             for i, (cls, s, _, _) in enumerate(toks):
-                if cls == "word" and len(s) > 2 or cls == "num" and len(s) > 5:
-                    key = s.lower().rstrip(".")
-                    if key not in model_known:
-                        if key in last:
-                            a.append(last[key])
-                            b.append(at + i)
-                        last[key] = at + i
+                key = alike(cls, s)
+                if key is not None and s.lower().rstrip(".") not in model_known:
+                    if key in last:
+                        a.append(last[key])
+                        b.append(at + i)
+                    last[key] = at + i
             at += len(toks)
     return np.array(a, np.int64), np.array(b, np.int64)
 
@@ -332,12 +358,9 @@ def default_model() -> Model:
 
 
 _TITLE = re.compile(r"(?i)(?:dr|mr|mrs|ms|prof|professor|sir|miss)\.?$")
-_STREET = re.compile(r"(?i)\bbox\b|\bapt\b|\bunit\b|\bcalle\b|weg\b|stra(?:\u00df|ss)e\b|str\.|gasse\b|platz\b|\b(?:" + "|".join(re.escape(s.rstrip(".")) for s in pii_training.STREETS) + r")\b")
-
-
 def _valid(kind: str, toks: list, text: str) -> bool:
     """The form a found stretch must have: a full name or a title and a name, enough
-    digits for a number, a street or box and a number for an address."""
+    digits for a number, a number for an address."""
     digits = sum(c.isdigit() for c in text)
     if kind == "E":
         return any(t[0] == "mail" for t in toks)
@@ -346,12 +369,13 @@ def _valid(kind: str, toks: list, text: str) -> bool:
     if kind == "I":
         return digits >= 5
     if kind == "A":
-        return digits >= 1 and bool(_STREET.search(text))
+        return digits >= 1
     return sum(t[0] == "word" and (len(t[1].rstrip(".")) > 1) for t in toks) >= 2
 
 
 def spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, str]]]:
-    """Of each text its (line index, start, end, label), places in the line as it stands."""
+    """Of each text its (line index, start, end, label), places in the line as it stands.
+    Parts of names have the label MENTION."""
     tokens, maps, owners = [], [], []
     for text in texts:
         lines, back = [], []
@@ -366,7 +390,7 @@ def spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, str]
     p, _, _ = beliefs(model, tokens)
     best, at, out = p.argmax(axis=1), 0, []
     for lines, back in zip(tokens, maps):
-        found = []
+        found, lone, named = [], [], set()
         for toks, (k, keep, flat) in zip(lines, back):
             lab = best[at : at + len(toks)]
             at += len(toks)
@@ -385,9 +409,16 @@ def spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, str]
                     a += 1
                 s, e = toks[a][2], toks[b - 1][3]
                 kind = LABELS[lab[i]]
+                place = (k, s if keep is None else keep[s], e if keep is None else keep[e - 1] + 1)
                 if _valid(kind, toks[a:b], flat[s:e]):
-                    found.append((k, s if keep is None else keep[s], e if keep is None else keep[e - 1] + 1, kind))
+                    found.append((*place, kind))
+                    if kind == "N":
+                        named.update(alike(t[0], t[1]) for t in toks[a:b])
+                elif kind == "N":
+                    lone.append((*place, {alike(t[0], t[1]) for t in toks[a:b]} - {None}))
                 i = j
+        # A part of a name counts as a mention where the whole name stands in the text.
+        found += [(k, s, e, MENTION) for k, s, e, keys in lone if keys & named]
         out.append(found)
     return out
 
@@ -396,7 +427,7 @@ def replaced(text: str, found: list[tuple[int, int, int, str]]) -> str:
     """The text with each stretch replaced by a placeholder of its kind."""
     lines = text.split("\n")
     for k, a, b, kind in sorted(found, reverse=True):
-        lines[k] = lines[k][:a] + "[" + KINDS[kind].upper() + "]" + lines[k][b:]
+        lines[k] = lines[k][:a] + "[" + KINDS[kind.upper()].upper() + "]" + lines[k][b:]
     return "\n".join(lines)
 
 
@@ -414,7 +445,7 @@ def tag_texts(rows: DataFrame, key: str, text: str, batch: int = 512) -> DataFra
                 part = rb.slice(i, batch)
                 texts = part.column(1).to_pylist()
                 got = spans(model, [t or "" for t in texts])
-                found = [[{"line_no": k, "pi_kind": x} for k, x in sorted({(k + 1, KINDS[x]) for k, _, _, x in g})] for g in got]
+                found = [[{"line_no": k, "pi_kind": x} for k, x in sorted({(k + 1, KINDS[x]) for k, _, _, x in g if x != MENTION})] for g in got]
                 red = [None if t is None else replaced(t, g) for t, g in zip(texts, got)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, item), pa.array(red, pa.string())], [key, "found", "redacted"])
 
