@@ -59,7 +59,9 @@ _CUT = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
 # Words; a break between words that are no neighbours is the empty word.
 _WORD = re.compile(r"\w*\d\w*|[^\W\d_]+|[^\w\s'\u2019,.!?_-]|(?<=\s)[-\u2013](?=\s)")
 _ACCENT = re.compile("[\u0300-\u036f]+")
-_QUICK = re.compile(r"[\[\]{}<>%@|#]|\$\S+\$|__|\(\(|(?i:\b(?:null|undefined|nan|none|todo|tbd|goes here)\b)")
+_SIGNS = re.compile(r"[\[\]{}<>%@|#$]|__|\(\(")
+_UNFILLED = ("null", "undefined", "nan", "none")
+_TO_FILL = ("todo", "tbd", "goes here")
 _NOTE = frozenset(E.NOTES)
 
 
@@ -169,28 +171,39 @@ _SAME = {w: k for k, ws in E.SAME.items() for w in ws.split()}
 def words_of(part: str) -> list[str]:
     """Words in lower case without accents, equals as one; tags, cue times, numbers and
     marks that part words give an empty word, which breaks pairs."""
-    part = _TAG.sub(" | ", part).lower()
+    if "<" in part or "&" in part or ":" in part:
+        part = _TAG.sub(" | ", part)
+    part = part.lower()
     if not part.isascii():
         part = _ACCENT.sub("", unicodedata.normalize("NFD", part))
     return [_SAME.get(w, w if w.isalpha() else "") for w in _WORD.findall(part)]
 
 
-def windows(part: str) -> Iterator[list[str]]:
-    """The words of a passage, in overlapping windows if they are many."""
+def windows(part: str) -> Iterator[tuple[list[str], int]]:
+    """The words of a passage, in overlapping windows if they are many, each with the number
+    of letters that no window before it has."""
     words = words_of(part)
-    if not any(words):
-        return
     if len(words) <= WINDOW + STEP:
-        yield words
-    else:
-        for i in range(0, len(words) - STEP, STEP):
-            yield words[i : i + WINDOW]
+        if any(words):
+            yield words, sum(map(len, words))
+        return
+    for i in range(0, len(words) - STEP, STEP):
+        new = words[i : i + WINDOW] if i == 0 else words[i + WINDOW - STEP : i + WINDOW]
+        yield words[i : i + WINDOW], sum(map(len, new))
 
 
 def _pairs(words: list[str] | tuple[str, ...]) -> list[tuple[str, str]]:
     return [(a, b) for a, b in zip(words, words[1:]) if a and b]
 
 
+def may_hold_residue(text: str) -> bool:
+    """Whether a text has any sign or word that residue begins with."""
+    if _SIGNS.search(text):
+        return True
+    low = text.lower()
+    return any([w in low for w in _UNFILLED]) or any([w in low for w in _TO_FILL])
+
+
 class Index:
     """The inverted index of the exemplars, weighted by inverse document frequency."""
 
@@ -205,6 +218,7 @@ class Index:
         vocabulary = sorted(set().union(*(s for _, s, _ in self.pages)))
         self.weight = {t: 1 + float(np.log((1 + documents) / (1 + counts.get(t, 0)))) for t in vocabulary}
         self.other = float(np.mean(list(self.weight.values())))
+        self.weight[""] = 0.0
         self.by_pair: dict[tuple[str, str], list[int]] = defaultdict(list)
         self.by_word: dict[str, list[int]] = defaultdict(list)
         for e, (label, words, pairs) in enumerate(self.pages):
@@ -218,13 +232,18 @@ class Index:
 
     def _label(self, words: tuple[str, ...]) -> str | None:
         """The label whose best exemplars together hold the window, if any does."""
-        w1 = [self.weight.get(w, self.other) if w else 0.0 for w in words]
+        get, other = self.weight.get, self.other
+        w1 = [get(w, other) for w in words]
+        size, held = sum(w1), sum([get(w, 0.0) for w in words])
+        # Pairs of known words weigh no more than these words do.
+        if held < PAGE / (2 - PAGE) * size:
+            return None
         at = [i for i in range(len(words) - 1) if words[i] and words[i + 1]]
         w2 = {i: (w1[i] + w1[i + 1]) / 2 for i in at}
         pairs = {i: (words[i], words[i + 1]) for i in at}
-        size, both = sum(w1), sum(w2.values())
+        both = sum(w2.values())
         # What stands in no exemplar at all can't be held by one.
-        known = sum([v for w, v in zip(words, w1) if w in self.weight]) + sum([v for i, v in w2.items() if pairs[i] in self.by_pair])
+        known = held + sum([v for i, v in w2.items() if pairs[i] in self.by_pair])
         if known < PAGE * (size + both) and sum([v for w, v in zip(words, w1) if w in self.bags]) < PAGE * size:
             return None
         by_label: dict[str, set[int]] = defaultdict(set)
@@ -255,31 +274,32 @@ class Index:
     def has_residue(self, part: str) -> bool:
         """Whether a passage holds an exemplar of residue, and none of its words is of code."""
         terms = set(slots(part))
-        words = words_of(part)
-        if any(t in self.slots for t in terms) and self.code.isdisjoint(words):
-            if any(len(s & terms) >= CONTAINED * len(s) for t in terms for s in self.slots.get(t, ())):
+        if any(len(s & terms) >= CONTAINED * len(s) for t in terms for s in self.slots.get(t, ())):
+            if self.code.isdisjoint(words_of(part)):
                 return True
-        return self.label(tuple(words)) == "residue"
+        low = part.lower()
+        return any([w in low for w in _TO_FILL]) and self.label(tuple(words_of(part))) == "residue"
 
     def is_residue(self, text: str | None) -> bool:
         if not text:
             return False
-        marked, page, rest, hit, open_ = _QUICK.search(text) is not None, 0, 0, False, True
+        marked, page, rest, hit, open_ = may_hold_residue(text), 0, 0, False, True
         text = plain(text)
         for part in _CUT.split(text):
-            if marked and _QUICK.search(part) and self.has_residue(part):
+            if marked and may_hold_residue(part) and self.has_residue(part):
                 return True
             if open_:
-                for words in windows(part):
-                    size = sum(map(len, words))
+                for words, size in windows(part):
                     label = self.label(tuple(words))
                     if label in ("words", "filler", "script", "error", "frame"):
                         page += size
                         hit = hit or label != "frame"
                     else:
                         rest += size
-                # All the letters still to come could not make up for this.
-                open_ = rest <= (1 - COVERED) * len(text)
+                    # All the letters still to come could not make up for this.
+                    open_ = rest <= (1 - COVERED) * len(text)
+                    if not open_:
+                        break
             elif not marked:
                 break
         return open_ and hit and page >= COVERED * (page + rest)
