@@ -71,6 +71,24 @@ def test_wildcards(spark):
     assert len(t) == 1 and t[0].n_wild >= 1 and t[0].n_lines == 6 and lines.WILD in t[0].template
 
 
+def test_templates_count_different_documents(spark):
+    six = "\n".join(f"Chapter one part{x} go" for x in "abcdef")
+    tree = lines.parsed(lines.lines_of(lines.described(seg(spark, [("v0", six)]), meta(spark, videos(1)))), 1)
+    assert lines.templates(seg(spark, [("v0", six)]), meta(spark, videos(1))).count() == 0
+    assert {tuple(r.slots) for r in tree.collect()} == {("chapter", "one", f"part{x}", "go") for x in "abcdef"}
+    two = lines.templates(seg(spark, [("v0", six), ("v1", six)]), meta(spark, videos(2)), 2).collect()
+    assert {(t.n_docs, t.n_lines, t.n_wild) for t in two} == {(2, 1, 0)} and len(two) == 6
+
+
+def test_lines_with_changing_parts_are_removed_as_templates(spark):
+    s = seg(spark, [(f"v{i}", f"Own words {'abcdefghijkl'[i] * 3}\nUploaded on 2024-01-{i + 10} by the studio") for i in range(12)])
+    m = meta(spark, videos(12))
+    got = lines.template_lines(s, m).select("youtube_id", "line_no", "template", "n_docs")
+    assert rows(got) == sorted((f"v{i}", k, t, 12) for i in range(12) for k, t in ((1, "own words <*>"), (2, "uploaded on 2024 01 <*> by the studio")))
+    assert rows(lines.template_lines(s, m, literal=0.7).select("line_no").distinct()) == [(2,)]
+    assert lines.repeated_lines(s, m).count() == 0
+
+
 def test_latest_channel_counts(spark):
     m = meta(spark, [("v0", "c", 1.0, 1.0, None, T0), ("v0", " \t", 1.0, 1.0, None, T1)] + videos(5)[1:])
     s = seg(spark, [(f"v{i}", "same") for i in range(5)])
