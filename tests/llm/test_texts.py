@@ -186,3 +186,43 @@ def test_parts_of_names_are_mentions(spark):
 def test_similar_tokens_share_a_key():
     assert pii.alike("word", "Raghunathan") == pii.alike("word", "RAGUNATHAN'S") and pii.alike("num", "+44 7700 900123") == pii.alike("num", "447700900123")
     assert pii.alike("word", "Lopez") == "lopez" and pii.alike("other", "!") is None
+
+
+def test_near_leaks_recall(spark):
+    r = random.Random(6)
+    pool = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in ("n", "rt", "l", "st")]
+    text = lambda n: " ".join(r.choice(pool) for _ in range(n))
+    items = [(i, text(r.randrange(24, 60))) for i in range(40)] + [(900, None), (901, ""), (902, "too short")]
+
+    def reworded(s):
+        out = []
+        for w in s.split():
+            u = r.random()
+            out += [] if u < 0.06 else [r.choice(pool)] if u < 0.15 else [w, "really"] if u < 0.2 else [w]
+        return " ".join(out)
+
+    planted = [(i, k, f"{text(20)} {reworded(' '.join(items[k][1].split()[:30]))} {text(15)}") for i, k in enumerate(r.randrange(40) for _ in range(120))]
+    corpus = [(i, t) for i, _, t in planted] + [(1000 + i, text(60)) for i in range(200)] + [(2000, None), (2001, ""), (2002, items[0][1]), (2002, items[0][1])]
+    got = {(d, i): s for d, i, s in rows(leaks.near_leaks(docs(spark, corpus), spark.createDataFrame([(i, t, 1) for i, t in items], ITEM)))}
+    hit = sum((d, k) in got for d, k, _ in planted)
+    assert hit >= 0.9 * len(planted) and got[2002, 0] == 1.0
+    assert sum(d >= 1000 and d < 2000 for d, _ in got) <= 2
+    assert leaks.near_leaks(docs(spark, corpus).limit(0), spark.createDataFrame([(1, items[0][1], 1)], ITEM)).count() == 0
+
+
+def test_near_candidates_against_all_pairs(spark):
+    r = random.Random(8)
+    items = [(i, np.array([r.randrange(400) for _ in range(50)])) for i in range(30)]
+    g = np.random.default_rng(2)
+    index = leaks.NearIndex(items, g.standard_normal((400, 32)), np.ones(400))
+    every = some = 0
+    for i, ids in items:
+        doc = np.array([r.randrange(400) if r.random() < 0.2 else x for x in ids])
+        brute, near = index.search(doc, -2.0), index.search(doc)
+        every, some = every + len(brute), some + len(set(brute) & set(near))
+    assert every >= 20 and some >= 0.9 * every
+
+
+def test_common_subsequence():
+    a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 3, 8, 4])
+    assert leaks.common_subsequence(a, b) == 3 and leaks.common_subsequence(a, a) == 5 and leaks.common_subsequence(a, np.array([], int)) == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from .leaks import leaked
+from .leaks import leaked, near_leaks
 
 
 def p8_found(spark, d):
@@ -17,6 +17,11 @@ def p8_items(spark, d):
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
 
 
+def p8_near(spark, d):
+    """Documents with passages that say nearly what an item says."""
+    return near_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id", F.round("share", 4).alias("share"))
+
+
 _PAIRS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '<[^<>]*>|\d\d:\d\d:\d\d\.\d\d\d', ' ', 'g'), '[a-z0-9]+') w FROM documents WHERE text <> ''),
 i AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(text), '<[^<>]*>|\d\d:\d\d:\d\d\.\d\d\d', ' ', 'g'), '[a-z0-9]+') w FROM eval_items WHERE text <> ''),
@@ -25,5 +30,5 @@ iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') s FROM (SELECT i
 p AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s))
 """
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near}
 SQL = {"p8_found": _PAIRS + "SELECT doc_id, item_id FROM p", "p8_items": _PAIRS + "SELECT item_id, count(*) AS n_docs FROM p GROUP BY 1"}
