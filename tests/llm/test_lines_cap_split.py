@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,30 @@ def test_joined_channels(spark):
     m = meta(spark, [("a", "c1", 1.0, 1.0, None, T0), ("a", " c2", 1.0, 1.0, None, T1), ("b", "c2", 1.0, 1.0, None, T0), ("b", "c3", 1.0, 1.0, None, T0), ("gone", "c3", 1.0, 1.0, None, T0), ("gone", "c4", 1.0, 1.0, None, T0), ("d", "c5", 1.0, 1.0, None, T0), ("d", None, 1.0, 1.0, None, T0)])
     assert rows(split.joined_channels(s, m)) == [("c1", "c2"), ("c1", "c3"), ("c2", "c3")]
     assert split.joined_channels(s.limit(0), m).count() == 0
+
+
+def test_roots_of_all_channels(spark):
+    s = seg(spark, [(f"v{i}", "d") for i in range(4)])
+    m = meta(spark, [("v0", "c1", 1.0, 1.0, None, T0), ("v0", "c2", 1.0, 1.0, None, T1), ("v1", "c3", 1.0, 1.0, None, T0), ("v9", "c4", 1.0, 1.0, None, T0), ("v2", " ", 1.0, 1.0, None, T0)])
+    assert rows(split.channel_roots(s, m)) == [("c1", "c1"), ("c2", "c1"), ("c3", "c3")]
+
+
+def test_labels_keep_their_shares(spark):
+    r = random.Random(7)
+    many = [(f"v{i}", f"c{i % 700}", 1.0, 1.0, r.sample("ABCDE", r.choice([1, 1, 2])) + (["Z"] if i % 400 == 0 else []), T0) for i in range(4000)]
+    plan = spark.createDataFrame([("train", 80.0), ("test", 10.0), ("val", 10.0)], "split_name string, share_pct double")
+    got = split.label_balance(seg(spark, [(v, "d") for v, *_ in many]), meta(spark, many), plan).collect()
+    for g in got:
+        if g.label != "Z":
+            assert abs(g.share_pct - {"train": 80, "test": 10, "val": 10}[g.split_name]) < 1.0, g
+    assert sum(g.rows for g in got) == sum(len(x[4]) for x in many)
+
+
+def test_refine_moves_only_for_the_better():
+    g = np.random.default_rng(3)
+    w = np.column_stack([np.full(200, 5.0), g.integers(0, 3, (200, 4))])
+    target = np.array([0.8, 0.1, 0.1])[:, None] * w.sum(axis=0)
+    first = split.place(w, target.copy())
+    off = lambda s: sum(np.abs(w[s == k].sum(axis=0) - target[k]).sum() for k in range(3))
+    assert off(split.refine(w, first.copy(), target)) <= off(first)
+    assert len(split.refine(w[:0], first[:0], target)) == 0

@@ -67,3 +67,13 @@ def test_empty(spark):
     assert pack.pack_segments(frame(spark, []), budget).count() == 0
     assert pack.pack_segments(frame(spark, [(1, 1, [12], [12])]), budget).count() == 1
     assert pack.pack_segments(frame(spark, [(1, 1, [12], [12])]), budget.limit(0)).count() == 0
+
+
+def test_loss_limit_binds(spark):
+    rows = [(i, 0, [50] * 8 + [5] * 2, None) for i in range(60)] + [(100, 0, [50] * 20, None)]
+    budget = spark.createDataFrame([("tok_ids", 20)], "stream_name string, capacity int")
+    loose = pack.pack_segments(frame(spark, rows), budget).groupBy("container_no").sum("n_loss", "n_tokens").collect()
+    tight = pack.pack_segments(frame(spark, rows), budget, loss_share=0.6).groupBy("container_no").sum("n_loss", "n_tokens").collect()
+    assert len(loose) == 31 and max(r[1] for r in loose) == 20 and all(r[2] == 20 for r in loose)
+    # Two items bear 16 of 12 tokens allowed: each has its own container; the longest fills one.
+    assert len(tight) == 61 and sorted(r[1] for r in tight)[-2:] == [8, 20]

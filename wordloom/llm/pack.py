@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 SHARD_ITEMS = 32_768
 #: The segments one container may hold.
 MAX_SEGMENTS = 16
+#: The loss-bearing tokens one container may hold, as a share of its capacity. At 1 this limit
+#: is no narrower than the tokens' own.
+LOSS_SHARE = 1.0
 #: Ids up to this one are control tokens, which bear no loss.
 LAST_CONTROL = 9
 
@@ -58,8 +61,9 @@ def fill(sizes: np.ndarray, counts: np.ndarray, limits: np.ndarray) -> list[tupl
     return out
 
 
-def pack_shard(pdf: pd.DataFrame, max_segments: int) -> pd.DataFrame:
-    """One shard of one stream: its items with their container numbers."""
+def pack_shard(pdf: pd.DataFrame, max_segments: int, loss_share: float = LOSS_SHARE) -> pd.DataFrame:
+    """One shard of one stream: its items with their container numbers. An item that bears
+    more loss than a container may is taken as one that fills this limit by itself."""
     pdf = pdf.sort_values(["record_id", "seg_idx", "part"], na_position="first", kind="stable").reset_index(drop=True)
     cap = int(pdf["capacity"].iloc[0])
     vec = pdf[["n_tokens", "n_loss"]].to_numpy(np.int64)
@@ -68,7 +72,9 @@ def pack_shard(pdf: pd.DataFrame, max_segments: int) -> pd.DataFrame:
     order = np.argsort(cls.ravel(), kind="stable")
     at = np.concatenate([[0], np.cumsum(counts)[:-1]])
     box, used = np.empty(len(pdf), np.int64), 0
-    for which, many, times in fill(full, counts, np.array([cap, max_segments, cap])):
+    most_loss = max(1, int(cap * loss_share))
+    full[:, 2] = np.minimum(full[:, 2], most_loss)
+    for which, many, times in fill(full, counts, np.array([cap, max_segments, most_loss])):
         for c, k in zip(which, many):
             box[order[at[c] : at[c] + k * times]] = used + np.repeat(np.arange(times), k)
             at[c] += k * times
@@ -95,7 +101,7 @@ def items(segments: DataFrame, budget: DataFrame) -> DataFrame:
     """
     streams = ("tok_ids", "random_text")
     # At most one row a stream of the two: small whatever the input.
-    caps = {s: budget.where(F.col("stream_name") == s).agg(F.max("capacity")).first()[0] for s in streams}
+    caps = {r[0]: r[1] for r in budget.where(F.col("stream_name").isin(*streams)).groupBy("stream_name").agg(F.max("capacity")).collect()}
 
     def parts(name: str, cap: int) -> Column:
         n = length_without_padding(F.col(name))
@@ -119,9 +125,9 @@ def items(segments: DataFrame, budget: DataFrame) -> DataFrame:
     return rows.select("record_id", "seg_idx", "_lone", "stream_name", "capacity", "n_parts", "p.part", "p.n_tokens", "p.n_loss")
 
 
-def pack_segments(segments: DataFrame, budget: DataFrame, max_segments: int = MAX_SEGMENTS, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack_segments(segments: DataFrame, budget: DataFrame, max_segments: int = MAX_SEGMENTS, shard_items: int = SHARD_ITEMS, loss_share: float = LOSS_SHARE) -> DataFrame:
     """Every item's container: stream_name, shard and container_no name a container.
     Each stream is packed for itself, each item (each part of a cut one) placed once."""
     shards = max(1, math.ceil(segments.count() / shard_items))
     rows = items(segments, budget).withColumn("shard", F.pmod(F.xxhash64("record_id", "seg_idx", "_lone"), F.lit(shards)).cast("int"))
-    return rows.groupBy("stream_name", "shard").applyInPandas(lambda pdf: pack_shard(pdf, max_segments), PLACED)
+    return rows.groupBy("stream_name", "shard").applyInPandas(lambda pdf: pack_shard(pdf, max_segments, loss_share), PLACED)

@@ -3,9 +3,12 @@
 Videos that share a channel in any crawl, and channels that share a video, are one
 component. Components carry their number of rows and a vector of rows by label, and
 those with the rarest outstanding label go first, each to the split that needs that
-label most. Components of at least 1/1000 of all rows (at most 1000 of them) are placed
+label most; then single components are moved where that brings rows and labels nearer to
+the wanted shares. Components of at least 1/1000 of all rows (at most 1000 of them) are placed
 on the driver; the many light ones are placed shard by shard, each shard with its part
-of what the heavy ones left open.
+of what the heavy ones left open, so that no task and no driver holds more than a bounded
+number of components. Shards are many light components each, so their rounding is small
+against 1/1000 of the rows; p3_balance measures what is reached.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -25,8 +28,10 @@ from .crawl import latest_crawl, stripped
 HEAVY = 1000
 #: Light components of a shard, on the average.
 SHARD_GROUPS = 20_000
-#: Labels are hashed into so many cells, so that vectors stay short whatever the labels.
-CELLS = 64
+#: Labels counted each for itself, the most frequent ones; all others are one label together.
+LABELS = 63
+#: Rounds of moves after the placing.
+ROUNDS = 4
 
 
 def channel_links(segments: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +45,14 @@ def channel_links(segments: DataFrame, meta: DataFrame) -> tuple[DataFrame, Data
     return least, links
 
 
+def channel_roots(segments: DataFrame, meta: DataFrame) -> DataFrame:
+    """(channel, root): the component of every channel of a video in segments, named by its
+    least channel; one row a channel, alone or not."""
+    first, links = channel_links(segments, meta)
+    every = links.select(F.col("a").alias("channel")).unionByName(first.select(F.col("first").alias("channel"))).distinct()
+    return every.join(components(links).withColumnRenamed("node", "channel"), "channel", "left").select("channel", F.coalesce("root", "channel").alias("root"))
+
+
 def joined_channels(segments: DataFrame, meta: DataFrame) -> DataFrame:
     """(channel_a, channel_b), the smaller first: the pairs that must share a split."""
     roots = components(channel_links(segments, meta)[1])
@@ -81,6 +94,37 @@ def place(weights: np.ndarray, need: np.ndarray) -> np.ndarray:
     return split
 
 
+def refine(weights: np.ndarray, split: np.ndarray, target: np.ndarray, under: float = 1.0, rounds: int = ROUNDS) -> np.ndarray:
+    """The splits after moves of single groups, largest first, each to the split where the sum
+    of squared deviations of rows and labels from target, each against its total, gets
+    least. What is lacking counts `under` times as much as what is too much. A round that
+    moves nothing is the last one."""
+    if not len(weights):
+        return split
+    scale = 1.0 / np.maximum(target.sum(axis=0), 1.0)
+    scale[0] *= 4  # rows first
+    unit = np.sqrt(scale)
+    w, over = weights * unit, -target * unit
+    np.add.at(over, split, w)
+    cost = lambda x: (np.where(x > 0, x, under * x) * x).sum(axis=1)
+    order = np.argsort(-weights[:, 0], kind="stable")
+    for _ in range(rounds):
+        moved = False
+        for g in order:
+            v, s = w[g], split[g]
+            over[s] -= v
+            change = cost(over + v) - cost(over)
+            to = int(np.argmin(change))
+            if change[to] > change[s] - 1e-9:
+                to = int(s)
+            over[to] += v
+            moved = moved or to != s
+            split[g] = to
+        if not moved:
+            break
+    return split
+
+
 def assign_splits(segments: DataFrame, meta: DataFrame, plan: DataFrame, shard_groups: int = SHARD_GROUPS) -> DataFrame:
     """(youtube_id, split_name, n_rows) of every video that segments name.
 
@@ -99,20 +143,28 @@ def assign_splits(segments: DataFrame, meta: DataFrame, plan: DataFrame, shard_g
     video = sizes.join(first, "youtube_id", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
     video = video.select("youtube_id", "n", F.coalesce(F.concat(F.lit("c:"), F.coalesce("root", "first")), F.concat(F.lit("v:"), "youtube_id")).alias("grp"))
     video = cut(video.join(latest_crawl(meta, "categories").select("youtube_id", "categories"), "youtube_id", "left"))
-    cell = F.pmod(F.xxhash64("label"), F.lit(CELLS)).cast("int")
-    labels = video.select("grp", "n", F.explode("categories").alias("label")).groupBy("grp", cell.alias("cell")).agg(F.sum("n").alias("m"))
-    labels = labels.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("cell", "m"))).alias("m"))  # at most CELLS entries
+    rows = video.select("grp", "n", F.explode("categories").alias("label")).where("label is not null")
+    known = [r["label"] for r in rows.groupBy("label").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "label").limit(LABELS).collect()]
+    cells = len(known) + 1
+    cell = F.coalesce(F.element_at(F.create_map(*[x for i, k in enumerate(known) for x in (F.lit(k), F.lit(i))]), F.col("label")), F.lit(len(known))) if known else F.lit(0)
+    labels = rows.groupBy("grp", cell.alias("cell")).agg(F.sum("n").alias("m"))
+    labels = labels.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("cell", "m"))).alias("m"))  # at most LABELS + 1 entries
     none = F.create_map().cast("map<int,bigint>")
-    vector = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.element_at("m", c), F.lit(0)))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.coalesce(F.element_at("m", c), F.lit(0)))
     groups = video.groupBy("grp").agg(F.sum("n").alias("n")).join(labels, "grp", "left").withColumn("m", F.coalesce("m", none))
     groups = cut(groups.select("grp", F.concat(F.array("n"), vector).alias("w")))
-    total = groups.agg(F.count("*"), *[F.sum(F.col("w")[i]) for i in range(CELLS + 1)]).first()
+    total = groups.agg(F.count("*"), *[F.sum(F.col("w")[i]) for i in range(cells + 1)]).first()
     n_groups, whole = total[0], np.array([x or 0 for x in total[1:]], dtype=float)
     limit = max(1.0, whole[0] / HEAVY)
     # Each has more than 1/HEAVY of all rows, so there are fewer than HEAVY.
     heavy = groups.where(F.col("w")[0] > limit).orderBy("grp").collect()
     need = share[:, None] * whole
-    got = place(np.array([r["w"] for r in heavy], dtype=float), need) if heavy else []
+    got: np.ndarray = np.zeros(0, int)
+    if heavy:
+        w = np.array([r["w"] for r in heavy], dtype=float)
+        # The light ones can fill what is lacking, but not undo what is too much.
+        got = refine(w, place(w, share[:, None] * whole), share[:, None] * whole, under=0.0)
+        np.subtract.at(need, got, w)
     spark = segments.sparkSession
     done = spark.createDataFrame([(r["grp"], names[s]) for r, s in zip(heavy, got)], "grp string, split_name string")
     lack = np.maximum(need, 0)
@@ -122,12 +174,21 @@ def assign_splits(segments: DataFrame, meta: DataFrame, plan: DataFrame, shard_g
     def place_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("grp")
         w = np.array(pdf["w"].tolist(), dtype=float)
-        return pd.DataFrame({"grp": pdf["grp"], "split_name": [names[i] for i in place(w, portion * w.sum(axis=0))]})
+        target = portion * w.sum(axis=0)
+        return pd.DataFrame({"grp": pdf["grp"], "split_name": [names[i] for i in refine(w, place(w, target.copy()), target)]})
 
     light = groups.where(F.col("w")[0] <= limit).withColumn("shard", F.pmod(F.xxhash64("grp"), F.lit(shards))).groupBy("shard").applyInPandas(place_shard, "grp string, split_name string")
     return video.join(light.unionByName(done), "grp").select("youtube_id", "split_name", F.col("n").alias("n_rows"))
 
 
+def label_balance(segments: DataFrame, meta: DataFrame, plan: DataFrame) -> DataFrame:
+    """(label, split_name, rows, share_pct): the rows of each label by split, and its share of
+    the label's rows."""
+    labelled = assign_splits(segments, meta, plan).join(latest_crawl(meta, "categories").select("youtube_id", F.explode("categories").alias("label")), "youtube_id")
+    count = labelled.groupBy("label", "split_name").agg(F.sum("n_rows").alias("rows"))
+    return count.withColumn("share_pct", F.round(100 * F.col("rows") / F.sum("rows").over(Window.partitionBy("label")), 3))  # a row a label and split
+
+
 def split_rows(segments: DataFrame, meta: DataFrame, plan: DataFrame) -> DataFrame:
     """(record_id, seg_idx, youtube_id, split_name): each row that names a video, once."""
     rows = segments.select("record_id", "seg_idx", "youtube_id").distinct()
