@@ -23,27 +23,53 @@ def test_spelling(text, want):
     assert T.spell_text(text) == want
 
 
-@pytest.mark.parametrize("text", ["Café – naïve", "plain", "", None, "日本", "Ünïcödé"])
-def test_repair(text):
-    broken = text and text.encode().decode("cp1252", "replace")
-    assert T.repair(text) == text
-    if broken is not None and "\ufffd" not in broken:
-        assert T.repair(broken) == text
+@pytest.mark.parametrize("text", ["Café – naïve", "plain", "", None, "日本", "Ünïcödé", "“quoted”…", "\U0001f600 ok"])
+def test_repair(spark, text):
+    once = text and text.encode().decode("cp1252", "replace")
+    fixed = lambda t: spark.createDataFrame([(t,)], "t string").select(T.repaired_text(F.col("t"))).first()[0]
+    assert fixed(text) == text
+    if once is not None and "\ufffd" not in once:
+        assert fixed(once) == text
+        twice = once.encode().decode("cp1252", "replace")
+        assert "\ufffd" in twice or fixed(twice) == text
     assert T.name_emoji("a\U0001f600b") == "a[grinningface]b" and T.name_emoji(None) is None
 
 
+def test_folding(spark):
+    # By hand from the usual spelling of each letter and sign.
+    texts = {"Москва…": "Moskva...", "Щука, Ёж": "Shchuka, Iozh", "Αθήνα": "Athena", "Straße — Øre": "Strasse    Ore", "“a” ‘b’": "\"a\" 'b'", "(x) [y] {z} a_b": " x   y   z  a b", "½ € ©": "1/2 EUR  c ", "ﬁn 日本": "ﬁn 日本", "e\u0301": "e", "Ａ１": "A1", "": ""}
+    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold_ascii(F.col("t")).alias("f")).collect()}
+    assert got == texts
+
+
 def test_spelled_numbers_in_spark(spark):
-    assert [r[0] for r in spark.createDataFrame([("5:07",), (None,)], "t string").select(T.spelled_numbers("t")).collect()] == ["five oh seven", None]
+    df = spark.createDataFrame([("5:07",), (None,), ("no",)], "t string")
+    assert [r[0] for r in df.select(T.spelled_numbers(F.col("t"))).collect()] == ["five oh seven", None, "no"]
+    rows = spark.range(400).select("id", T.spoken_text(F.lit("take 7"), 3, "id").alias("s")).collect()
+    n = sum(r.s == "take seven" for r in rows)
+    assert 140 < n < 260 and {r.s for r in rows} == {"take seven", "take 7"}
+
+
+def test_small_texts(spark):
+    r = one(spark, loc=T.location_text(F.lit(1.0), F.lit(2.999), F.lit(3.0)), ann=T.annotation_id(F.lit("val-12-q_a1")), cond=T.condition_of(F.lit("val-12-q_a1")), names=T.named_references(F.array(F.lit(1), F.lit(9), F.lit(0)), F.array(F.lit("the car"), F.lit("Person 1"))), search=T.searchable_text(F.lit("T"), F.lit("see #x www.y me"), F.array(F.lit("a"), F.lit("b"))), none=T.searchable_text(F.lit(None), F.lit(None), F.lit(None).cast("array<string>")), ok=T.is_clean(F.lit("It's 5, ok?")), bad=T.is_clean(F.lit("a-b")))
+    assert r == {"loc": "33 to 99", "ann": "val-12", "cond": "a1", "names": "Person 1", "search": "T\nsee me\na b", "none": "\n\n", "ok": True, "bad": False}
+
+
+def test_addresses_in_brackets(spark):
+    # The public pattern takes brackets nested once; both forms agree on these.
+    texts = {"see https://a.example/b_(c_(d)_e)?x=1, now": "see %, now", "(www.a.example/x)": "(%)", "a.org/b end.": "% end.", "a.example/b": "a.example/b", "no.such place": "no.such place", "http://x.example/a(b": "%(b"}
+    got = {r.t: r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.clean_description(F.col("t")).alias("f")).collect()}
+    assert got == texts
 
 
 def test_cleaning(spark):
     r = one(spark, runs=T.collapse_runs(F.lit("a!!b??")), clean=T.clean_text(F.lit("Café <br>(naïve) & 50%...\n\nok\U0001f600")), none=T.clean_text(F.lit(None).cast("string")), empty=T.clean_text(F.lit("  ")), desc=T.clean_description(F.lit("See https://a.example/b?c=1 now  \n\n\n end \n")), toks=T.description_tokens(F.lit("hi #tag see http://x @me www.a.b there")))
-    assert r == {"runs": "a!b?", "clean": "Cafe naive and 50 percent . ok", "none": None, "empty": "", "desc": "See % now\n end", "toks": "hi see there"}
+    assert r == {"runs": "a!b?", "clean": "Cafe naive and 50 percent . ok grinningface", "none": None, "empty": "", "desc": "See % now\n end", "toks": "hi see there"}
 
 
 def test_clean_description_is_fast_on_long_texts(spark):
     long = "https://a.example/" + "(" * 3000 + "x" * 20000
-    assert spark.createDataFrame([(long,)], "t string").select(T.clean_description("t")).first()[0]
+    assert spark.createDataFrame([(long,)], "t string").select(T.clean_description(F.col("t"))).first()[0]
 
 
 def test_words(spark):

@@ -7,9 +7,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wordloom.operators import align, captions, evaluation, examples, intervals, masking, packing, quality, sampling, vectors, words
+from wordloom.functions.arrays import run_lengths_to_spans
+from wordloom.operators import align, captions, evaluation, examples, intervals, masking, numbering, packing, quality, sampling, vectors, words
 from wordloom.operators import segments as S
 from wordloom.operators.running import running
+from wordloom.rand import uniform
 
 
 def rows(df):
@@ -212,7 +214,147 @@ def test_sampling(spark):
 
 def test_examples(spark):
     seg = spark.read.parquet("/root/testdata/sf0.001/segment_k2f.parquet")
-    e = examples.build_examples(seg, 200)
-    r = e.first()
-    assert len(r.text_to_audio) == len(r.audio_to_text) == len(r.matching) == 200 and len(r.targets_a) == len(r.targets_b) == 12
-    assert sum(t.tok == 3 for t in r.text_to_audio) == 12 and e.count() == seg.select("record_id").distinct().count()
+    e = examples.build_examples(seg, 400)
+    got = e.collect()
+    assert len(got) == seg.select("record_id").distinct().count()
+    one = seg.groupBy("record_id", "seg_idx").agg(F.max_by(F.struct("tok_ids", "title", "random_text"), "arrived_at").alias("x")).select("record_id", "seg_idx", "x.*").collect()
+    for r in got:
+        mine = sorted((x for x in one if x.record_id == r.record_id), key=lambda x: x.seg_idx)
+        assert len(r.text_to_audio) == len(r.audio_to_text) == len(r.matching) == len(r.random_text) == 400
+        # Targets of both views: twelve spans each, numbered on; the sound is hidden in the first view only.
+        assert sorted(t.text_ptr for t in r.text_to_audio if t.tok == 3) == list(range(12)) == sorted(t.text_ptr - 12 for t in r.audio_to_text if t.tok == 3)
+        assert sum(t.tok == 4 for t in r.text_to_audio) == 12 and not any(t.tok == 4 for t in r.audio_to_text)
+        assert [t.audio_ptr for t in r.matching if t.tok == 6] == [x.seg_idx * 3 for x in mine]
+        assert sum(t.tok == 5 for t in r.matching) == 18 * len(mine) and r.matching[0].tok == 1 and r.matching[0].audio_ptr == -1
+        # No token is lost or doubled in the first view: those shown and those asked for are all.
+        whole = [t for x in mine for t in x.tok_ids or []]
+        if len(whole) < 200:
+            shown, asked = [t for t in r.text_to_audio if t.audio_ptr >= 0 and t.tok not in (3, 4)], r.targets[:12]
+            if all(s[-1] == 0 for s in asked):
+                assert sorted([t.tok for t in shown] + [t for s in asked for t in s if t]) == sorted(whole)
+        assert all(len(s) == 15 for s in r.targets)
+        random = [t.tok for t in r.random_text if t.tok > 10]
+        assert not random or any(set(random) <= set(x.random_text or []) for x in mine[:4])
+    assert sorted(map(str, got)) == sorted(map(str, examples.build_examples(seg.repartition(5), 400).collect()))
+
+
+def brute_grow(lengths, centres, masked, starts, ends, right, delta):
+    cuts, at = [], 0
+    for n in lengths:
+        cuts.append(centres[at : at + n])
+        at += n
+    out, step = list(lengths), 1 if right else -1
+    for i in range(len(lengths)):
+        j = i + step
+        if masked[i] and 0 <= j < len(lengths) and not masked[j] and lengths[j] > 1:
+            if (min(cuts[j]) - ends[i] if right else starts[i] - max(cuts[j])) < delta:
+                out[i] += 1
+                out[j] -= 1
+    return out
+
+
+def test_growth_against_brute_force(spark):
+    r = random.Random(2)
+    data = []
+    for k in range(60):
+        n = r.randrange(1, 9)
+        lengths = [r.randrange(0, 4) for _ in range(n)]
+        c = sorted(round(r.uniform(0, n), 2) for _ in range(sum(lengths)))
+        data.append((k, lengths, c, [r.random() < 0.4 for _ in range(n)], [float(i) for i in range(n)], [i + 0.9 for i in range(n)], r.random() < 0.5))
+    df = spark.createDataFrame(data, "k int, n array<int>, c array<double>, m array<boolean>, a array<double>, b array<double>, r boolean")
+    spans = run_lengths_to_spans(F.col("c"), F.col("n"))
+    got = {x.k: x.g for x in df.select("k", masking.grown_spans(spans, F.col("c"), F.col("m"), F.col("a"), F.col("b"), F.col("r"), 0.3).alias("g")).collect()}
+    for k, lengths, c, m, a, b, right in data:
+        want = brute_grow(brute_grow(lengths, c, m, a, b, right, 0.3), c, m, a, b, not right, 0.3)
+        assert [len(s) for s in got[k]] == want and [t for s in got[k] for t in s] == c
+
+
+def test_drawn_lengths_fill_the_room(spark):
+    df = spark.createDataFrame([(i, list(range(20, 20 + 7 * i))) for i in range(30)], "k int, t array<int>")
+    for r in df.select("k", "t", masking.drawn_lengths(F.col("t"), 60, 3, 4, "k").alias("l")).collect():
+        assert sum(r.l) <= min(len(r.t), 72) and all(1 <= x <= 15 for x in r.l) and (sum(r.l) > min(len(r.t), 60) - 16)
+
+
+def test_valid_tokens(spark):
+    v = spark.createDataFrame([(11, "a b"), (12, "a-b"), (149, "x"), (5, "y"), (13, "it's"), (14, None)], "id int, text string")
+    table = masking.valid_table(v)
+    df = spark.createDataFrame([([5, 11, 12, 13, 14, 149, 999, -1],), ([],), (None,)], "t array<int>")
+    assert [r[0] for r in df.select(masking.valid_tokens(F.col("t"), table)).collect()] == [[11, 13], [], None]
+    with pytest.raises(ValueError, match="more than"):
+        masking.valid_table(v, 1)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=40), st.integers(2, 16), st.integers(1, 10), st.integers(0, 9))
+def test_groups_with_draws_are_full_and_disjoint(counts, size, most, seed):
+    def made():
+        p, groups = packing.Packer(size, most, seed), []
+        for k, n in enumerate(counts):
+            groups += p.add(k, 0, n)
+        return groups + list(p.finish())
+
+    groups = made()
+    used = [(k, i) for g in groups for k, a, n in g for i in range(a, a + n)]
+    assert all(sum(n for _, _, n in g) == size for g in groups) and len(used) == len(set(used)) and all(0 <= i < counts[k] for k, i in used)
+    assert groups == made()
+
+
+def test_numbering(spark):
+    r = random.Random(5)
+    data = [(r.choice("abc") + str(r.randrange(10_000)), i) for i in range(500)]
+    df = spark.createDataFrame(data, "s string, n int").withColumnRenamed("n", "other")
+    for parts in (1, 3, 16):
+        got = numbering.numbered(df, "s", "other", parts=parts).orderBy("n").collect()
+        assert [(x.s, x.other) for x in got] == sorted(data) and [x.n for x in got] == list(range(500)) and got[0].total == 500
+    assert numbering.numbered(df.limit(0), "s").count() == 0
+    assert [numbering.shard_of(df, 3, k, "s", "other").count() for k in range(3)] == [167, 167, 166]
+    z = numbering.zipped(df, ["s", "other"], spark.range(3).withColumnRenamed("id", "b"), ["b"])
+    assert sorted((x.n, x.s, x.b) for x in z.collect()) == [(i, s, i) for i, (s, _) in enumerate(sorted(data)[:3])]
+    with pytest.raises(Exception, match="ends before"):
+        numbering.zipped(df, ["s"], spark.range(3).withColumnRenamed("id", "b"), ["b"], strict=True).collect()
+    e = numbering.epochs(df, 3, 1, "s", 2, 0).unionByName(numbering.epochs(df, 3, 1, "s", 2, 1))
+    assert e.count() == 1500 and e.select("s", "epoch", "file_order").distinct().count() == 3 * len({s for s, _ in data})
+
+
+def test_sizes_and_rates(spark):
+    df = spark.createDataFrame([(300, 200), (1000, 200), (640, 480), (480, 640), (2000, 400), (512, 288)], "w int, h int")
+    got = [tuple(r[0]) for r in df.select(S.resize_size(F.col("w"), F.col("h"), 288, 512)).collect()]
+    # Short sides at or under the target stay; else the short side is the target, or round(512 short / long).
+    assert got == [(300, 200), (1000, 200), (384, 288), (288, 384), (510, 102), (512, 288)]
+    last = spark.range(1).select(S.learning_rate(F.lit(10), 1.0, 1, 10, "linear"), S.learning_rate(F.lit(4), 1.0, 8, 9)).first()
+    assert round(last[0], 6) == 0.1 and last[1] == 0.5
+    g = spark.range(1).select(S.grid_coordinates(F.lit(2), F.lit(3)), S.centred_coordinates(F.lit(5)), S.plain_coordinates(F.lit(2)), S.joint_coordinates(token=F.lit(512))).first()
+    assert [(round(x.h, 3), round(x.w, 3)) for x in g[0]] == [(-0.25, -0.25), (-0.25, 0.25), (-0.25, 0.5), (0.25, -0.25), (0.25, 0.25), (0.25, 0.5)]
+    assert g[1] == [-2.0, -1.0, 1.0, 2.0, 3.0] and g[2] == [1.0, 2.0] and g[3] == [0.0, 0.0, 0.0, 0.5]
+    w = spark.range(1).select(S.normalised_wave(F.array(F.lit(2.0), F.lit(-4.0)), F.lit(4)), S.too_short(F.lit(5.5)), S.too_short(F.lit(None).cast("double")), S.of_size(F.array(F.lit(1)), 1)).first()
+    assert w[0] == [0.5, -1.0, 0.0, 0.0] and w[1] and w[2] and w[3] == [1]
+    with pytest.raises(Exception, match="other than 2"):
+        spark.range(1).select(S.of_size(F.array(F.lit(1)), 2)).collect()
+
+
+def test_windows_start_at_the_first_word(spark):
+    words_ = spark.createDataFrame([("v", 12.0 + i / 2, 60.0, 11.876) for i in range(80)], "k string, center double, duration double, start double")
+    first = S.adaptive_windows(words_, "k", start="start").orderBy("seg_idx").first()
+    assert first.start_time == 11.88 and first.end_time == 16.88
+    drawn = S.adaptive_windows(words_, "k", start="start", seed=3).orderBy("seg_idx").collect()
+    assert 11.876 - 2.5 <= drawn[0].start_time <= 11.88 and drawn == S.adaptive_windows(words_.repartition(3), "k", start="start", seed=3).orderBy("seg_idx").collect()
+    u = spark.range(1).select(uniform(3, F.lit("v"))).first()[0]
+    assert S.chance(3, "v") == u and drawn[0].start_time == round(11.876 - 2.5 * u, 2)
+
+
+def test_words_in_a_row(spark):
+    df = spark.createDataFrame([(1, "HELLO I am Ab,c"), (2, ""), (3, "x")], "d int, t string")
+    q = {r.d: r.q for r in df.select("d", words.row_quality(words.split_words(F.col("t"))).alias("q")).collect()}
+    w = {r.d: r for r in words.token_quality(words.words_of(df, "d", "t"), "d").collect()}
+    assert q[2] is None and all((q[k].n_words, q[k].frac_good, round(q[k].len_var, 9)) == (w[k].n_words, w[k].frac_good, round(w[k].len_var, 9)) for k in (1, 3))
+    subs = spark.createDataFrame([("&gt;",), ("x;",), ("",), ("\x07",), ("caf\u00c3\u00a9",), (None,)], "word string")
+    assert rows(words.clean_subtitles(subs)) == [("caf\u00c3\u00a9",)] and rows(words.clean_subtitles(subs, store_repaired=True)) == [("caf\u00e9",)]
+    t = spark.range(1).select(words.per_token(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.array(F.lit(1), F.lit(2)), F.array().cast("array<int>"), F.array(F.lit(3))))).first()[0]
+    assert t == ["a", "a", "c"]
+
+
+def test_gates_of_language_and_sound(spark):
+    df = spark.createDataFrame([("en", 0.9, 1), ("en", 0.7, 1), ("en", 0.9, 0), ("en", 0.9, None)], "lang string, p double, a int")
+    one = F.lit(1.0)
+    gates = quality.crawl_gates(transcript=F.lit("x"), duration=one, categories=F.array(F.lit("A")), density=one * 60, lang=F.col("lang"), cosine=one / 2, objects=one, lang_prob=F.col("p"), audio_streams=F.col("a"))
+    assert [r.failreason for r in quality.with_reason(df, gates).collect()] == [None, "maybe not english", "no audio", "no audio"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import AUDIOSPAN, END, MASK, MASKAUDIO, PAD, START, fit_tokens, let, pointer, run_lengths_to_spans
+from ..functions.arrays import AUDIOSPAN, END, MASK, MASKAUDIO, PAD, START, fit_pointers, fit_tokens, let, pointer, run_lengths_to_spans
+from ..rand import uniform
 
 # Fixed value: weights of span lengths 1..15 in text without audio.
 SPAN_WEIGHTS = (0.03233136, 0.05236081, 0.08763368, 0.11757072, 0.13737426, 0.13717706, 0.12541218, 0.10262764, 0.0771088, 0.05364242, 0.0342899, 0.0203823, 0.01177542, 0.00664939, 0.00366406)
@@ -60,6 +63,42 @@ def reassign_empty(spans: Column, masked: Column, first_right: bool = False) ->
     return run_lengths_to_spans(F.flatten(spans), donate(once, masked, not first_right))
 
 
+def grow(lengths: Column, centres: Column, masked: Column, starts: Column, ends: Column, rightwards: bool, delta: float) -> Column:
+    """Lengths after each masked span took one token from its right neighbour (or, leftwards,
+    from its left one), where that isn't masked, has two tokens or more and its nearest one
+    lies less than delta beyond the span's audio bound. centres are all tokens' in order."""
+    step = 1 if rightwards else -1
+
+    def move(ns: Column) -> Column:
+        def by_span(cs: Column) -> Column:
+            def takes(i: Column) -> Column:
+                there = F.get(cs, i + step)
+                gap = F.array_min(there) - F.get(ends, i) if rightwards else F.get(starts, i) - F.array_max(there)
+                return F.coalesce(F.get(masked, i) & ~F.get(masked, i + step) & (F.get(ns, i + step) > 1) & (gap < delta), F.lit(False))
+
+            return F.transform(ns, lambda n, i: n + takes(i).cast("int") - takes(i - step).cast("int"))
+
+        return let(run_lengths_to_spans(centres, ns), by_span)
+
+    return let(lengths, move)
+
+
+def grown_spans(spans: Column, centres: Column, masked: Column, starts: Column, ends: Column, right_first: Column, delta: float = 0.1) -> Column:
+    """Spans after both directions of growth, the right one first where right_first holds;
+    tokens keep their order. centres are all tokens' centres in order."""
+    lengths = F.transform(spans, lambda s: F.size(s))
+    both = lambda first: grow(grow(lengths, centres, masked, starts, ends, first, delta), centres, masked, starts, ends, not first, delta)
+    return run_lengths_to_spans(F.flatten(spans), F.when(right_first, both(True)).otherwise(both(False)))
+
+
+def pointer_groups(pointers: Column, spans: int, groups: int, size: int | None = None) -> Column:
+    """Pointer triples parted by span into groups of spans // groups spans each, cut or padded
+    to size where it is given."""
+    each = spans // groups
+    part = lambda g: F.filter(pointers, lambda t: F.floor(t["audio_ptr"] / each) == g)
+    return F.array(*[fit_pointers(truncated(part(g), size), size) if size else part(g) for g in range(groups)])
+
+
 def grown_masks(df: DataFrame, keys: list[str], pos: str = "pos", delta: float = 0.1) -> DataFrame:
     """Rows (keys, pos, masked, n, lo, hi, audio_start, audio_end) of spans with the flags
     takes_right and takes_left: a masked span takes the first token of its right
@@ -99,6 +138,36 @@ def pseudo_lengths(u: Column, total: Column) -> Column:
     return F.filter(lens, lambda x, i: upto(i) <= total)
 
 
+def span_budget(desired: int, mask_rate: float = 0.25, mean_length: float = 5.5) -> int:
+    """Masked spans of a text of the desired length: each gives one token for mean_length."""
+    return int(desired / (mean_length / mask_rate - mean_length + 1.0))
+
+
+def drawn_lengths(tokens: Column, desired: int, budget: int, seed: int, *keys: str) -> Column:
+    """Span lengths by hash of the keys, as many as fit into what the desired length stands for
+    before `budget` spans are masked, and into the tokens."""
+    mean = sum(i * w for i, w in enumerate(SPAN_WEIGHTS)) + 1
+    room = F.least(F.lit(desired + int((mean * 0.85 - 1) * budget)), F.size(tokens))
+    whole, bounds, run = sum(SPAN_WEIGHTS), [], 0.0
+    for x in SPAN_WEIGHTS[:-1]:
+        run += x / whole
+        bounds.append(run)
+
+    def length(i: Column) -> Column:
+        return let(uniform(seed, *keys, i), lambda u: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: u >= b)) + 1)
+
+    def step(acc: Column, i: Column) -> Column:
+        def with_length(n: Column) -> Column:
+            # Beyond the room nothing is taken any more.
+            fits = acc["total"] + n <= room
+            return F.struct(F.when(fits, acc["total"] + n).otherwise(1 << 30).alias("total"), F.when(fits, F.concat(acc["lens"], F.array(n))).otherwise(acc["lens"]).alias("lens"))
+
+        return F.when(acc["total"] >= room, acc).otherwise(let(length(i), with_length))
+
+    zero = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("lens"))
+    return F.when(room > 0, F.aggregate(F.sequence(F.lit(0), room - 1), zero, step)["lens"]).otherwise(F.array().cast("array<int>"))
+
+
 def pseudo_spans(tokens: Column, lengths: Column, offset: Column) -> Column:
     """struct(spans, before, after): tokens from offset on cut by the lengths, and the rest
     on both sides."""
@@ -137,10 +206,41 @@ def _truncated(tokens: Column, size: int, score: Column | None) -> Column:
 
 
 def valid_token(t: Column) -> Column:
-    """Above the control tokens and not among the bad ones."""
+    """Above the control tokens and not among the bad ones; what a token says is left to
+    valid_tokens, which knows the vocabulary."""
     return (t > 10) & ~t.isin(*BAD_TOKENS)
 
 
+def valid_table(vocabulary: DataFrame, most: int = 1_000_000) -> np.ndarray:
+    """Whether each id of a vocabulary (id, text) is valid: valid_token(), and its text has only
+    letters, digits, blanks and apostrophes. A vocabulary of more than `most` ids is an error."""
+    good = vocabulary.where(valid_token(F.col("id")) & F.col("text").rlike(r"^[ A-Za-z0-9']*$")).select("id").distinct()
+    ids = [r[0] for r in good.limit(most + 1).collect()]
+    if len(ids) > most or max(ids, default=0) > most * 10:
+        raise ValueError(f"a vocabulary of more than {most} ids")
+    table = np.zeros(max(ids, default=0) + 1, bool)
+    table[ids] = True
+    return table
+
+
+def valid_tokens(tokens: Column, table: np.ndarray) -> Column:
+    """The valid tokens of an array, by a look-up of all tokens of a batch at once; ids that the
+    vocabulary has not are not valid. A null array stays null."""
+
+    @F.pandas_udf("array<int>")
+    def keep(s: pd.Series) -> pd.Series:
+        def one(a):
+            if a is None:
+                return None
+            a = np.asarray(a)
+            known = (a >= 0) & (a < len(table))
+            return a[known & table[np.where(known, a, 0)]]
+
+        return s.map(one)
+
+    return keep(tokens)
+
+
 def header(title: Column, description: Column, tags: Column, words: tuple[list[int], list[int], list[int]], size: int) -> Column:
     """START title-word title START description-word description START tags-word tags END,
     cut to size; a null part counts as empty."""

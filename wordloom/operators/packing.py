@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import END, START
+from .segments import chance
 
 
 def pack_blocks(docs: DataFrame, shard: str, order: str, tokens: str, length: int) -> DataFrame:
@@ -70,57 +70,69 @@ def grouped_rows(df: DataFrame, keys: list[str], order: list[str], n: int, value
 
 
 class Packer:
-    """Groups of exactly size segments. A video gives full groups from its front; what is
-    left waits, and when more than most videos wait, the one with the most left is
-    popped, joined by others that fit whole, the largest first, and at last by a part of
-    the one with the least key."""
+    """Groups of exactly size segments. A video gives full groups as long as it has them; its
+    rest waits. When more than `most` rests wait, a group is made of them: the longest, then
+    what fits whole from the longer to the shorter, and then parts of single rests.
 
-    def __init__(self, size: int, most: int):
-        self.size, self.most = size, most
+    With a seed, parts come from a rest's front with the chance `front`, else from its back, and
+    the rest to be cut is drawn by hash; without one, parts come from the front, and of the
+    rests the one with the least key is cut.
+    """
+
+    def __init__(self, size: int, most: int, seed: int | None = None, front: float = 0.8, shard: object = ""):
+        self.size, self.most, self.seed, self.front, self.shard = size, most, seed, front, shard
         self.left: dict = {}
+        self.drawn = 0
+
+    def _chance(self) -> float:
+        self.drawn += 1
+        return chance(self.seed, self.shard, self.drawn)
+
+    def _part(self, first: int, n: int, take: int) -> tuple[int, tuple[int, int]]:
+        """Where a part of a rest begins, and what is left of the rest."""
+        if self.seed is None or self._chance() < self.front:
+            return first, (first + take, n - take)
+        return first + n - take, (first, n - take)
 
     def add(self, key, first: int, n: int) -> Iterator[list[tuple]]:
         while n >= self.size:
-            yield [(key, first, self.size)]
-            first, n = first + self.size, n - self.size
+            at, (first, n) = self._part(first, n, self.size)
+            yield [(key, at, self.size)]
         if n:
             self.left[key] = (first, n)
         while len(self.left) > self.most:
-            g = self.pop()
+            g = self._join()
             if g:
                 yield g
 
     def finish(self) -> Iterator[list[tuple]]:
         while self.left:
-            g = self.pop()
+            g = self._join()
             if g:
                 yield g
 
-    def pop(self) -> list[tuple] | None:
-        order = heapq.nsmallest(len(self.left), self.left, key=lambda k: (-self.left[k][1], k))
-        room, group = self.size, []
-        for k in order:
-            first, n = self.left[k]
+    def _join(self) -> list[tuple] | None:
+        """One group of the rests; None if all of them together make none."""
+        group, room = [], self.size
+        for key, (first, n) in sorted(self.left.items(), key=lambda x: (-x[1][1], x[0])):
             if n <= room:
-                group.append((k, first, n))
+                group.append((key, first, n))
                 room -= n
-                del self.left[k]
-            if not room:
-                return group
-        while room:
-            if not self.left:
-                return None
-            k = min(self.left)
-            first, n = self.left.pop(k)
+                del self.left[key]
+        while room and self.left:
+            keys = sorted(self.left)
+            key = keys[0] if self.seed is None else keys[int(self._chance() * len(keys))]
+            first, n = self.left.pop(key)
             take = min(n, room)
-            group.append((k, first, take))
+            at, rest = self._part(first, n, take)
+            group.append((key, at, take))
             room -= take
-            if take < n:
-                self.left[k] = (first + take, n - take)
-        return group
+            if rest[1]:
+                self.left[key] = rest
+        return group if not room else None
 
 
-def pack_groups(counts: DataFrame, shard: str, key: str, n: str, size: int = 16, most: int = 160) -> DataFrame:
+def pack_groups(counts: DataFrame, shard: str, key: str, n: str, size: int = 16, most: int = 160, seed: int | None = None) -> DataFrame:
     """(shard, group_no, part_no, key, first, n): which segments of which videos make each
     group. Only counts pass the worker; the waiting videos are at most `most`. A shard's
     last incomplete group is dropped."""
@@ -143,7 +155,7 @@ def pack_groups(counts: DataFrame, shard: str, key: str, n: str, size: int = 16,
                 if p is None or s != now:
                     if p is not None:
                         out += rows_of(p.finish(), now)
-                    now, p, made = s, Packer(size, most), 0
+                    now, p, made = s, Packer(size, most, seed, shard=s), 0
                 out += rows_of(p.add(k, 0, int(c)), s)
             yield pd.DataFrame(out, columns=names)
         if p is not None:

@@ -15,9 +15,10 @@ def first_reason(gates: list[tuple[str, Column]]) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if out is not None else F.lit(None).cast("string")
 
 
-def crawl_gates(*, transcript: Column, duration: Column, categories: Column, density: Column, lang: Column, cosine: Column, objects: Column, skip_gaming: bool = True, max_minutes: float = 20, min_density: float = 50, max_cosine: float = 0.9, min_objects: float = 0.9) -> list[tuple[str, Column]]:
+def crawl_gates(*, transcript: Column, duration: Column, categories: Column, density: Column, lang: Column, cosine: Column, objects: Column, lang_prob: Column | None = None, audio_streams: Column | None = None, skip_gaming: bool = True, min_lang_prob: float = 0.8, max_minutes: float = 20, min_density: float = 50, max_cosine: float = 0.9, min_objects: float = 0.9) -> list[tuple[str, Column]]:
     """The crawl's chain: from the cheapest test to the dearest. Density is tested only
-    where there is a transcript."""
+    where there is a transcript; the probability of the language and the number of audio
+    streams only where they are given."""
     gates = [
         ("no_transcript", transcript.isNull() | (transcript == "")),
         ("video too long", duration.isNull() | (duration > max_minutes * 60)),
@@ -26,9 +27,10 @@ def crawl_gates(*, transcript: Column, duration: Column, categories: Column, den
         gates.append(("gaming", F.array_contains(categories, "Gaming")))
     return gates + [
         ("word density too low", density < min_density),
-        ("maybe not english", lang.isNull() | (lang != "en")),
+        ("maybe not english", lang.isNull() | (lang != "en") | (lang_prob < min_lang_prob if lang_prob is not None else F.lit(False))),
         ("acs_too_high", cosine > max_cosine),
         ("nco_too_low", objects < min_objects),
+        *([("no audio", F.coalesce(audio_streams < 1, F.lit(True)))] if audio_streams is not None else []),
     ]
 
 

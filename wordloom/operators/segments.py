@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,35 +83,47 @@ BASE, ENOUGH, PROMISE = 5.0, 8, 16
 WINDOWS = ("seg_idx int", "start_time double", "end_time double", "playback_speed int", "first_word int", "n_words int")
 
 
+#: Chance of a break at a speed that would go on, where chance is asked for.
+BREAK = 0.1
+
+
+def chance(seed: int, *parts: object) -> float:
+    """rand.uniform of the same seed and values, for a worker."""
+    return int(hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).hexdigest()[:12], 16) / (1 << 48)
+
+
 class WindowBuilder:
     """The adaptive windows of one video, from its words' centers in order. A window grows
     to two or three times its base while it has too few words, unless the video ends or
-    the next step already promises enough. Only words that no window has taken are kept."""
+    the next step already promises enough, or, with a seed, by chance. Only words that no
+    window has taken are kept."""
 
-    def __init__(self, duration: float, start: float = 0.0):
-        self.limit, self.start = duration - 1, start
-        self.waiting: list[float] = []
+    def __init__(self, duration: float, start: float = 0.0, seed: int | None = None, key: object = ""):
+        self.limit, self.start, self.seed, self.key = duration - 1, start, seed, key
+        self.waiting, self.at = np.zeros(0), 0
         self.taken = self.made = 0
 
-    def feed(self, center: float) -> Iterator[tuple]:
-        self.waiting.append(center)
-        while self.waiting and self.waiting[-1] >= self.start + 4 * BASE and self.start + BASE <= self.limit:
+    def feed(self, centers: np.ndarray) -> Iterator[tuple]:
+        self.waiting, self.at = np.concatenate([self.waiting[self.at :], centers]), 0
+        while self.at < len(self.waiting) and self.waiting[-1] >= self.start + 4 * BASE and self.start + BASE <= self.limit:
             yield self._window()
 
     def finish(self) -> Iterator[tuple]:
-        while self.waiting and self.start + BASE <= self.limit:
+        while self.at < len(self.waiting) and self.start + BASE <= self.limit:
             yield self._window()
 
     def _window(self) -> tuple:
-        before = lambda t: bisect_left(self.waiting, t)
+        before = lambda t: int(np.searchsorted(self.waiting[self.at :], t))
         for speed in (1, 2, 3):
             end = self.start + BASE * speed
             n = before(end)
             if n >= ENOUGH or end + BASE > self.limit or before(end + BASE) >= PROMISE:
                 break
+            if self.seed is not None and chance(self.seed, self.key, self.made, speed) > 1 - BREAK:
+                break
         end = round(end, 2)
         out = (self.made, self.start, end, speed, self.taken, n)
-        del self.waiting[:n]
+        self.at += n
         self.start, self.taken, self.made = end, self.taken + n, self.made + 1
         return out
 
@@ -118,28 +131,40 @@ class WindowBuilder:
 def windows_of(centers: list[float], duration: float, start: float = 0.0) -> list[tuple]:
     """(seg_idx, start, end, speed, first word, words) of one video's windows."""
     b = WindowBuilder(duration, start)
-    return [w for c in sorted(centers) for w in b.feed(c)] + list(b.finish())
+    return [*b.feed(np.sort(np.array(centers, float))), *b.finish()]
 
 
-def adaptive_windows(words: DataFrame, key: str, center: str = "center", duration: str = "duration", start: float = 0.0) -> DataFrame:
-    """The adaptive windows of each video, without jitter. Each depends on the one before
-    it, so a video's words pass one worker in order of their centers; they stream through
-    it, sorted by the shuffle, and no video is held as a whole. Rows with a null in one of
-    the three columns are left out."""
+def adaptive_windows(words: DataFrame, key: str, center: str = "center", duration: str = "duration", start: str | None = None, seed: int | None = None) -> DataFrame:
+    """The adaptive windows of each video. The first begins where its first word does (the
+    column `start`; its center where there is none), at 0 at least, rounded to hundredths;
+    with a seed up to half a base earlier, by a hash of the key, and windows may break by
+    chance. Each depends on the one before it, so a video's words pass one worker in order of
+    their centers; they stream through it, sorted by the shuffle, a batch's words of a video
+    at a time, and no video is held as a whole. Rows with a null in one of the columns are
+    left out."""
     kind = words.schema[key].dataType.simpleString()
-    rows = words.where(F.col(center).isNotNull() & F.col(key).isNotNull() & F.col(duration).isNotNull())
-    rows = rows.select(key, F.col(center).cast("double").alias(center), F.col(duration).cast("double").alias(duration)).repartition(key).sortWithinPartitions(key, center)
+    begin = start or center
+    rows = words.where(F.col(center).isNotNull() & F.col(key).isNotNull() & F.col(duration).isNotNull() & F.col(begin).isNotNull())
+    rows = rows.select(key, F.col(center).cast("double").alias("_c"), F.col(duration).cast("double").alias("_d"), F.col(begin).cast("double").alias("_s")).repartition(key).sortWithinPartitions(key, "_c")
     names = [key, *(w.split()[0] for w in WINDOWS)]
 
+    def first(k: object, s: float) -> float:
+        return round(max(s - (0.5 * BASE * chance(seed, k) if seed is not None else 0.0), 0.0), 2)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, b = None, None
         for pdf in batches:
-            out = []
-            for k, c, d in zip(pdf[key], pdf[center], pdf[duration]):
+            out: list[tuple] = []
+            keys, centers = pdf[key].to_numpy(), pdf["_c"].to_numpy()
+            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for i, j in zip([0, *edges], [*edges, len(keys)]):
+                if i == j:
+                    continue
+                k = keys[i]
                 if b is None or k != now:
                     out += [(now, *w) for w in b.finish()] if b else []
-                    now, b = k, WindowBuilder(d, start)
-                out += [(k, *w) for w in b.feed(c)]
+                    now, b = k, WindowBuilder(float(pdf["_d"].iloc[i]), first(k, float(pdf["_s"].iloc[i])), seed, k)
+                out += [(k, *w) for w in b.feed(centers[i:j])]
             yield pd.DataFrame(out, columns=names)
         if b:
             yield pd.DataFrame([(now, *w) for w in b.finish()], columns=names)
@@ -148,12 +173,14 @@ def adaptive_windows(words: DataFrame, key: str, center: str = "center", duratio
 
 
 def resize_size(w: Column, h: Column, shorter: int, longer: int) -> Column:
-    """Width and height with the shorter side at its target, unless the longer side then
-    exceeds its own, which then binds; no size grows."""
+    """Width and height with the shorter side at its target, or at what the longer side's limit
+    leaves for it, rounded with halves to even; the other side is cut off to whole pixels. A
+    picture whose shorter side is at most its target stays as it is."""
     lo, hi = F.least(w, h), F.greatest(w, h)
-    ratio = F.least(F.lit(float(shorter)) / lo, F.lit(float(longer)) / hi)
-    f = F.least(ratio, F.lit(1.0))
-    return F.struct(F.floor(w * f + 1e-9).cast("int").alias("w"), F.floor(h * f + 1e-9).cast("int").alias("h"))
+    size = F.when(hi / lo * shorter > longer, F.rint(F.lit(float(longer)) * lo / hi)).otherwise(F.lit(float(shorter))).cast("int")
+    same = (lo <= shorter) | (lo == size)
+    other = (size * hi / lo).cast("int")
+    return F.struct(F.when(same, w).when(w < h, size).otherwise(other).cast("int").alias("w"), F.when(same, h).when(w < h, other).otherwise(size).cast("int").alias("h"))
 
 
 def contained_size(w: Column, h: Column, tw: int, th: int) -> Column:
@@ -175,9 +202,70 @@ def audio_starts(u: Column, n: int, length: int, total: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.floor((total - n * length) * run(i) / s) + i * length).cast("int"))
 
 
+def audio_bounds(starts: Column, length: int, hop: float, window: float) -> Column:
+    """Start and end time of each audio part from its first frame: frames are hop seconds
+    apart and look at window seconds around them."""
+    return F.transform(starts, lambda s: F.struct((s * hop - window / 2).alias("start"), (s * hop - window / 2 + length * hop + window).alias("end")))
+
+
+def centred_coordinates(n: Column) -> Column:
+    """Coordinates of n places around an origin that none has: -n/2 .. -1, 1 .. n/2, one more
+    after it where n is odd."""
+    half = F.floor(n / 2).cast("int")
+    return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.when(i < half, i - half).otherwise(i - half + 1).cast("double"))
+
+
+def plain_coordinates(n: Column) -> Column:
+    """1 .. n."""
+    return F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: i.cast("double"))
+
+
+def grid_coordinates(h: Column, w: Column) -> Column:
+    """struct(h, w) of each cell of a grid, row by row: centred, in units of the longer side."""
+    scale = F.lit(1.0) / (F.greatest(h, w) + 1.0)
+    return F.flatten(F.transform(centred_coordinates(h), lambda y: F.transform(centred_coordinates(w), lambda x: F.struct((y * scale).alias("h"), (x * scale).alias("w")))))
+
+
+def joint_coordinates(h: Column | None = None, w: Column | None = None, segment: Column | None = None, token: Column | None = None, most_segments: float = 16.0, most_tokens: float = 1024.0) -> Column:
+    """The four coordinates of a place in a joint sequence; those not given are 0."""
+    zero = F.lit(0.0)
+    return F.array(h if h is not None else zero, w if w is not None else zero, segment / most_segments if segment is not None else zero, token / most_tokens if token is not None else zero).cast("array<double>")
+
+
+def window_stats(windows: DataFrame, key: str, n_words: str = "n_words") -> DataFrame:
+    """(key, windows, mean, most, std): words a window of each video; the deviation is that of
+    all windows."""
+    return windows.groupBy(key).agg(F.count("*").alias("windows"), F.avg(n_words).alias("mean"), F.max(n_words).alias("most"), F.stddev_pop(n_words).alias("std"))
+
+
+def too_short(duration: Column, least: float = 5.0) -> Column:
+    """Whether a video without its last second has less than one window."""
+    return F.coalesce(duration - 1 < least, F.lit(True))
+
+
+def normalised_wave(samples: Column, n: Column) -> Column:
+    """Samples over their greatest size (1 at least), with zeros at the end up to n; longer ones
+    stay whole."""
+    peak = F.greatest(F.coalesce(F.array_max(F.transform(samples, lambda x: F.abs(x))), F.lit(0.0)), F.lit(1.0))
+    return F.concat(F.transform(samples, lambda x: (x / peak).cast("double")), F.array_repeat(F.lit(0.0), F.greatest(n - F.size(samples), F.lit(0)).cast("int")))
+
+
+def padded_frames(frames: Column, times: Column, subs: Column, n: int) -> Column:
+    """struct(frames, times, subs) of n entries at least: the last frame again, time -1, and
+    empty subtitles."""
+    more = F.greatest(F.lit(n) - F.size(frames), F.lit(0))
+    return F.struct(F.concat(frames, F.array_repeat(F.element_at(frames, -1), more)).alias("frames"), F.concat(times, F.array_repeat(F.lit(-1.0), more)).alias("times"), F.concat(subs, F.array_repeat(F.lit(""), more)).alias("subs"))
+
+
+def of_size(a: Column, n: int) -> Column:
+    """The array, failing where it has another size than n."""
+    return F.when(F.assert_true(F.size(a) == n, F.lit(f"array of a size other than {n}")).isNull(), a)
+
+
 def learning_rate(step: Column, peak: float, warmup: int, total: int, kind: str = "cosine", final: float = 0.02) -> Column:
-    """Linear warm-up, then a cosine (down to final times the peak) or linear (to 0) fall."""
+    """Linear warm-up, then a cosine (down to final times the peak) or linear (to 0) fall over
+    one step more than are left, so that the last step is not yet at its end."""
     up = step / warmup
-    part = F.least(F.greatest((step - warmup) / (total - warmup), F.lit(0.0)), F.lit(1.0))
+    part = F.least(F.greatest((step - warmup) / (total - warmup + 1.0), F.lit(0.0)), F.lit(1.0))
     down = final + (1 - final) * 0.5 * (1 + F.cos(F.pi() * part)) if kind == "cosine" else 1 - part
     return peak * F.when(step < warmup, up).otherwise(down)

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import let
+
+
+def split_words(text: Column) -> Column:
+    """A text's words by white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
 def words_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,10 +40,46 @@ def token_quality(words: DataFrame, key: str, least_good: float = 0.6, most_vari
     return out.withColumn("dropped", (F.col("frac_good") < least_good) | (F.col("len_var") > most_variance))
 
 
-def clean_subtitles(words: DataFrame, word: str = "word") -> DataFrame:
-    """Without words that begin with '&', end with ';' or are empty; words stay as they are."""
+def clean_subtitles(words: DataFrame, word: str = "word", store_repaired: bool = False) -> DataFrame:
+    """Without words that begin with '&', end with ';' or are empty after the repair of broken
+    encodings and the removal of control characters. Words stay as they are, or, with
+    store_repaired, as repaired; other columns stay. Null words are left out."""
     c = F.col(word)
-    return words.where(~c.startswith("&") & ~c.endswith(";") & (T.strip(c) != ""))
+    fixed = F.regexp_replace(T.repaired_text(c), r"[\x00-\x08\x0b\x0e-\x1f\x7f\x{feff}]", "")
+    kept = words.where(~c.startswith("&") & ~c.endswith(";") & (fixed != ""))
+    return kept.withColumn(word, fixed) if store_repaired else kept
+
+
+def row_features(words: Column, extra: dict[str, object] | None = None) -> Column:
+    """Of an array of words an array of structs: pos, word and each feature with those of its
+    neighbours, as word_features gives them, without bringing words apart and together.
+    Extra features are functions of a word."""
+    one = {"charlen": F.length, "is_upper": lambda w: T.is_upper(F.substring(w, 1, 1)).cast("int"), "num_vowels": T.vowels, "num_punct": T.marks, **(extra or {})}
+    default = {"charlen": 1.0, "chunklen": 0.1}
+
+    def all_(ws: Column) -> Column:
+        feats = F.transform(ws, lambda w: F.struct(*[f(w).cast("double").alias(n) for n, f in one.items()]))
+
+        def with_neighbours(fs: Column) -> Column:
+            near = lambda i, n: F.coalesce(F.get(fs, i)[n], F.lit(default.get(n, 0.0)))
+            return F.transform(ws, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), *[c for n in one for c in (F.get(fs, i)[n].alias(f"feat_{n}"), near(i - 1, n).alias(f"feat_{n}_left"), near(i + 1, n).alias(f"feat_{n}_right"))]))
+
+        return let(feats, with_neighbours)
+
+    return let(words, all_)
+
+
+def row_quality(words: Column) -> Column:
+    """token_quality of an array of words: struct(n_words, frac_good, len_var); null for none."""
+
+    def of(ws: Column) -> Column:
+        n = F.size(ws)
+        good = F.size(F.filter(ws, lambda w: ~((F.length(w) > 1) & T.is_upper(w))))
+        total = F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.length(w))
+        spread = let(total / n, lambda m: F.aggregate(ws, F.lit(0.0), lambda s, w: s + (F.length(w) - m) * (F.length(w) - m)))
+        return F.when(n > 0, F.struct(n.cast("bigint").alias("n_words"), (good / n).alias("frac_good"), F.when(n > 1, spread / (n - 1)).otherwise(0.0).alias("len_var")))
+
+    return let(words, of)
 
 
 def density_bins(words: DataFrame, key: str, time: Column, width: float) -> DataFrame:
@@ -63,6 +105,11 @@ def smoothed_bounds(words: DataFrame, key: str, start: str = "start", end: str =
     return out.withColumn("center", (F.col("new_start") + F.col("new_end")) / 2)
 
 
+def per_token(words: Column, tokens: Column) -> Column:
+    """What belongs to each word (an array of any kind), once for each token of the word."""
+    return F.flatten(F.zip_with(words, tokens, lambda w, t: F.array_repeat(w, F.coalesce(F.size(t), F.lit(0)))))
+
+
 def local_times(t: Column, start: Column, speed: Column) -> Column:
     """Times of an array, from the segment's start and divided by its speed."""
     return F.transform(t, lambda x: (x - start) / speed)

@@ -11,7 +11,10 @@ from ..operators import evaluation as EV
 from ..operators import masking as M
 from ..operators import packing as P
 from ..operators import sampling as SA
+from ..operators import segments as S
+from ..operators import words as W
 from ..operators.examples import build_examples
+from ..operators.numbering import epochs, numbered, zipped
 from ..rand import uniform, uniform_sql
 from ..session import table
 
@@ -19,24 +22,34 @@ from ..session import table
 def _seg(spark, d):
     """Each segment once: of copies, the one that arrived last."""
     s = table(spark, d, "segment_k2f")
-    cols = ["youtube_id", "video_src_index", "start_time", "end_time", "playback_speed", "tok_ids", "title", "tags", "random_text"]
+    cols = ["youtube_id", "video_src_index", "start_time", "end_time", "playback_speed", "tok_ids", "tok_start_times", "tok_end_times", "title", "tags", "random_text"]
     return s.groupBy("record_id", "seg_idx").agg(F.max_by(F.struct(*cols), "arrived_at").alias("x")).select("record_id", "seg_idx", *[f"x.{c}" for c in cols])
 
 
 _S = "WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, seg_idx ORDER BY arrived_at DESC) k FROM segment_k2f) WHERE k = 1)"
-SHARDS = 64
+#: Rows of a shard on the average: shards grow in number with the table, not in size.
+SHARD_ROWS = 500
+
+
+def _shards(df, rows: int = SHARD_ROWS) -> int:
+    return max(1, df.count() // rows)  # a scan of one column's counts
+
+
+def _documents(spark, d):
+    """random_text of all segments as documents, in shards by record."""
+    s = _seg(spark, d).where("size(random_text) > 0")
+    n = _shards(table(spark, d, "segment_k2f"))
+    return s.select(F.pmod("record_id", F.lit(n)).alias("shard"), (F.col("record_id") * 16 + F.col("seg_idx")).alias("ord"), F.filter("random_text", lambda x: x != 0).alias("tokens"))
 
 
 def pack_text_blocks(spark, d):
-    """random_text of all segments as documents, in 64 shards by record, blocks of 256."""
-    docs = _seg(spark, d).where("size(random_text) > 0").select(F.pmod("record_id", F.lit(SHARDS)).alias("shard"), (F.col("record_id") * 16 + F.col("seg_idx")).alias("ord"), F.filter("random_text", lambda x: x != 0).alias("tokens"))
-    r = P.pack_blocks(docs, "shard", "ord", "tokens", 256)
+    """Documents one after the other, in blocks of 256."""
+    r = P.pack_blocks(_documents(spark, d), "shard", "ord", "tokens", 256)
     return r.select("shard", "block_no", F.aggregate("block", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"), F.col("block")[0].alias("first"), F.col("block")[255].alias("last"))
 
 
 def pack_text_counts(spark, d):
-    docs = _seg(spark, d).where("size(random_text) > 0").select(F.pmod("record_id", F.lit(SHARDS)).alias("shard"), (F.col("record_id") * 16 + F.col("seg_idx")).alias("ord"), F.size(F.filter("random_text", lambda x: x != 0)).alias("n"))
-    return P.block_counts(docs, "shard", "ord", "n", 256)
+    return P.block_counts(_documents(spark, d).withColumn("n", F.size("tokens")), "shard", "ord", "n", 256)
 
 
 def grouped_blocks(spark, d):
@@ -45,9 +58,10 @@ def grouped_blocks(spark, d):
 
 
 def bin_pack_segments(spark, d):
+    """Groups of 16 segments, parts from the front or the back and fillers by hash."""
     n = _seg(spark, d).where("youtube_id <> ''").groupBy("youtube_id").agg(F.count("*").alias("n"))
-    n = n.withColumn("shard", F.pmod(F.crc32(F.col("youtube_id")), F.lit(8)))
-    return P.pack_groups(n, "shard", "youtube_id", "n")
+    shards = _shards(table(spark, d, "segment_k2f"), 100_000)
+    return P.pack_groups(n.withColumn("shard", F.pmod(F.crc32(F.col("youtube_id")), F.lit(shards))), "shard", "youtube_id", "n", seed=17)
 
 
 def packed_records(spark, d):
@@ -130,17 +144,43 @@ def mask_growth(spark, d):
     return M.grown_masks(s, ["record_id"]).select("record_id", "pos", "takes_right", "takes_left")
 
 
+def grown_spans(spark, d):
+    """Spans of a segment's tokens after masked ones took near tokens of their neighbours."""
+    s = _spans(spark, d).where("size(tok_start_times) >= size(tok_ids) and size(tok_end_times) >= size(tok_ids)")
+    centre = F.transform("tok_ids", lambda t, i: (F.get("tok_start_times", i).cast("double") + F.get("tok_end_times", i).cast("double")) / 2)
+    s = s.withColumn("c", centre).withColumn("last", F.coalesce(F.array_max("c"), F.lit(0.0)))
+    third = lambda k: F.col("last") * k / 3
+    g = M.grown_spans(F.col("spans"), F.col("c"), F.col("masked"), F.array(third(0), third(1), third(2)), F.array(third(1), third(2), third(3)), F.col("record_id") % 2 == 0, 0.5)
+    return s.select("record_id", "seg_idx", F.transform(g, lambda x: F.size(x)).alias("lengths"))
+
+
+def pointer_groups(spark, d):
+    """Pointers of a segment's three spans in three groups, each of 12."""
+    s = _spans(spark, d).withColumn("g", M.pointer_groups(M.masked_spans(F.col("spans"), F.col("masked")), 3, 3, 12))
+    return s.select("record_id", "seg_idx", F.transform("g", lambda p: F.transform(p, lambda x: x["tok"])).alias("groups"))
+
+
 def pseudo_spans(spark, d):
+    """Random texts cut by hash into spans, for a text of 256 tokens; the offset in the middle."""
     s = _seg(spark, d).where("size(random_text) > 0").withColumn("t", F.filter("random_text", lambda x: x != 0)).where("size(t) > 0")
-    u = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.pmod(F.col("record_id") * 31 + F.col("seg_idx") * 7 + i * 13, F.lit(101)) / 101.0)
-    s = s.withColumn("lens", M.pseudo_lengths(u, F.least(F.size("t"), F.lit(64))))
+    s = s.withColumn("lens", M.drawn_lengths(F.col("t"), 256, M.span_budget(256), 23, "record_id", "seg_idx"))
     x = M.pseudo_spans(F.col("t"), F.col("lens"), F.floor((F.size("t") - F.aggregate("lens", F.lit(0), lambda a, b: a + b)) / 2).cast("int"))
     return s.withColumn("x", x).select("record_id", "seg_idx", "lens", F.size("x.before").alias("before"), F.size("x.after").alias("after"), F.size(F.flatten("x.spans")).alias("inside"))
 
 
+def span_lengths(spark, d):
+    """How often masked spans have each length, and its share."""
+    n = masked_texts(spark, d).groupBy(F.size("text").alias("length")).agg(F.count("*").alias("n"))
+    return n.select("length", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))  # a row a length
+
+
 def valid_tokens(spark, d):
+    """Tokens of random texts that are valid; the vocabulary has the first word of document n
+    as token n."""
+    vocabulary = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^(\S*)", 1).alias("text"))
+    keep = M.valid_tokens(F.col("random_text"), M.valid_table(vocabulary))
     s = _seg(spark, d).where("size(random_text) > 0")
-    return s.select("record_id", "seg_idx", F.size(F.filter("random_text", M.valid_token)).alias("valid"), F.size("random_text").alias("n"))
+    return s.select("record_id", "seg_idx", F.size(keep).alias("valid"), F.size("random_text").alias("n"))
 
 
 def header_tokens(spark, d):
@@ -155,9 +195,30 @@ def qa_sequences(spark, d):
 
 
 def padded_subtitles(spark, d):
-    """A record's segment lengths padded to 20 by the last, which gets time -1."""
-    s = P.grouped_rows(_seg(spark, d).select("record_id", "seg_idx", F.coalesce("start_time", F.lit(0.0)).alias("t")), ["record_id"], ["seg_idx"], 20, "t")
-    return s.select("record_id", A.fit(F.col("items"), 20, F.lit(-1.0)).alias("times"))
+    """A record's segments padded to 20: the last one's length again, time -1, no subtitle."""
+    rows = _seg(spark, d).select("record_id", "seg_idx", F.struct(F.coalesce(F.size("tok_ids"), F.lit(0)).alias("f"), F.coalesce("start_time", F.lit(0.0)).alias("t"), F.coalesce("youtube_id", F.lit("")).alias("s")).alias("x"))
+    s = P.grouped_rows(rows, ["record_id"], ["seg_idx"], 20, "x")
+    part = lambda c: F.transform("items", lambda i: i[c])
+    return s.select("record_id", S.padded_frames(part("f"), part("t"), part("s"), 20).alias("p")).select("record_id", "p.*")
+
+
+def per_token_words(spark, d):
+    """A record's segments, each as often as it has tokens."""
+    s = P.grouped_rows(_seg(spark, d).select("record_id", "seg_idx", F.struct("seg_idx", F.coalesce("tok_ids", F.array().cast("array<int>")).alias("t")).alias("x")), ["record_id"], ["seg_idx"], 20, "x")
+    return s.select("record_id", W.per_token(F.transform("items", lambda i: i["seg_idx"]), F.transform("items", lambda i: i["t"])).alias("segments"))
+
+
+def epoch_files(spark, d):
+    """Two epochs of the crawl's id files of host 0 of 2: files by epoch, in the epoch's order."""
+    files = table(spark, d, "meta_info").where("_ids_fn is not null").select("_ids_fn").distinct()
+    e = epochs(files, 2, 5, "_ids_fn", 1, 0)
+    return e.select("_ids_fn", "epoch", F.round("file_order", 9).alias("file_order"))
+
+
+def choice_columns(spark, d):
+    """Four columns of choices as rows."""
+    q = table(spark, d, "eval_items").select("item_id", "suite", "show_name", "vid_name", "ts")
+    return EV.expanded_choices(q, F.array("suite", "show_name", "vid_name", "ts")).select("item_id", "cond", "choice")
 
 
 def flattened_batches(spark, d):
@@ -169,9 +230,9 @@ def flattened_batches(spark, d):
 
 
 def display_tokens(spark, d):
-    """Tokens of each audio span as a line."""
-    s = _spans(spark, d).select("record_id", "seg_idx", F.explode(M.masked_spans(F.col("spans"), F.col("masked"))).alias("p"))
-    return s.groupBy("record_id", "seg_idx", "p.audio_ptr").agg(F.count("*").alias("n"), F.max((F.col("p.tok") == A.MASK).cast("int")).alias("has_mask"))
+    """Tokens of each audio span as a line: MASK by name, others by their ids."""
+    s = _spans(spark, d).select("record_id", "seg_idx", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.filter(M.masked_spans(F.col("spans"), F.col("masked")), lambda p: p["audio_ptr"] == k))).alias("audio_ptr", "p")).where("size(p) > 0")
+    return s.select("record_id", "seg_idx", "audio_ptr", F.array_join(F.transform("p", lambda x: F.when(x["tok"] == A.MASK, F.lit("MASK")).otherwise(x["tok"].cast("string"))), " ").alias("line"))
 
 
 def gumbel_sample(spark, d):
@@ -202,13 +263,13 @@ def choice_expansion(spark, d):
 
 
 def object_naming(spark, d):
-    p = table(spark, d, "part").select((F.col("p_partkey") % 200).alias("grp"), "p_partkey", F.lower(F.element_at(F.split("p_type", " "), -1)).alias("kind"))
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("grp"), "p_partkey", F.lower(F.element_at(F.split("p_type", " "), -1)).alias("kind"))
     return EV.named_objects(p, "grp", "kind", "p_partkey").select("grp", "p_partkey", "obj_name")
 
 
 def reference_names(spark, d):
     """The first two objects of each group, joined."""
-    n = object_naming(spark, d).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "obj_name"))).alias("l"))
+    n = object_naming(spark, d).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "obj_name"))).alias("l"))  # ten a group
     return n.select("grp", EV.joined_names(F.transform("l", lambda x: x["obj_name"])).alias("names"))
 
 
@@ -225,9 +286,16 @@ def action_names(spark, d):
 
 def positional_zip(spark, d):
     """The n-th crawl id with the n-th video of the crawl, the shorter side deciding."""
-    a = table(spark, d, "video_ids").distinct().select("video_id", F.row_number().over(Window.partitionBy(F.substring("video_id", 1, 1)).orderBy("video_id")).alias("n"), F.substring("video_id", 1, 1).alias("k"))
-    b = table(spark, d, "meta_info").select("youtube_id").distinct().select("youtube_id", F.row_number().over(Window.partitionBy(F.substring("youtube_id", 1, 1)).orderBy("youtube_id")).alias("n"), F.substring("youtube_id", 1, 1).alias("k"))
-    return a.join(b, ["k", "n"]).select("k", "n", "video_id", "youtube_id")
+    a = table(spark, d, "video_ids").where("video_id is not null").distinct()
+    b = table(spark, d, "meta_info").where("youtube_id is not null").select("youtube_id").distinct()
+    return zipped(a, ["video_id"], b, ["youtube_id"]).select("n", "video_id", "youtube_id")
+
+
+def frame_zip(spark, d):
+    """Segments with the spectrograms and times of the same place in the record."""
+    s = _seg(spark, d).select("record_id", "seg_idx", F.size("tok_ids").alias("frame"))
+    t = table(spark, d, "segment_k2f").groupBy("record_id", "seg_idx").agg(F.max("spectrogram_magic_number").alias("magic"), F.max("start_time").alias("start"))
+    return s.join(t, ["record_id", "seg_idx"]).select("record_id", "seg_idx", "frame", "magic", "start")
 
 
 def union_predictions(spark, d):
@@ -236,30 +304,56 @@ def union_predictions(spark, d):
 
 
 def sorted_index(spark, d):
-    """Records by the number inside their name."""
+    """Records by the number inside their name, numbered from 1."""
     s = table(spark, d, "meta_info").select("_ids_fn").distinct()
-    return s.select("_ids_fn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.regexp_extract("_ids_fn", r"(\d+)", 1).try_cast("int"), "_ids_fn")).alias("n"))
+    order = F.regexp_extract("_ids_fn", r"(\d+)", 1).try_cast("int")
+    return numbered(s, order, "_ids_fn").select("_ids_fn", (F.col("n") + 1).alias("n"))
 
 
 def example_builder(spark, d):
-    """Sums and counts over the three views of each record."""
+    """Sums and counts over the four views of each record."""
     e = build_examples(table(spark, d, "segment_k2f"))
     total = lambda c: F.aggregate(F.transform(c, lambda t: t["tok"].cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     masks = lambda c: F.size(F.filter(c, lambda t: t["tok"] == A.MASK))
-    return e.select("record_id", *[x for c in ("text_to_audio", "audio_to_text", "matching") for x in (total(c).alias(f"{c}_sum"), masks(c).alias(f"{c}_masks"), F.size(c).alias(f"{c}_len"))], F.size(F.flatten("targets_a")).alias("tokens_a"), F.size(F.flatten("targets_b")).alias("tokens_b"))
+    views = ("text_to_audio", "audio_to_text", "matching", "random_text")
+    return e.select("record_id", *[x for c in views for x in (total(c).alias(f"{c}_sum"), masks(c).alias(f"{c}_masks"), F.size(c).alias(f"{c}_len"))], F.size("targets").alias("targets"), F.size(F.filter(F.flatten("targets"), lambda t: t != 0)).alias("target_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (example_builder, pack_text_blocks, pack_text_counts, grouped_blocks, bin_pack_segments, packed_records, video_src_index, split_src_index, attention_visibility, token_stats, span_mask, masked_texts, audio_span_mask, truncated_masks, empty_span_repair, neighbour_flags, mask_growth, pseudo_spans, valid_tokens, header_tokens, qa_sequences, padded_subtitles, flattened_batches, display_tokens, gumbel_sample, uniform_sample, bernoulli_choice, submission_pivot, choice_expansion, object_naming, reference_names, nation_lookup, action_names, positional_zip, union_predictions, sorted_index)}
+QUERIES = {f.__name__: f for f in (example_builder, pack_text_blocks, pack_text_counts, grouped_blocks, bin_pack_segments, packed_records, video_src_index, split_src_index, attention_visibility, token_stats, span_mask, masked_texts, audio_span_mask, truncated_masks, empty_span_repair, neighbour_flags, mask_growth, grown_spans, pointer_groups, span_lengths, per_token_words, epoch_files, choice_columns, frame_zip, pseudo_spans, valid_tokens, header_tokens, qa_sequences, padded_subtitles, flattened_batches, display_tokens, gumbel_sample, uniform_sample, bernoulli_choice, submission_pivot, choice_expansion, object_naming, reference_names, nation_lookup, action_names, positional_zip, union_predictions, sorted_index)}
+# One step a document: what is carried on, the document, and the blocks they make.
+_BLOCKS = _S + """, n AS (SELECT record_id % greatest(1, (SELECT count(*) FROM segment_k2f) // 500) AS shard, record_id * 16 + seg_idx o, list_filter(random_text, lambda x: x <> 0) t FROM s WHERE len(random_text) > 0),
+m AS (SELECT shard, row_number() OVER (PARTITION BY shard ORDER BY o) i, t FROM n),
+r AS (WITH RECURSIVE q AS (SELECT DISTINCT shard, 0::BIGINT i, 0::BIGINT blocks, 0::BIGINT discarded, 0::BIGINT carried, []::INT[] rest, []::INT[][] out FROM m
+ UNION ALL SELECT shard, i, blocks + len(a) // 256, discarded + CASE WHEN len(a) % 256 <= 32 THEN len(a) % 256 ELSE 0 END, CASE WHEN len(a) % 256 <= 32 THEN 0 ELSE len(a) % 256 END, CASE WHEN len(a) % 256 <= 32 THEN []::INT[] ELSE a[len(a) // 256 * 256 + 1:] END, list_transform(range(len(a) // 256), lambda z: a[z * 256 + 1:(z + 1) * 256])
+ FROM (SELECT q.shard, m.i, blocks, discarded, list_concat(rest, [1], t, [2]) a FROM q JOIN m ON m.shard = q.shard AND m.i = q.i + 1)) SELECT * FROM q) {extra}"""
 _IDX = _S + ", f AS (SELECT *, row_number() OVER w = 1 OR youtube_id IS DISTINCT FROM lag(youtube_id) OVER w AS first_of_source FROM s WINDOW w AS (PARTITION BY record_id ORDER BY seg_idx)), i AS (SELECT record_id, seg_idx, first_of_source, CAST(sum(CAST(first_of_source AS INT)) OVER (PARTITION BY record_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS src_index FROM f)"
 _3 = _S + ", n AS (SELECT *, len(tok_ids) n, len(tok_ids) // 3 a, 2 * len(tok_ids) // 3 b FROM s WHERE len(tok_ids) > 0), sp AS (SELECT record_id, seg_idx, [tok_ids[1:a], tok_ids[a+1:b], tok_ids[b+1:n]] spans, [(seg_idx * 3) % 5 = 0, (seg_idx * 3 + 1) % 5 = 0, (seg_idx * 3 + 2) % 5 = 0] m FROM n)"
 _MASKED = _3 + ", t AS (SELECT record_id, seg_idx, CASE WHEN m[1] THEN [3] ELSE spans[1] END a, CASE WHEN m[2] THEN [3] ELSE spans[2] END b, CASE WHEN m[3] THEN [3] ELSE spans[3] END c, m FROM sp)"
 _PAD = "list_concat({0}, list_transform(range(0, greatest(0, {2} - len({0}))), lambda z: CAST({1} AS INT)))[1:{2}]"
 _TXT = "list_transform({x}, lambda z: CASE WHEN m[{k}] THEN CAST({v} AS INT) ELSE -1 END)"
+
+
+def _bounds() -> str:
+    """Bounds of the span lengths' distribution."""
+    out, run = [], 0.0
+    for x in M.SPAN_WEIGHTS[:-1]:
+        run += x / sum(M.SPAN_WEIGHTS)
+        out.append(f"{run!r}::DOUBLE")
+    return "[" + ", ".join(out) + "]"
+
+
+def _grow(frm: str, to: str, right: str) -> str:
+    """One direction of growth over three spans: who takes, then the new lengths."""
+    take_r = lambda i: f"coalesce(m[{i}] AND NOT m[{i + 1}] AND n[{i + 1}] > 1 AND list_min(c[list_sum(n[1:{i}])::BIGINT + 1:list_sum(n[1:{i + 1}])::BIGINT]) - l * {i} / 3 < 0.5, false)::INT" if i < 3 else "0"
+    take_l = lambda i: f"coalesce(m[{i}] AND NOT m[{i - 1}] AND n[{i - 1}] > 1 AND l * {i - 1} / 3 - list_max(c[coalesce(list_sum(n[1:{i - 2}]), 0)::BIGINT + 1:list_sum(n[1:{i - 1}])::BIGINT]) < 0.5, false)::INT" if i > 1 else "0"
+    r = ", ".join(f"n[{i}] + {take_r(i)} - {take_r(i - 1) if i > 1 else 0}" for i in (1, 2, 3))
+    left = ", ".join(f"n[{i}] + {take_l(i)} - {take_l(i + 1) if i < 3 else 0}" for i in (1, 2, 3))
+    return f", {to} AS (SELECT record_id, seg_idx, m, c, l, r, CASE WHEN {right} THEN [{r}] ELSE [{left}] END n FROM {frm})"
+
+
 SQL = {
-    "pack_text_counts": _S + """, n AS (SELECT record_id % 64 AS shard, row_number() OVER (PARTITION BY record_id % 64 ORDER BY record_id * 16 + seg_idx) i, len(list_filter(random_text, lambda x: x <> 0)) + 2 AS n FROM s WHERE len(random_text) > 0),
-r AS (WITH RECURSIVE q AS (SELECT shard, 0::BIGINT i, 0::BIGINT blocks, 0::BIGINT discarded, 0::BIGINT carried FROM (SELECT DISTINCT shard FROM n)
- UNION ALL SELECT q.shard, n.i, q.blocks + (q.carried + n.n) // 256, q.discarded + CASE WHEN (q.carried + n.n) % 256 <= 32 THEN (q.carried + n.n) % 256 ELSE 0 END, CASE WHEN (q.carried + n.n) % 256 <= 32 THEN 0 ELSE (q.carried + n.n) % 256 END FROM q JOIN n ON n.shard = q.shard AND n.i = q.i + 1) SELECT * FROM q)
-SELECT shard, blocks, discarded, carried FROM r QUALIFY row_number() OVER (PARTITION BY shard ORDER BY i DESC) = 1""",
+    "pack_text_counts": _BLOCKS.format(extra="") + "SELECT shard, blocks, discarded, carried FROM r QUALIFY row_number() OVER (PARTITION BY shard ORDER BY i DESC) = 1",
+    "pack_text_blocks": _BLOCKS.format(extra="") + "SELECT shard, CAST(blocks - len(out) + k AS INT) AS block_no, CAST(list_sum(out[k + 1]) AS BIGINT) AS total, out[k + 1][1] AS first, out[k + 1][256] AS last FROM (SELECT *, unnest(range(len(out))) k FROM r)",
     "grouped_blocks": _S + " SELECT record_id, CAST(g AS INT) AS grp, list(len(tok_ids) ORDER BY seg_idx) AS items FROM (SELECT *, (row_number() OVER (PARTITION BY record_id ORDER BY seg_idx) - 1) // 4 g FROM s) GROUP BY 1, 2",
     "packed_records": _S + " SELECT record_id, CAST(count(*) AS INT) AS n, arg_min(struct_pack(y := youtube_id), seg_idx).y AS first_video, CAST(sum(len(tok_ids)) AS INT) AS tokens FROM s GROUP BY 1",
     "video_src_index": _IDX + " SELECT * FROM i",
@@ -272,21 +366,31 @@ SELECT shard, blocks, discarded, carried FROM r QUALIFY row_number() OVER (PARTI
     "empty_span_repair": _S + " SELECT record_id, seg_idx, CASE WHEN seg_idx % 2 = 0 THEN [1, 2, len(tok_ids) - 3] ELSE [0, 3, len(tok_ids) - 3] END AS lengths FROM s WHERE len(tok_ids) >= 6",
     "neighbour_flags": _S + ", f AS (SELECT record_id, seg_idx, coalesce(len(tok_ids), 0) < 12 AS short FROM s) SELECT *, NOT short AND (coalesce(lag(short) OVER w, false) OR coalesce(lead(short) OVER w, false)) AS next_to FROM f WINDOW w AS (PARTITION BY record_id ORDER BY seg_idx)",
     "mask_growth": _S + ", f AS (SELECT record_id, seg_idx AS pos, len(tok_ids) n, len(tok_ids) < 12 m, start_time a, end_time e FROM s WHERE start_time IS NOT NULL AND end_time IS NOT NULL) SELECT record_id, pos, coalesce(m AND NOT lead(m) OVER w AND lead(n) OVER w > 1 AND lead(a) OVER w + 0.05 - e < 0.1, false) AS takes_right, coalesce(m AND NOT lag(m) OVER w AND lag(n) OVER w > 1 AND a - (lag(e) OVER w - 0.05) < 0.1, false) AS takes_left FROM f WINDOW w AS (PARTITION BY record_id ORDER BY pos)",
-    "valid_tokens": _S + f" SELECT record_id, seg_idx, CAST(len(list_filter(random_text, lambda x: x > 10 AND x NOT IN {M.BAD_TOKENS})) AS INT) AS valid, CAST(len(random_text) AS INT) AS n FROM s WHERE len(random_text) > 0",
+    "valid_tokens": _S + rf", v AS (SELECT list(doc_id) ok FROM documents WHERE doc_id > 10 AND doc_id NOT IN {M.BAD_TOKENS} AND regexp_matches(regexp_extract(coalesce(text, ''), '^[^ \t\n\f\r\x0B]*'), '^[A-Za-z0-9'']*$')) SELECT record_id, seg_idx, CAST(len(list_filter(random_text, lambda x: list_contains(ok, x))) AS INT) AS valid, CAST(len(random_text) AS INT) AS n FROM s, v WHERE len(random_text) > 0",
+    "grown_spans": _3 + """, z AS (SELECT s.record_id, s.seg_idx, m, [len(spans[1]), len(spans[2]), len(spans[3])] n, list_transform(range(len(tok_ids)), lambda i: (tok_start_times[i + 1]::DOUBLE + tok_end_times[i + 1]::DOUBLE) / 2) c FROM s JOIN sp USING (record_id, seg_idx) WHERE len(tok_start_times) >= len(tok_ids) AND len(tok_end_times) >= len(tok_ids)),
+y AS (SELECT *, coalesce(list_max(c), 0) l, record_id % 2 = 0 r FROM z)""" + _grow("y", "y1", "r") + _grow("y1", "y2", "NOT r") + " SELECT record_id, seg_idx, list_transform(n, lambda x: CAST(x AS INT)) AS lengths FROM y2",
+    "pointer_groups": _MASKED + " SELECT record_id, seg_idx, list_transform([a, b, c], lambda g: " + _PAD.format("g", 0, 12) + ") AS groups FROM (SELECT record_id, seg_idx, " + ", ".join(f"CASE WHEN len({x}) > 12 THEN list_concat({x}[1:0], {x})[(len({x}) - 12) // 2 + 1:(len({x}) - 12) // 2 + 12] ELSE {x} END {x}" for x in "abc") + " FROM t)",
+    "span_lengths": _3 + ", x AS (SELECT unnest(list_filter(list_zip(spans, m), lambda z: z[2])) l FROM sp), g AS (SELECT CAST(len(l[1]) AS INT) AS length, count(*) AS n FROM x WHERE len(list_filter(l[1], lambda z: z <> 0)) > 0 GROUP BY 1) SELECT length, n, round(n / sum(n) OVER (), 6) AS share FROM g",
+    "pseudo_spans": _S + f", t AS (SELECT record_id, seg_idx, list_filter(random_text, lambda x: x <> 0) t FROM s), l AS (SELECT *, least({256 + int((sum(i * w for i, w in enumerate(M.SPAN_WEIGHTS)) + 1) * 0.85 * M.span_budget(256) - M.span_budget(256))}, len(t)) room FROM t WHERE len(t) > 0), d AS (SELECT record_id, seg_idx, len(t) n, room, list_transform(range(room), lambda i: 1 + len(list_filter({_bounds()}, lambda b: {uniform_sql(23, 'record_id', 'seg_idx', 'i')} >= b))) x FROM l), k AS (SELECT record_id, seg_idx, n, list_filter(x, lambda z, i: list_sum(x[1:i]) <= room) lens FROM d) SELECT record_id, seg_idx, list_transform(lens, lambda z: CAST(z AS INT)) AS lens, CAST((n - w) // 2 AS INT) AS before, CAST(n - w - (n - w) // 2 AS INT) AS after, CAST(w AS INT) AS inside FROM (SELECT *, coalesce(list_sum(lens), 0) w FROM k)",
+    "per_token_words": _S + " SELECT record_id, flatten(list(list_transform(range(coalesce(len(tok_ids), 0)), lambda z: seg_idx) ORDER BY seg_idx)) AS segments FROM s GROUP BY 1",
+    "epoch_files": f"WITH f AS (SELECT DISTINCT _ids_fn FROM meta_info WHERE _ids_fn IS NOT NULL), e AS (SELECT _ids_fn, CAST(unnest([0, 1]) AS INT) AS epoch FROM f) SELECT _ids_fn, epoch, round({uniform_sql(5, 'epoch', '_ids_fn')}, 9) AS file_order FROM e",
+    "choice_columns": "SELECT item_id, CAST(unnest(range(4)) AS INT) AS cond, unnest([suite, show_name, vid_name, ts]) AS choice FROM eval_items",
+    "frame_zip": _S + ", t AS (SELECT record_id, seg_idx, max(spectrogram_magic_number) AS magic, max(start_time) AS start FROM segment_k2f GROUP BY 1, 2) SELECT record_id, seg_idx, CAST(len(tok_ids) AS INT) AS frame, magic, start FROM s JOIN t USING (record_id, seg_idx)",
+    "flattened_batches": _MASKED + ", o AS (SELECT record_id, seg_idx, " + _PAD.format("list_concat(a, b, c)", 0, 12) + " tok, " + _PAD.format("list_concat(" + _TXT.format(x="a", k=1, v="0") + ", " + _TXT.format(x="b", k=2, v="CAST(m[1] AS INT)") + ", " + _TXT.format(x="c", k=3, v="CAST(m[1] AS INT) + CAST(m[2] AS INT)") + ")", -1, 12) + " tx FROM t) SELECT record_id // 32 AS batch, record_id, CAST(sum(len(tok)) AS INT) AS n, CAST(sum(list_sum(tok)) AS BIGINT) AS sum_tok, max(list_max(tx)) AS max_text FROM o GROUP BY 1, 2",
     "header_tokens": _S + " SELECT record_id, seg_idx, list_concat([1, 11], title, [1, 12], [1, 13], coalesce(tags, []), [2])[1:40] AS tokens FROM s WHERE len(title) > 0",
     "qa_sequences": _S + ", q AS (SELECT record_id, seg_idx, list_concat(list_concat(title, tags)[1:15], [3]) j, list_concat(title[1:7], [3]) q FROM s WHERE len(title) > 0) SELECT record_id, seg_idx, " + _PAD.format("j", 0, 16) + " AS joint, " + _PAD.format("q", 0, 8) + " AS query FROM q",
-    "padded_subtitles": _S + ", l AS (SELECT record_id, list(coalesce(start_time, 0.0) ORDER BY seg_idx) l FROM s GROUP BY 1) SELECT record_id, list_concat(l, list_transform(range(0, 20 - len(l)), lambda z: -1.0))[1:20] AS times FROM l",
+    "padded_subtitles": _S + ", l AS (SELECT record_id, list(CAST(coalesce(len(tok_ids), 0) AS INT) ORDER BY seg_idx) f, list(coalesce(start_time, 0.0) ORDER BY seg_idx) t, list(coalesce(youtube_id, '') ORDER BY seg_idx) y FROM s GROUP BY 1) SELECT record_id, list_concat(f, list_transform(range(0, 20 - len(f)), lambda z: f[-1])) AS frames, list_concat(t, list_transform(range(0, 20 - len(f)), lambda z: -1.0::DOUBLE)) AS times, list_concat(y, list_transform(range(0, 20 - len(f)), lambda z: '')) AS subs FROM l",
     "gumbel_sample": f"SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY ln(n_chars) - ln(-ln(greatest({uniform_sql(42, 'doc_id')}, 1e-15))) DESC, doc_id LIMIT 50",
     "uniform_sample": f"SELECT doc_id, doc_kind FROM (SELECT doc_id, doc_kind, row_number() OVER (PARTITION BY doc_kind ORDER BY {uniform_sql(9, 'doc_id')}, doc_id) k FROM documents) WHERE k <= 3",
     "bernoulli_choice": f"SELECT doc_id, {uniform_sql(1, 'doc_id')} < 0.25 AS kept, ['up', 'down', 'flip'][CAST(floor({uniform_sql(2, 'doc_id')} * 3) AS INT) + 1] AS way FROM documents",
     "submission_pivot": _S + ", r AS (SELECT record_id, seg_idx c, len(tok_ids) n, coalesce(playback_speed, 0) p FROM s WHERE seg_idx < 4) SELECT record_id, " + ", ".join(f"max(CASE WHEN c = 3 THEN n * {j + 1} / 100 END) AS answer_{j}" for j in range(4)) + ", " + ", ".join(f"max(CASE WHEN c = {i} THEN (p + {j + 1})::DOUBLE END) AS rationale_conditioned_on_a{i}_{j}" for i in range(4) for j in range(4)) + " FROM r GROUP BY 1",
     "choice_expansion": "WITH q AS (SELECT item_id, string_split(vid_name, '_')[1:4] c FROM eval_items) SELECT item_id, CAST(unnest(range(len(c))) AS INT) AS cond, unnest(c) AS choice FROM q",
-    "object_naming": "WITH p AS (SELECT p_partkey % 200 AS grp, p_partkey, lower(split_part(p_type, ' ', -1)) k FROM part) SELECT grp, p_partkey, CASE WHEN count(*) OVER (PARTITION BY grp, k) = 1 THEN 'the ' || k ELSE upper(k[1:1]) || k[2:] || ' ' || row_number() OVER (PARTITION BY grp, k ORDER BY p_partkey) END AS obj_name FROM p",
-    "reference_names": "WITH p AS (SELECT p_partkey % 200 AS grp, p_partkey, lower(split_part(p_type, ' ', -1)) k FROM part), n AS (SELECT grp, p_partkey, CASE WHEN count(*) OVER (PARTITION BY grp, k) = 1 THEN 'the ' || k ELSE upper(k[1:1]) || k[2:] || ' ' || row_number() OVER (PARTITION BY grp, k ORDER BY p_partkey) END o FROM p) SELECT grp, array_to_string(list(o ORDER BY p_partkey)[1:2], ' and ') AS names FROM n GROUP BY 1",
-    "display_tokens": _3 + ", x AS (SELECT record_id, seg_idx, unnest([0, 1, 2]) k, unnest([CASE WHEN m[1] THEN 1 ELSE len(spans[1]) END, CASE WHEN m[2] THEN 1 ELSE len(spans[2]) END, CASE WHEN m[3] THEN 1 ELSE len(spans[3]) END]) n, unnest([m[1] OR list_contains(spans[1], 3), m[2] OR list_contains(spans[2], 3), m[3] OR list_contains(spans[3], 3)]) h FROM sp) SELECT record_id, seg_idx, CAST(k AS INT) AS audio_ptr, CAST(n AS BIGINT) AS n, CAST(h AS INT) AS has_mask FROM x WHERE n > 0",
+    "object_naming": "WITH p AS (SELECT p_partkey // 10 AS grp, p_partkey, lower(split_part(p_type, ' ', -1)) k FROM part) SELECT grp, p_partkey, CASE WHEN count(*) OVER (PARTITION BY grp, k) = 1 THEN 'the ' || k ELSE upper(k[1:1]) || k[2:] || ' ' || row_number() OVER (PARTITION BY grp, k ORDER BY p_partkey) END AS obj_name FROM p",
+    "reference_names": "WITH p AS (SELECT p_partkey // 10 AS grp, p_partkey, lower(split_part(p_type, ' ', -1)) k FROM part), n AS (SELECT grp, p_partkey, CASE WHEN count(*) OVER (PARTITION BY grp, k) = 1 THEN 'the ' || k ELSE upper(k[1:1]) || k[2:] || ' ' || row_number() OVER (PARTITION BY grp, k ORDER BY p_partkey) END o FROM p) SELECT grp, array_to_string(list(o ORDER BY p_partkey)[1:2], ' and ') AS names FROM n GROUP BY 1",
+    "display_tokens": _3 + ", x AS (SELECT record_id, seg_idx, unnest([0, 1, 2]) k, unnest(spans) p, unnest(m) f FROM sp) SELECT record_id, seg_idx, CAST(k AS INT) AS audio_ptr, CASE WHEN f THEN 'MASK' ELSE array_to_string(list_transform(p, lambda z: CASE WHEN z = 3 THEN 'MASK' ELSE CAST(z AS VARCHAR) END), ' ') END AS line FROM x WHERE f OR len(p) > 0",
     "nation_lookup": "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "action_names": "SELECT p_partkey, 'take the ' || array_to_string(list_reverse(string_split(lower(replace(p_name, ' ', ':')), ':')), ' ') AS action FROM part",
-    "positional_zip": "WITH a AS (SELECT video_id, video_id[1:1] k, row_number() OVER (PARTITION BY video_id[1:1] ORDER BY video_id) n FROM (SELECT DISTINCT video_id FROM video_ids)), b AS (SELECT youtube_id, youtube_id[1:1] k, row_number() OVER (PARTITION BY youtube_id[1:1] ORDER BY youtube_id) n FROM (SELECT DISTINCT youtube_id FROM meta_info)) SELECT k, CAST(n AS INT) AS n, video_id, youtube_id FROM a JOIN b USING (k, n)",
+    "positional_zip": "WITH a AS (SELECT video_id, row_number() OVER (ORDER BY video_id) - 1 n FROM (SELECT DISTINCT video_id FROM video_ids WHERE video_id IS NOT NULL)), b AS (SELECT youtube_id, row_number() OVER (ORDER BY youtube_id) - 1 n FROM (SELECT DISTINCT youtube_id FROM meta_info WHERE youtube_id IS NOT NULL)) SELECT n, video_id, youtube_id FROM a JOIN b USING (n)",
     "union_predictions": _S + " SELECT CASE WHEN record_id % 2 = 0 THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(len(tok_ids)) AS total FROM s GROUP BY 1",
-    "sorted_index": r"SELECT _ids_fn, CAST(row_number() OVER (ORDER BY TRY_CAST(regexp_extract(_ids_fn, '(\d+)', 1) AS INT) NULLS FIRST, _ids_fn) AS INT) AS n FROM (SELECT DISTINCT _ids_fn FROM meta_info)",
+    "sorted_index": r"SELECT _ids_fn, (row_number() OVER (ORDER BY TRY_CAST(regexp_extract(_ids_fn, '(\d+)', 1) AS INT) NULLS FIRST, _ids_fn)) AS n FROM (SELECT DISTINCT _ids_fn FROM meta_info)",
 }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import encoded_string
 from ..operators import quality as Q
+from ..operators.numbering import numbered
+from ..sources import readers as R
 from ..operators import words as W
 from ..rand import uniform, uniform_sql
 from ..session import table
@@ -29,18 +31,36 @@ def clean_text(spark, d):
     return _docs(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
 
 
+def _repair_sql(x: str) -> str:
+    """A text read again as UTF-8, twice, from the code numbers of its characters."""
+    utf8 = r"([\x00-\x7f]|[\x{c2}-\x{df}][\x{80}-\x{bf}]|[\x{e0}-\x{ef}][\x{80}-\x{bf}]{2}|[\x{f0}-\x{f4}][\x{80}-\x{bf}]{3})*"
+    for _ in range(2):
+        b = f"translate({x}, '{T.CP1252}', '{T.CP1252_AT}')"
+        x = rf"(CASE WHEN regexp_matches({x}, '[\x{{c2}}-\x{{f4}}]') AND regexp_full_match({b}, '{utf8}', 's') THEN decode(unhex(array_to_string(list_transform(regexp_extract_all({b}, '.', 0, 's'), lambda h: printf('%02x', unicode(h))), ''))) ELSE {x} END)"
+    return x
+
+
+def _emoji_sql(x: str) -> str:
+    """Emoji by a map from each to its name in Unicode."""
+    named = {chr(c): T.name_emoji(chr(c)) for r in (range(0x2600, 0x27C0), range(0x1F300, 0x1FB00)) for c in r}
+    entries = ", ".join(f"'{k}': '{v}'" for k, v in named.items())
+    chars = rf"regexp_extract_all(regexp_replace({x}, '([\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}])\x{{FE0F}}', '\1', 'g'), '.', 0, 's')"
+    return rf"(CASE WHEN regexp_matches({x}, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}]') THEN array_to_string(list_transform({chars}, lambda h: coalesce(MAP {{{entries}}}[h], h)), '') ELSE {x} END)"
+
+
 def _clean_sql() -> str:
-    # The expression of clean_text without its run-collapsing pattern, which needs a
-    # back reference: one replacement for each mark instead.
-    s = r"regexp_replace(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]', '', 'g')"
-    s = f"regexp_replace({s}, '{T.MARKUP}', '', 'g')"
-    s = f"translate({s}, '{_Q(T.FOLD_FROM)}', '{_Q(T.FOLD_TO)}')"
+    # In steps, so that no expression stands in another twice. The run-collapsing pattern needs
+    # a back reference: one replacement for each mark instead.
+    folded = f"regexp_replace(x, '{T.MARKUP}', '', 'g')"
+    for k, v in T.FOLD_MANY.items():
+        folded = f"replace({folded}, '{k}', '{v}')"
+    s = f"translate({folded}, '{_Q(T.FOLD_FROM)}', '{_Q(T.FOLD_TO)}')"
     for c in T.RUNS:
         esc = "\\" + c if c in "$+./?[]\\-" else c
         s = f"regexp_replace({s}, '{_Q(esc)}{{2,}}', '{_Q(c) if c != chr(92) else chr(92) * 2}', 'g')"
     for k, v in T.SPELLED.items():
         s = f"replace({s}, '{k}', '{v}')"
-    return s
+    return f"WITH a AS (SELECT doc_id, {_repair_sql('text')} x FROM documents), b AS (SELECT doc_id, {_emoji_sql('x')} x FROM a), c AS (SELECT doc_id, {s} x FROM b) SELECT doc_id, trim(regexp_replace(x, '[\\p{{Z}}\\s\\x0B\\x{{85}}]+', ' ', 'g')) AS clean FROM c"
 
 
 def clean_description(spark, d):
@@ -53,12 +73,13 @@ def normalise_words(spark, d):
 
 
 def word_features(spark, d):
-    return W.word_features(_words(spark, d), "doc_id").drop("word")
+    rows = _docs(spark, d).where("text is not null").select("doc_id", F.explode(W.row_features(W.split_words(F.col("text")))).alias("x"))
+    return rows.select("doc_id", "x.*").drop("word")
 
 
 def token_quality(spark, d):
-    q = W.token_quality(_words(spark, d), "doc_id")
-    return q.select("doc_id", "n_words", F.round("frac_good", 6).alias("frac_good"), F.round("len_var", 6).alias("len_var"), "dropped")
+    q = _docs(spark, d).where("text is not null").select("doc_id", W.row_quality(W.split_words(F.col("text"))).alias("q")).where("q is not null")
+    return q.select("doc_id", "q.n_words", F.round("q.frac_good", 6).alias("frac_good"), F.round("q.len_var", 6).alias("len_var"), ((F.col("q.frac_good") < 0.6) | (F.col("q.len_var") > 10)).alias("dropped"))
 
 
 def clean_subtitle_words(spark, d):
@@ -74,7 +95,7 @@ def spelled_numbers(spark, d):
 
 
 def repaired_texts(spark, d):
-    return _docs(spark, d).where("text is not null").select("doc_id", T.named_emoji(T.repaired_text("text")).alias("repaired"))
+    return _docs(spark, d).where("text is not null").select("doc_id", T.named_emoji(T.repaired_text(F.col("text"))).alias("repaired"))
 
 
 def quality_reason(spark, d):
@@ -155,7 +176,7 @@ def kl_divergence(spark, d):
 
 def span_length_stats(spark, d):
     """Mean and linear quantiles of words per document."""
-    n = _words(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = _docs(spark, d).where("text is not null").select(F.size(W.split_words(F.col("text"))).alias("n")).where("n > 0")
     return n.agg(F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("most"), *[F.expr(f"cast(percentile(n, {p}) as int)").alias(f"p{int(p * 100)}") for p in (0.9, 0.95, 0.99)])
 
 
@@ -172,22 +193,61 @@ def qa_ids(spark, d):
 
 def split_chunks(spark, d):
     """Documents in id order cut into six equal parts and a rest."""
-    n = _docs(spark, d).count()
-    size = max(1, n // 6)
-    # Places in order: counts by range first, so that no task numbers all rows.
-    docs = _docs(spark, d).select("doc_id", F.floor(F.col("doc_id") / 1000).alias("r"))
-    before = docs.groupBy("r").agg(F.count("*").alias("c"))
-    before = before.select("r", F.coalesce(F.sum("c").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rn = docs.join(before, "r").withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy("r").orderBy("doc_id")) - 1)
-    return rn.select("doc_id", F.least(F.floor(F.col("rn") / size), F.lit(6)).cast("int").alias("part"))
+    size = F.greatest(F.floor(F.col("total") / 6), F.lit(1))
+    return numbered(_docs(spark, d).select("doc_id"), "doc_id").select("doc_id", F.least(F.floor(F.col("n") / size), F.lit(6)).cast("int").alias("part"))
+
+
+def clean_words(spark, d):
+    """Words whose repaired form is not empty, as repaired."""
+    return W.clean_subtitles(_words(spark, d), store_repaired=True)
+
+
+def searchable_texts(spark, d):
+    """An item's show, text without addresses, and words of its clip's name."""
+    q = table(spark, d, "eval_items")
+    return q.select("item_id", T.searchable_text(F.col("show_name"), F.col("text"), F.split("vid_name", "_")).alias("searchable"))
+
+
+def clean_flags(spark, d):
+    return _docs(spark, d).where("text is not null").select("doc_id", T.is_clean(F.col("text")).alias("clean"))
+
+
+def location_texts(spark, d):
+    """Where an item's interval lies in a video as long as it ends late."""
+    q = table(spark, d, "eval_items").select("item_id", T.interval_of(F.col("ts")).alias("i"))
+    return q.select("item_id", T.location_text(F.col("i.a"), F.col("i.b"), F.col("i.b") + 7).alias("location"))
+
+
+def annotation_ids(spark, d):
+    q = table(spark, d, "eval_items").select("item_id", F.concat(F.col("suite"), F.lit("-"), F.col("item_id").cast("string"), F.lit("-q_"), F.col("vid_name")).alias("name"))
+    return q.select("item_id", T.annotation_id(F.col("name")).alias("annotation"), T.condition_of(F.col("name")).alias("condition"))
+
+
+def category_ids(spark, d):
+    """Crawled categories by the table of names, each with its videos; others have no id."""
+    names = R.categories(spark)
+    c = table(spark, d, "meta_info").select("youtube_id", F.explode("categories").alias("category")).distinct()
+    return c.join(F.broadcast(names), F.lower("category") == F.col("name"), "left").groupBy("category", "category_id").agg(F.count("*").alias("videos"))  # twenty names
 
 
-QUERIES = {f.__name__: f for f in (clean_text, clean_description, normalise_words, word_features, token_quality, clean_subtitle_words, desc_token_filter, spelled_numbers, repaired_texts, quality_reason, sampled_gate, source_whitelist_shard, vocab_topk_ties, answer_frequency, dedup_random_survivor, sha_keys, string_codes, source_colours, infill_template, anti_join_resume, processed_ids, kl_divergence, span_length_stats, clock_functions, qa_ids, split_chunks)}
+QUERIES = {f.__name__: f for f in (clean_text, clean_description, normalise_words, word_features, token_quality, clean_subtitle_words, desc_token_filter, spelled_numbers, repaired_texts, quality_reason, sampled_gate, source_whitelist_shard, vocab_topk_ties, answer_frequency, dedup_random_survivor, sha_keys, string_codes, source_colours, infill_template, anti_join_resume, processed_ids, kl_divergence, span_length_stats, clock_functions, qa_ids, split_chunks, clean_words, searchable_texts, clean_flags, location_texts, annotation_ids, category_ids)}
 
 _UP = "({0} = upper({0}) AND {0} <> lower({0}))"
 _LAG = "coalesce(lag({0}) OVER w, {1}) AS {0}_left, coalesce(lead({0}) OVER w, {1}) AS {0}_right"
+_URL = r"""(?i)\b((?:https?://|www\d{0,3}[.]|[a-z0-9.\-]+[.][a-z]{2,4}/)(?:[^\s()<>]+|\(([^\s()<>]+|(\([^\s()<>]+\)))*\))+(?:\(([^\s()<>]+|(\([^\s()<>]+\)))*\)|[^\s`!()\[\]{};:'".,<>?«»“”‘’]))"""
+_MOD = "list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(sha256(source), '.'), lambda h: ('0x' || h)::BIGINT)), lambda s, x: (s * 16 + x) % {0})"
 SQL = {
-    "clean_text": f"SELECT doc_id, trim(regexp_replace({_clean_sql()}, '[\\p{{Z}}\\s\\x0B\\x{{85}}]+', ' ', 'g')) AS clean FROM documents",
+    "clean_description": f"WITH t AS (SELECT DISTINCT youtube_id, description t FROM segment_k2f WHERE description IS NOT NULL), a AS (SELECT youtube_id, regexp_replace(trim({_emoji_sql('t')}), '{_Q(_URL)}', '%', 'g') t FROM t) SELECT DISTINCT youtube_id, regexp_replace(regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '\\s*\\n+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM a",
+    "source_colours": "SELECT DISTINCT source, [" + ", ".join(f"CAST(floor({_MOD.format(m)} * 255 / {m - 1}) AS INT)" for m in (1024, 1023, 1025)) + "] AS rgb FROM documents WHERE source IS NOT NULL",
+    "clean_words": _WORDS + f", r AS (SELECT doc_id, pos, word w, regexp_replace({_repair_sql('word')}, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f\\x{{feff}}]', '', 'g') AS word FROM w) SELECT doc_id, pos, word FROM r WHERE NOT starts_with(w, '&') AND NOT ends_with(w, ';') AND word <> ''",
+    "searchable_texts": r"SELECT item_id, coalesce(show_name, '') || chr(10) || coalesce(array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: NOT (contains(w, '#') OR contains(w, 'http') OR contains(w, '@') OR contains(w, 'www')))[1:100], ' '), '') || chr(10) || coalesce(replace(vid_name, '_', ' '), '') AS searchable FROM eval_items",
+    "clean_flags": "SELECT doc_id, regexp_full_match(text, '[ A-Za-z0-9.,?!'']*\\n?') AS clean FROM documents WHERE text IS NOT NULL",
+    "location_texts": """WITH p AS (SELECT item_id, try_cast(split_part(ts, '-', 1) AS DOUBLE) a, try_cast(split_part(ts, '-', 2) AS DOUBLE) b FROM eval_items), q AS (SELECT item_id, CASE WHEN a IS NULL OR b IS NULL OR isnan(a) OR isnan(b) THEN 0.0 ELSE a END a, CASE WHEN a IS NULL OR b IS NULL OR isnan(a) OR isnan(b) THEN 9999.0 ELSE b END b FROM p)
+SELECT item_id, CAST(trunc(a / (b + 7) * 100) AS INT) || ' to ' || CAST(trunc(b / (b + 7) * 100) AS INT) AS location FROM q""",
+    "annotation_ids": "WITH q AS (SELECT item_id, suite || '-' || item_id || '-q_' || vid_name n FROM eval_items) SELECT item_id, split_part(n, '-', 1) || '-' || split_part(n, '-', 2) AS annotation, split_part(n, '_', -1) AS condition FROM q",
+    "category_ids": "WITH n AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in R.CATEGORIES) + f"]) nm, unnest(range({len(R.CATEGORIES)})) i), c AS (SELECT DISTINCT youtube_id, unnest(categories) AS category FROM meta_info) SELECT category, CAST(i AS INT) AS category_id, count(*) AS videos FROM c LEFT JOIN n ON lower(category) = nm GROUP BY 1, 2",
+    "clean_text": _clean_sql(),
+    "repaired_texts": f"WITH a AS (SELECT doc_id, {_repair_sql('text')} x FROM documents WHERE text IS NOT NULL) SELECT doc_id, {_emoji_sql('x')} AS repaired FROM a",
     "normalise_words": _WORDS + f" SELECT doc_id, pos, lower(trim(translate(word, '{_Q(T.PUNCTUATION)}', ''))) AS norm FROM w",
     "word_features": _WORDS + f", f AS (SELECT doc_id, pos, CAST(length(word) AS DOUBLE) feat_charlen, CAST({_UP.format('word[1:1]')} AS INT)::DOUBLE feat_is_upper, length(regexp_replace(lower(word), '[^aeiou]', '', 'g'))::DOUBLE feat_num_vowels, len(regexp_extract_all(word, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\p{{Nl}}\\x{{24B6}}-\\x{{24E9}}\\x{{1F130}}-\\x{{1F149}}\\x{{1F150}}-\\x{{1F169}}\\x{{1F170}}-\\x{{1F189}}\\x{{200C}}\\x{{200D}}]'))::DOUBLE feat_num_punct FROM w) SELECT *, " + ", ".join(_LAG.format(c, v) for c, v in (("feat_charlen", "1.0"), ("feat_is_upper", "0.0"), ("feat_num_vowels", "0.0"), ("feat_num_punct", "0.0"))) + " FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
     "token_quality": _WORDS + f", q AS (SELECT doc_id, count(*) n_words, avg(CAST(NOT (length(word) > 1 AND {_UP.format('word')}) AS INT)) g, coalesce(var_samp(length(word)), 0) v FROM w GROUP BY 1) SELECT doc_id, n_words, round(g, 6) AS frac_good, round(v, 6) AS len_var, g < 0.6 OR v > 10 AS dropped FROM q",

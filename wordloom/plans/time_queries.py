@@ -9,6 +9,7 @@ from ..functions import arrays as A
 from ..operators import segments as S
 from ..operators import words as W
 from ..operators.running import running
+from ..rand import uniform, uniform_sql
 from ..session import table
 
 
@@ -25,12 +26,12 @@ DAY = 86400.0
 
 
 def _days(spark, d):
-    """Intervals of a day and a half from each video's second day on, five of each."""
-    u = _events(spark, d).select("user_id").distinct()
-    return u.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("seg")).select("user_id", "seg", (F.col("seg") * 1.5 * DAY).alias("lo"), ((F.col("seg") + 1) * 1.5 * DAY).alias("hi"))
+    """Intervals of a day and a half from each video's second day on, to its end."""
+    u = _events(spark, d).groupBy("user_id").agg(F.max("duration").alias("dur"))
+    return u.select("user_id", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("dur") / (1.5 * DAY)).cast("int")))).alias("seg")).select("user_id", "seg", (F.col("seg") * 1.5 * DAY).alias("lo"), ((F.col("seg") + 1) * 1.5 * DAY).alias("hi"))
 
 
-_D = _E + ", iv AS (SELECT user_id, CAST(s AS INT) seg, s * 1.5 * 86400.0 lo, (s + 1) * 1.5 * 86400.0 hi FROM (SELECT DISTINCT user_id FROM e), range(1, 6) r(s))"
+_D = _E + ", iv AS (SELECT user_id, CAST(s AS INT) seg, s * 1.5 * 86400.0 lo, (s + 1) * 1.5 * 86400.0 hi FROM (SELECT user_id, unnest(range(1, 1 + greatest(1, CAST(floor(max(duration) / (1.5 * 86400.0)) AS INT)))) s FROM e GROUP BY user_id))"
 
 
 def word_density_bins(spark, d):
@@ -160,9 +161,39 @@ def lr_schedule(spark, d):
 
 
 def rotary_coords(spark, d):
-    """Centred coordinates of a grid of 12 by 20, each within (-1, 1)."""
-    g = spark.range(240).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"))
-    return g.select("x", "y", F.round((2 * F.col("y") + 1) / 12 - 1, 6).alias("cy"), F.round((2 * F.col("x") + 1) / 20 - 1, 6).alias("cx"))
+    """Coordinates of the cells of a picture's grid, in units of its longer side, and of a
+    segment's row, for each size of grid that records of 12 by 20 down to 1 by 2 give."""
+    g = spark.range(12).select((F.col("id") + 1).cast("int").alias("h"), (2 * F.col("id") + 1).cast("int").alias("w"))
+    c = g.select("h", "w", F.posexplode(S.grid_coordinates(F.col("h"), F.col("w"))).alias("cell", "c"))
+    return c.select("h", "w", "cell", F.round("c.h", 6).alias("ch"), F.round("c.w", 6).alias("cw"))
+
+
+def joint_coords(spark, d):
+    """Joint coordinates of segments' tokens: 0, 0, segment and token."""
+    s = table(spark, d, "segment_k2f").where("size(tok_ids) > 0").select("record_id", "seg_idx", F.size("tok_ids").alias("n")).distinct()
+    return s.select("record_id", "seg_idx", "n", S.joint_coordinates(segment=F.col("seg_idx"), token=F.col("n")).alias("coords"))
+
+
+def line_coords(spark, d):
+    n = table(spark, d, "segment_k2f").where("size(tok_ids) > 0").select(F.size("tok_ids").alias("n")).distinct()
+    return n.select("n", S.centred_coordinates(F.col("n")).alias("centred"), S.plain_coordinates(F.col("n")).alias("plain"))
+
+
+def audio_times(spark, d):
+    """Bounds of three parts of each segment, placed by hash."""
+    s = table(spark, d, "segment_k2f").select("record_id", "seg_idx").distinct()
+    u = F.array(*[uniform(31, "record_id", "seg_idx", F.lit(k)) for k in range(4)])
+    b = S.audio_bounds(S.audio_starts(u, 3, 60, 188), 60, 588 / 22050, 1536 / 22050)
+    return s.select("record_id", "seg_idx", F.transform(b, lambda x: F.round(x["start"], 6)).alias("starts"), F.transform(b, lambda x: F.round(x["end"], 6)).alias("ends"))
+
+
+def window_stats(spark, d):
+    w = S.window_stats(adaptive_windows(spark, d), "user_id")
+    return w.select("user_id", "windows", F.round("mean", 6).alias("mean"), "most", F.round("std", 6).alias("std"))
+
+
+def short_videos(spark, d):
+    return table(spark, d, "segment_k2f").select("youtube_id", F.col("end_time").alias("duration")).distinct().select("youtube_id", "duration", S.too_short(F.col("duration")).alias("short"))
 
 
 def media_pointers(spark, d):
@@ -186,8 +217,15 @@ def checkpoint_metrics(spark, d):
     return e.groupBy("step", "event_type").agg(F.round(F.avg("value"), 4).alias("loss"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (word_density_bins, density_gate, interval_assign_left, interval_assign_right, nearest_span_monotone, nearest_frame, fixed_tiles, centred_tiles, backward_tiles, anticipation, expanded_segments, boundary_smoothing, local_times, adaptive_windows, running_offset, cumulative_max, batch_ranges, resize_sizes, spectrogram_widths, magic_scale, lr_schedule, rotary_coords, media_pointers, audio_placement, checkpoint_metrics)}
+QUERIES = {f.__name__: f for f in (word_density_bins, density_gate, interval_assign_left, interval_assign_right, nearest_span_monotone, nearest_frame, fixed_tiles, centred_tiles, backward_tiles, anticipation, expanded_segments, boundary_smoothing, local_times, adaptive_windows, running_offset, cumulative_max, batch_ranges, resize_sizes, spectrogram_widths, magic_scale, lr_schedule, rotary_coords, joint_coords, line_coords, audio_times, window_stats, short_videos, media_pointers, audio_placement, checkpoint_metrics)}
 _BINS = _E + ", b AS (SELECT user_id, CAST(floor(sec / 86400.0) AS BIGINT) b, count(*) n FROM e GROUP BY 1, 2), l AS (SELECT user_id, unnest(range(0, max(b) + 1)) AS bin FROM b GROUP BY user_id), r AS (SELECT l.user_id, bin, coalesce(n, 0) AS n FROM l LEFT JOIN b ON l.user_id = b.user_id AND l.bin = b.b)"
+# One step a window: how many words stand before each bound decides the speed.
+_WINDOWS = _E + """, v AS (SELECT user_id, list(sec / 3600 ORDER BY sec) c, max(duration) / 3600 + 5 lim FROM e GROUP BY 1),
+made AS (WITH RECURSIVE q AS (SELECT user_id, -1::BIGINT k, 0.0::DOUBLE a, round(greatest(c[1], 0), 2) b, 1 speed, 0::BIGINT taken, 0::BIGINT n FROM v
+ UNION ALL SELECT user_id, k, a, round(a + 5 * speed, 2), speed, taken, len(list_filter(c, lambda x: x < a + 5.0 * speed)) - taken FROM
+ (SELECT user_id, k, a, taken, c, CASE WHEN n1 >= 8 OR a + 10 > lim OR n2 >= 16 THEN 1 WHEN n2 >= 8 OR a + 15 > lim OR n3 >= 16 THEN 2 ELSE 3 END speed FROM
+ (SELECT q.user_id, k + 1 k, b a, taken + n taken, c, lim, len(list_filter(c, lambda x: x < b + 5)) - taken - n n1, len(list_filter(c, lambda x: x < b + 10)) - taken - n n2, len(list_filter(c, lambda x: x < b + 15)) - taken - n n3 FROM q JOIN v ON q.user_id = v.user_id WHERE taken + n < len(c) AND b + 5 <= lim)))
+ SELECT * FROM q WHERE k >= 0) """
 SQL = {
     "word_density_bins": _BINS + " SELECT * FROM r",
     "density_gate": _BINS + " SELECT user_id, max(n) AS most, max(n) < 10 AS dropped FROM r GROUP BY 1",
@@ -209,10 +247,20 @@ SELECT event_id, round(ds, 6) AS d_start, round(de, 6) AS d_end, round(((sec + d
     "running_offset": "WITH s AS (SELECT record_id, seg_idx, max(coalesce(greatest(end_time - start_time, 0.0), 0.0)) l FROM segment_k2f GROUP BY 1, 2) SELECT record_id, seg_idx, round(coalesce(sum(l) OVER (PARTITION BY record_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 3) AS offset FROM s",
     "cumulative_max": _E + " SELECT event_id, max(sec) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS top FROM e",
     "batch_ranges": "WITH s AS (SELECT DISTINCT record_id, seg_idx FROM segment_k2f), b AS (SELECT *, CAST((row_number() OVER (PARTITION BY record_id ORDER BY seg_idx) - 1) // 4 AS INT) batch FROM s) SELECT record_id, batch, count(*) AS n, min(seg_idx) AS first FROM b GROUP BY 1, 2 HAVING count(*) = 4",
-    "resize_sizes": "WITH s AS (SELECT p_partkey, p_size * 37 + 16 w, p_partkey % 700 + 20 h FROM part), f AS (SELECT *, least(288.0::DOUBLE / least(w, h), 512.0::DOUBLE / greatest(w, h), 1) f, least(384.0::DOUBLE / w, 224.0::DOUBLE / h) g FROM s), n AS (SELECT *, CAST(floor(w * g + 1e-9) AS INT) cw, CAST(floor(h * g + 1e-9) AS INT) ch FROM f) SELECT p_partkey, CAST(floor(w * f + 1e-9) AS INT) AS w, CAST(floor(h * f + 1e-9) AS INT) AS h, cw, ch, (384 - cw) // 2 AS pad_left, (224 - ch) // 2 AS pad_top FROM n",
+    "resize_sizes": """WITH s AS (SELECT p_partkey, p_size * 37 + 16 w, p_partkey % 700 + 20 h FROM part),
+z AS (SELECT *, CAST(CASE WHEN greatest(w, h)::DOUBLE / least(w, h) * 288 > 512 THEN round_even(512.0::DOUBLE * least(w, h) / greatest(w, h), 0) ELSE 288 END AS INT) z, least(384.0::DOUBLE / w, 224.0::DOUBLE / h) g FROM s),
+r AS (SELECT *, CASE WHEN least(w, h) <= 288 OR (w <= h AND w = z) OR (h <= w AND h = z) THEN w WHEN w < h THEN z ELSE CAST(trunc((z * w)::DOUBLE / h) AS INT) END rw, CASE WHEN least(w, h) <= 288 OR (w <= h AND w = z) OR (h <= w AND h = z) THEN h WHEN w < h THEN CAST(trunc((z * h)::DOUBLE / w) AS INT) ELSE z END rh, CAST(floor(w * g + 1e-9) AS INT) cw, CAST(floor(h * g + 1e-9) AS INT) ch FROM z)
+SELECT p_partkey, CAST(rw AS INT) AS w, CAST(rh AS INT) AS h, cw, ch, (384 - cw) // 2 AS pad_left, (224 - ch) // 2 AS pad_top FROM r""",
     "magic_scale": "SELECT record_id, round(255 / greatest(quantile_cont(CAST(spectrogram_magic_number AS DOUBLE), 0.99), 1.0), 4) AS scale FROM segment_k2f WHERE spectrogram_magic_number IS NOT NULL AND NOT isnan(spectrogram_magic_number) GROUP BY 1",
-    "lr_schedule": "WITH s AS (SELECT range AS step, least(greatest((range - 375)::DOUBLE / 7125, 0), 1) p FROM range(0, 7500, 50)) SELECT step, round(4e-4 * CASE WHEN step < 375 THEN step / 375 ELSE 0.02 + 0.98 * 0.5 * (1 + cos(pi() * p)) END, 10) AS cosine, round(4e-4 * CASE WHEN step < 375 THEN step / 375 ELSE 1 - p END, 10) AS linear FROM s",
-    "rotary_coords": "WITH g AS (SELECT range % 20 x, range // 20 y FROM range(240)) SELECT x, y, round((2 * y + 1) / 12 - 1, 6) AS cy, round((2 * x + 1) / 20 - 1, 6) AS cx FROM g",
+    "lr_schedule": "WITH s AS (SELECT range AS step, least(greatest((range - 375)::DOUBLE / 7126, 0), 1) p FROM range(0, 7500, 50)) SELECT step, round(4e-4 * CASE WHEN step < 375 THEN step / 375 ELSE 0.02 + 0.98 * 0.5 * (1 + cos(pi() * p)) END, 10) AS cosine, round(4e-4 * CASE WHEN step < 375 THEN step / 375 ELSE 1 - p END, 10) AS linear FROM s",
+    "rotary_coords": """WITH g AS (SELECT CAST(range + 1 AS INT) h, CAST(2 * range + 1 AS INT) w FROM range(12)), c AS (SELECT h, w, unnest(range(h * w)) cell FROM g), p AS (SELECT *, cell // w y, cell % w x FROM c)
+SELECT h, w, CAST(cell AS INT) AS cell, round((CASE WHEN y < h // 2 THEN y - h // 2 ELSE y - h // 2 + 1 END) / (greatest(h, w) + 1.0::DOUBLE), 6) AS ch, round((CASE WHEN x < w // 2 THEN x - w // 2 ELSE x - w // 2 + 1 END) / (greatest(h, w) + 1.0::DOUBLE), 6) AS cw FROM p""",
+    "joint_coords": "SELECT DISTINCT record_id, seg_idx, CAST(len(tok_ids) AS INT) AS n, [0.0::DOUBLE, 0.0::DOUBLE, seg_idx / 16.0::DOUBLE, len(tok_ids) / 1024.0::DOUBLE] AS coords FROM segment_k2f WHERE len(tok_ids) > 0",
+    "line_coords": "WITH s AS (SELECT DISTINCT len(tok_ids) n FROM segment_k2f WHERE len(tok_ids) > 0) SELECT CAST(n AS INT) AS n, list_transform(range(n), lambda i: (CASE WHEN i < n // 2 THEN i - n // 2 ELSE i - n // 2 + 1 END)::DOUBLE) AS centred, list_transform(range(n), lambda i: (i + 1)::DOUBLE) AS plain FROM s",
+    "audio_times": f"WITH s AS (SELECT DISTINCT record_id, seg_idx FROM segment_k2f), u AS (SELECT *, [{', '.join(uniform_sql(31, 'record_id', 'seg_idx', str(k)) for k in range(4))}] u FROM s), p AS (SELECT record_id, seg_idx, list_transform([0, 1, 2], lambda i: floor(8 * list_sum(u[1:i + 1]) / list_sum(u)) + i * 60) f FROM u) SELECT record_id, seg_idx, list_transform(f, lambda x: round(x * (588 / 22050) - 1536 / 22050 / 2, 6)) AS starts, list_transform(f, lambda x: round(x * (588 / 22050) - 1536 / 22050 / 2 + 60 * (588 / 22050) + 1536 / 22050, 6)) AS ends FROM p",
+    "adaptive_windows": _WINDOWS + "SELECT user_id, CAST(k AS INT) AS seg_idx, round(a, 2) AS start_time, round(b, 2) AS end_time, speed AS playback_speed, CAST(taken AS INT) AS first_word, CAST(n AS INT) AS n_words FROM made",
+    "window_stats": _WINDOWS + "SELECT user_id, count(*) AS windows, round(avg(n), 6) AS mean, CAST(max(n) AS INT) AS most, round(stddev_pop(n), 6) AS std FROM made GROUP BY 1",
+    "short_videos": "SELECT DISTINCT youtube_id, end_time AS duration, coalesce(end_time - 1 < 5, true) AS short FROM segment_k2f",
     "media_pointers": "SELECT DISTINCT seg_idx, list_transform(range(0, 18), lambda k: CAST(seg_idx * 3 + k // 6 AS INT)) AS audio_ptr FROM segment_k2f",
     "checkpoint_metrics": "WITH e AS (SELECT event_id // 100 * 75 AS step, event_type, value FROM events) SELECT step, event_type, round(avg(value), 4) AS loss, count(*) AS n FROM e WHERE step = 7500 OR step % 750 = 0 GROUP BY 1, 2",
 }

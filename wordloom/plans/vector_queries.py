@@ -91,9 +91,11 @@ def accuracy_heads(spark, d):
 
 
 def missing_counts_wrong(spark, d):
-    """Items without an answer count as wrong: even vectors have one."""
+    """Items without an answer count as wrong: those of which the best label leads by less than
+    one point are left unanswered."""
     gold = _emb(spark, d).select("vec_id", "label")
-    ans = V.ranked_labels(_emb(spark, d)).where("rank = 1").where("vec_id % 2 = 0").select("vec_id", "cand")
+    two = V.ranked_labels(_emb(spark, d)).where("rank <= 2").groupBy("vec_id").agg(F.min_by("cand", "rank").alias("cand"), (F.max("score") - F.min("score")).alias("lead"))
+    ans = two.where("lead >= 1").select("vec_id", "cand")
     return gold.join(ans, "vec_id", "left").agg(F.round(F.avg(F.coalesce((F.col("cand") == F.col("label")).cast("int"), F.lit(0))), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -105,6 +107,30 @@ def distinct_top5(spark, d):
     return k.where("k <= 5").select("vec_id", "noun", "first_rank", "k")
 
 
+def qa_pairs(spark, d):
+    """Two heads that must both be right: accuracy of the answer, of the reason, and of both."""
+    gold = _emb(spark, d).where("label is not null").select("vec_id", F.pmod("label", F.lit(5)).alias("gold"))
+    j = joint_head(spark, d).join(gold, "vec_id").select((F.col("audio") == F.col("gold")).cast("int").alias("a"), (F.col("text") == F.col("gold")).cast("int").alias("r"))
+    return j.agg(F.round(F.avg("a"), 6).alias("qa"), F.round(F.avg("r"), 6).alias("qar"), F.round(F.avg(F.col("a") * F.col("r")), 6).alias("both"), F.count("*").alias("n"))
+
+
+def part_accuracy(spark, d):
+    """Labels as verb * 2 + noun: top-1 and top-5 accuracy of the label, of its verb and of its
+    noun, the last two over different values in order of their first place."""
+    r = V.ranked_labels(_emb(spark, d)).where("label is not null")
+    parts = F.array(F.struct(F.lit("action").alias("part"), F.col("cand").alias("v"), (F.col("cand") == F.col("label")).alias("hit")), F.struct(F.lit("verb").alias("part"), F.floor(F.col("cand") / 2).alias("v"), (F.floor(F.col("cand") / 2) == F.floor(F.col("label") / 2)).alias("hit")), F.struct(F.lit("noun").alias("part"), (F.col("cand") % 2).alias("v"), (F.col("cand") % 2 == F.col("label") % 2).alias("hit")))
+    first = r.select("vec_id", "rank", F.explode(parts).alias("x")).groupBy("vec_id", "x.part", "x.v").agg(F.min("rank").alias("rank"), F.max("x.hit").alias("hit"))
+    place = first.withColumn("k", F.row_number().over(Window.partitionBy("vec_id", "part").orderBy("rank")))
+    best = place.groupBy("vec_id", "part").agg(F.min(F.when(F.col("hit"), F.col("k"))).alias("k"))
+    return best.groupBy("part").agg(F.round(F.avg((F.coalesce(F.col("k"), F.lit(99)) <= 1).cast("int")), 6).alias("top1"), F.round(F.avg((F.coalesce(F.col("k"), F.lit(99)) <= 5).cast("int")), 6).alias("top5"), F.count("*").alias("n"))
+
+
+def dimension_stats(spark, d):
+    """Mean and deviation of each place of the vectors."""
+    rows = _emb(spark, d).where("embedding is not null").select(F.posexplode("embedding").alias("pos", "x"))
+    return rows.groupBy("pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.round(F.stddev_pop(F.col("x").cast("double")), 6).alias("std"))
+
+
 def batch_topk(spark, d):
     """The 20 greatest scores of the whole batch."""
     r = V.ranked_labels(_emb(spark, d)).where("rank = 1").orderBy(F.desc("score"), "vec_id").limit(20)
@@ -117,8 +143,11 @@ y AS (SELECT *, list_transform(ea, lambda z: z / list_sum(ea)) pa, list_transfor
 j AS (SELECT *, [pa[1] + pt[1], pa[2] + pt[2], pa[3] + pt[3], pa[4] + pt[4], pa[5] + pt[5]] b FROM y),
 h AS (SELECT vec_id, label, list_position(a, list_max(a)) - 1 AS audio, list_position(t, list_max(t)) - 1 AS text, list_position(b, list_max(b)) - 1 AS joint FROM j)"""
 
-QUERIES = {f.__name__: f for f in (rank_topk_accuracy, label_space_top5, avg_pairwise_cosine, pair_cosines, class_max_sum, contrastive_loss, masked_loss, one_hot_pool, softmax_argmax, joint_head, accuracy_heads, missing_counts_wrong, distinct_top5, batch_topk)}
+QUERIES = {f.__name__: f for f in (rank_topk_accuracy, label_space_top5, avg_pairwise_cosine, pair_cosines, class_max_sum, contrastive_loss, masked_loss, one_hot_pool, softmax_argmax, joint_head, accuracy_heads, missing_counts_wrong, distinct_top5, batch_topk, qa_pairs, part_accuracy, dimension_stats)}
 SQL = {
+    "qa_pairs": _SM + "SELECT round(avg(CAST(audio = label % 5 AS INT)), 6) AS qa, round(avg(CAST(text = label % 5 AS INT)), 6) AS qar, round(avg(CAST(audio = label % 5 AND text = label % 5 AS INT)), 6) AS both, count(*) AS n FROM h WHERE label IS NOT NULL",
+    "part_accuracy": _RANK + ", x AS (SELECT vec_id, rank, unnest(['action', 'verb', 'noun']) part, unnest([cand, cand // 2, cand % 2]) v, unnest([cand = label, cand // 2 = label // 2, cand % 2 = label % 2]) hit FROM r WHERE label IS NOT NULL), fx AS (SELECT vec_id, part, v, min(rank) rank, bool_or(hit) hit FROM x GROUP BY 1, 2, 3), pl AS (SELECT *, row_number() OVER (PARTITION BY vec_id, part ORDER BY rank) k FROM fx), b AS (SELECT vec_id, part, coalesce(min(k) FILTER (hit), 99) k FROM pl GROUP BY 1, 2) SELECT part, round(avg(CAST(k <= 1 AS INT)), 6) AS top1, round(avg(CAST(k <= 5 AS INT)), 6) AS top5, count(*) AS n FROM b GROUP BY 1",
+    "dimension_stats": _UNIT + "SELECT CAST(pos AS INT) AS pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM (SELECT unnest(v) x, unnest(range(len(v))) pos FROM e) GROUP BY 1",
     "rank_topk_accuracy": _RANK + "SELECT round(100 * avg(CAST(rank <= 1 AS INT)), 3) top1, round(100 * avg(CAST(rank <= 5 AS INT)), 3) top5, round(100 * avg(CAST(rank <= 10 AS INT)), 3) top10, count(*) n FROM r WHERE cand = label",
     "label_space_top5": _RANK + "SELECT vec_id, cand, round(score, 4) AS score, rank FROM r WHERE rank <= 5",
     "avg_pairwise_cosine": _UNIT + ", q AS (SELECT label, count(*) n FROM e GROUP BY 1), c AS (SELECT a.label, avg(list_cosine_similarity(a.v, b.v)) c FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1) SELECT q.label, n, round(c, 6) AS avg_cos, c > 0.9 AS too_alike FROM q LEFT JOIN c USING (label)",
@@ -134,7 +163,7 @@ SELECT r.batch, count(*) AS n, round((avg(r.l - r.o) + any_value(k)) / 2, 5) AS
     "softmax_argmax": _UNIT + ", s AS (SELECT vec_id, v[1:5] a FROM e WHERE len(v) >= 5), x AS (SELECT vec_id, a, list_max(a) m, list_sum(list_transform(a, lambda z: exp(z - list_max(a)))) t FROM s) SELECT vec_id, CAST(list_position(a, m) - 1 AS INT) AS pred, round(1 / t, 6) AS prob, round(-ln(t), 6) AS log_prob FROM x",
     "joint_head": _SM + "SELECT vec_id, CAST(audio AS INT) AS audio, CAST(text AS INT) AS text, CAST(joint AS INT) AS joint FROM h",
     "accuracy_heads": _SM + "SELECT round(avg(CAST(audio = label % 5 AS INT)), 6) AS audio_acc, round(avg(CAST(text = label % 5 AS INT)), 6) AS text_acc, round(avg(CAST(joint = label % 5 AS INT)), 6) AS joint_acc, count(*) AS n FROM h WHERE label IS NOT NULL",
-    "missing_counts_wrong": _RANK + "SELECT round(avg(coalesce(CAST(r.cand = g.label AS INT), 0)), 6) AS accuracy, count(*) AS n FROM embeddings g LEFT JOIN (SELECT * FROM r WHERE rank = 1 AND vec_id % 2 = 0) r ON g.vec_id = r.vec_id",
+    "missing_counts_wrong": _RANK + "SELECT round(avg(coalesce(CAST(r.cand = g.label AS INT), 0)), 6) AS accuracy, count(*) AS n FROM embeddings g LEFT JOIN (SELECT vec_id, arg_min(cand, rank) cand FROM r WHERE rank <= 2 GROUP BY 1 HAVING max(score) - min(score) >= 1) r ON g.vec_id = r.vec_id",
     "distinct_top5": _RANK + ", f AS (SELECT vec_id, cand // 2 AS noun, min(rank) AS first_rank FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY first_rank) k FROM f) SELECT vec_id, CAST(noun AS BIGINT) AS noun, first_rank, k FROM k WHERE k <= 5",
     "batch_topk": _RANK + "SELECT vec_id, cand, round(score, 4) AS score FROM r WHERE rank = 1 ORDER BY r.score DESC, vec_id LIMIT 20",
 }

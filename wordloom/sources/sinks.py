@@ -33,5 +33,23 @@ def write_submission(df: DataFrame, path: str, order: str) -> None:
     df.orderBy(F.split_part(order, F.lit("-"), F.lit(2)).try_cast("int"), order).write.csv(path, header=True)
 
 
+def write_vocabulary(df: DataFrame, path: str, name: str = "word", count: str = "n") -> None:
+    """A vocabulary as one JSON line a word with its number, the most frequent first; equal
+    counts go by the word."""
+    from ..operators.numbering import numbered
+
+    numbered(df.select(name, count), -F.col(count), name, name="id").select(name, "id", count).write.json(path)
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+    """Rows as JSON lines, one folder a split."""
+    df.write.partitionBy(split).json(path)
+
+
+def write_infill(df: DataFrame, path: str, key: str, template: str) -> None:
+    """Infill templates as JSON lines; rows without one are left out."""
+    df.where(F.col(template).isNotNull()).select(key, template).write.json(path)
+
+
 def without_heavy(df: DataFrame, *heavy: str) -> DataFrame:
     return df.drop(*heavy)

@@ -1,21 +1,28 @@
-"""A data source for TFRecord files of tf.train.Example messages, read and write.
-
-Format name "tfrecord". Options: path (a file, directory or glob). The schema's columns
-name features: bigint, float/double, string or binary, and arrays of them. A feature that
-a record lacks is null, or an empty array. Framing and messages are read and written
-here; nothing but the standard library is needed.
+"""TFRecord files of tf.train.Example messages, read and written.
+
+read_records() reads them from any file system Spark knows. As a data source, format name
+"tfrecord", they are read and written on paths that all machines see as folders; options:
+path (a file, directory or glob), check, and default.<column>. The schema's columns name
+features: bigint, float/double, string or binary, and arrays of them. A feature that a
+record lacks is its default, else null, or an empty array. Framing and messages are read and
+written here; nothing but the standard library and Arrow is needed.
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import os
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, StringType, StructType
 
 
 def _crc_table() -> list[int]:
@@ -42,14 +49,21 @@ def masked_crc(data: bytes) -> int:
 def frames(path: str, check: bool = False) -> Iterator[bytes]:
     """The records of a file; a broken tail is an error."""
     with open(path, "rb") as f:
-        while head := f.read(12):
-            n = struct.unpack("<Q", head[:8])[0]
-            data, tail = f.read(n), f.read(4)
-            if len(head) < 12 or len(data) < n or len(tail) < 4:
-                raise ValueError(f"{path} ends inside a record")
-            if check and (masked_crc(head[:8]) != struct.unpack("<I", head[8:])[0] or masked_crc(data) != struct.unpack("<I", tail)[0]):
-                raise ValueError(f"{path} holds a damaged record")
-            yield data
+        yield from frames_of(f, path, check)
+
+
+def frames_of(f: BinaryIO, path: str, check: bool = False) -> Iterator[bytes]:
+    """The records of an open file."""
+    while head := f.read(12):
+        if len(head) < 12:
+            raise ValueError(f"{path} ends inside a record")
+        n = struct.unpack("<Q", head[:8])[0]
+        data, tail = f.read(n), f.read(4)
+        if len(data) < n or len(tail) < 4:
+            raise ValueError(f"{path} ends inside a record")
+        if check and (masked_crc(head[:8]) != struct.unpack("<I", head[8:])[0] or masked_crc(data) != struct.unpack("<I", tail)[0]):
+            raise ValueError(f"{path} holds a damaged record")
+        yield data
 
 
 def frame(data: bytes) -> bytes:
@@ -139,6 +153,58 @@ def make_example(features: dict[str, list]) -> bytes:
     return _part(1, entries)
 
 
+def _cast(text: str, kind: DataType) -> object:
+    """An option's text as a value of a column's type."""
+    if isinstance(kind, (FloatType, DoubleType)):
+        return float(text)
+    return text.encode() if isinstance(kind, BinaryType) else text if isinstance(kind, StringType) else int(text)
+
+
+def row_of(data: bytes, schema: StructType, defaults: dict[str, object]) -> tuple:
+    """A message's features as a row; those it lacks by their defaults."""
+    got, row = parse_example(data), []
+    for f in schema.fields:
+        many = isinstance(f.dataType, ArrayType)
+        kind = f.dataType.elementType if many else f.dataType
+        v = got.get(f.name, [])
+        if isinstance(kind, StringType):
+            v = [x.decode("utf-8", "replace") for x in v]
+        elif isinstance(kind, BinaryType):
+            v = [bytearray(x) for x in v]
+        elif isinstance(kind, (FloatType, DoubleType)):
+            v = [float(x) for x in v]
+        row.append((v or defaults.get(f.name, v)) if many else v[0] if v else defaults.get(f.name))
+    return tuple(row)
+
+
+def read_records(spark: SparkSession, path: str, schema: str, defaults: dict[str, object] | None = None, check: bool = False) -> DataFrame:
+    """The records of the files of a path, on any file system Spark knows. Files come to the
+    workers as bytes and are the unit of parallelism; one of more than 2 GB is an error."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = _parse_datatype_string(schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tfrecord").load(path).select("path", "content")
+    values = dict(defaults or {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(kinds)
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                rows: list[tuple] = []
+                for data in frames_of(io.BytesIO(content.as_py()), name.as_py(), check):
+                    rows.append(row_of(data, kinds, values))
+                    if len(rows) == 1000:
+                        yield _batch(rows, arrow)
+                        rows = []
+                yield _batch(rows, arrow)
+
+    return files.mapInArrow(run, kinds)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bytes(r[i]) if isinstance(r[i], bytearray) else r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _paths(path: str) -> list[str]:
     path = path.removeprefix("file:")
     return sorted(glob.glob(os.path.join(path, "*.tfrecord")) if os.path.isdir(path) else glob.glob(path))
@@ -153,6 +219,8 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
+        wanted = {k.lower()[8:]: v for k, v in options.items() if k.lower().startswith("default.")}
+        self.defaults = {f.name: _cast(wanted[f.name.lower()], f.dataType) for f in schema.fields if f.name.lower() in wanted}
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in _paths(self.options["path"])]
@@ -161,19 +229,7 @@ class _Reader(DataSourceReader):
         if not isinstance(partition, _File):
             return
         for data in frames(partition.path, self.options.get("check", "false") == "true"):
-            got, row = parse_example(data), []
-            for f in self.schema.fields:
-                many = isinstance(f.dataType, ArrayType)
-                kind = f.dataType.elementType if many else f.dataType
-                v = got.get(f.name, [])
-                if isinstance(kind, StringType):
-                    v = [x.decode("utf-8", "replace") for x in v]
-                elif isinstance(kind, BinaryType):
-                    v = [bytearray(x) for x in v]
-                elif isinstance(kind, (FloatType, DoubleType)):
-                    v = [float(x) for x in v]
-                row.append(v if many else v[0] if v else None)
-            yield tuple(row)
+            yield row_of(data, self.schema, self.defaults)
 
 
 class _Written(WriterCommitMessage):
