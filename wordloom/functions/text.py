@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..rand import uniform
+from .arrays import let
 
 # Markup that is dropped, marks whose runs collapse, and symbols spelled out.
 MARKUP = r"<p>|<strong>|><p>|<br>|<em>|<span>|\[unreadable\]"
@@ -35,11 +36,13 @@ _EMOJI = re.compile("[\U0001f300-\U0001faff\u2600-\u27bf]\ufe0f?")
 def repaired_text(c: Column) -> Column:
     """A text whose UTF-8 was read as Windows-1252, once or twice, read again; others and
     those that can't be read again stay. All of it is done by built-in functions."""
-    for _ in range(2):
-        bytes_ = F.translate(c, CP1252, CP1252_AT)
-        broken = c.rlike(r"[\x{c2}-\x{f4}]") & bytes_.rlike(rf"^{_UTF8}*+$")
-        c = F.when(broken, F.decode(F.encode(F.when(broken, bytes_), "ISO-8859-1"), "UTF-8")).otherwise(c)
-    return c
+
+
+    def once(x: Column) -> Column:
+        # Most texts have no character that broken ones begin with.
+        return F.when(x.rlike(r"[\x{c2}-\x{f4}]"), let(F.translate(x, CP1252, CP1252_AT), lambda y: F.when(y.rlike(rf"^{_UTF8}*+$"), F.decode(F.encode(F.when(y.rlike(rf"^{_UTF8}*+$"), y), "ISO-8859-1"), "UTF-8")).otherwise(x))).otherwise(x)
+
+    return let(let(c, once), once)
 
 
 def name_emoji(t: str | None) -> str | None:
@@ -47,15 +50,20 @@ def name_emoji(t: str | None) -> str | None:
     return t and _EMOJI.sub(lambda m: "[" + unicodedata.name(m[0][0], "emoji").lower().replace(" ", "") + "]", t)
 
 
-@F.pandas_udf(StringType())
-def _named(s: pd.Series) -> pd.Series:
-    return s.map(name_emoji, na_action="ignore")
+#: Each emoji and its name, as one text for str_to_map().
+_EMOJI_NAMES = "\n".join(f"{chr(c)}\t{name_emoji(chr(c))}" for r in (range(0x2600, 0x27C0), range(0x1F300, 0x1FB00)) for c in r)
+_ONE_EMOJI = r"([\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}])"
 
 
 def named_emoji(c: Column) -> Column:
-    """Emoji as their names in brackets. Only texts with any leave the JVM."""
-    some = c.rlike(EMOJI)
-    return F.when(some, _named(F.when(some, c))).otherwise(c)
+    """Emoji as their names in brackets: each different one of a text is replaced by its name."""
+    names = F.str_to_map(F.lit(_EMOJI_NAMES), F.lit("\n"), F.lit("\t"))
+
+    def name(x: Column) -> Column:
+        there = F.array_distinct(F.regexp_extract_all(x, F.lit(_ONE_EMOJI), 1))
+        return F.aggregate(there, F.regexp_replace(x, _ONE_EMOJI + r"\x{FE0F}", "$1"), lambda t, e: F.replace(t, e, F.element_at(names, e)))
+
+    return let(c, lambda x: F.when(x.rlike(_ONE_EMOJI), name(x)).otherwise(x))
 
 
 # The usual Latin spelling of letters and signs without a decomposition into one.
@@ -95,11 +103,19 @@ FOLD_FROM, FOLD_TO, FOLD_MANY = fold_table()
 def fold_ascii(c: Column) -> Column:
     """Letters of Latin, Cyrillic and Greek in plain Latin ones, quotes and signs plain,
     brackets, strokes and dashes as blanks. Letters of other scripts stay."""
-    many = c
-    for k, v in FOLD_MANY.items():
-        many = F.replace(many, F.lit(k), F.lit(v))
-    # Most texts have none of the characters that take several letters.
-    return F.translate(F.when(c.rlike("[" + "".join(FOLD_MANY) + "]"), many).otherwise(c), FOLD_FROM, FOLD_TO)
+
+    some = "([" + "".join(FOLD_MANY) + "])"
+    spelled = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in FOLD_MANY.items())), F.lit("\n"), F.lit("\t"))
+
+    def fold(x: Column) -> Column:
+        # Of the characters that take several letters, each that a text has is replaced once.
+        there = F.array_distinct(F.regexp_extract_all(x, F.lit(some), 1))
+        every = F.translate(F.aggregate(there, x, lambda t, k: F.replace(t, k, F.element_at(spelled, k))), FOLD_FROM, FOLD_TO)
+        # A text of ASCII alone needs no look-up of each character.
+        plain = F.replace(F.regexp_replace(x, "[" + re.escape(BLANKED) + "]", " "), F.lit("`"), F.lit("'"))
+        return F.when(x.rlike(r"[^\x00-\x7f]"), every).otherwise(plain)
+
+    return let(c, fold)
 
 
 def collapse_runs(c: Column) -> Column:
@@ -201,8 +217,7 @@ def _spelled(s: pd.Series) -> pd.Series:
 def spelled_numbers(c: Column) -> Column:
     """Money, ordinals, clock times and numbers below 100 in words. Only texts with a digit
     leave the JVM."""
-    some = c.rlike(r"\d")
-    return F.when(some, _spelled(F.when(some, c))).otherwise(c)
+    return F.coalesce(_spelled(let(c, lambda x: F.when(x.rlike(r"\d"), x))), c)
 
 
 def seconds_of_clock(c: Column) -> Column:

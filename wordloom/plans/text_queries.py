@@ -251,7 +251,7 @@ SELECT item_id, CAST(trunc(a / (b + 7) * 100) AS INT) || ' to ' || CAST(trunc(b
     "normalise_words": _WORDS + f" SELECT doc_id, pos, lower(trim(translate(word, '{_Q(T.PUNCTUATION)}', ''))) AS norm FROM w",
     "word_features": _WORDS + f", f AS (SELECT doc_id, pos, CAST(length(word) AS DOUBLE) feat_charlen, CAST({_UP.format('word[1:1]')} AS INT)::DOUBLE feat_is_upper, length(regexp_replace(lower(word), '[^aeiou]', '', 'g'))::DOUBLE feat_num_vowels, len(regexp_extract_all(word, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\p{{Nl}}\\x{{24B6}}-\\x{{24E9}}\\x{{1F130}}-\\x{{1F149}}\\x{{1F150}}-\\x{{1F169}}\\x{{1F170}}-\\x{{1F189}}\\x{{200C}}\\x{{200D}}]'))::DOUBLE feat_num_punct FROM w) SELECT *, " + ", ".join(_LAG.format(c, v) for c, v in (("feat_charlen", "1.0"), ("feat_is_upper", "0.0"), ("feat_num_vowels", "0.0"), ("feat_num_punct", "0.0"))) + " FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
     "token_quality": _WORDS + f", q AS (SELECT doc_id, count(*) n_words, avg(CAST(NOT (length(word) > 1 AND {_UP.format('word')}) AS INT)) g, coalesce(var_samp(length(word)), 0) v FROM w GROUP BY 1) SELECT doc_id, n_words, round(g, 6) AS frac_good, round(v, 6) AS len_var, g < 0.6 OR v > 10 AS dropped FROM q",
-    "clean_subtitle_words": _WORDS + " SELECT doc_id, count(*) AS n FROM w WHERE NOT starts_with(word, '&') AND NOT ends_with(word, ';') AND trim(word) <> '' GROUP BY 1",
+    "clean_subtitle_words": _WORDS + f" SELECT doc_id, count(*) AS n FROM w WHERE NOT starts_with(word, '&') AND NOT ends_with(word, ';') AND regexp_replace({_repair_sql('word')}, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f\\x{{feff}}]', '', 'g') <> '' GROUP BY 1",
     "desc_token_filter": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: NOT (contains(w, '#') OR contains(w, 'http') OR contains(w, '@') OR contains(w, 'www')))[1:100], ' ') AS kept FROM documents WHERE text IS NOT NULL",
     "quality_reason": r"""WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY youtube_id ORDER BY crawled_at DESC) k FROM meta_info) WHERE k = 1)
 SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'no_transcript' WHEN n_chars IS NULL OR n_chars / 2 > 1200 THEN 'video too long' WHEN list_contains(categories, 'Gaming') THEN 'gaming'
