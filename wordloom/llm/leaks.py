@@ -38,7 +38,7 @@ PASSAGE, SCOPE, STRIDE = 24, 36, 12
 #: order, number of rarest terms that are checked, and how many must be there.
 NEAR_COSINE, IN_ORDER, ANSWER, ANSWERED = 0.5, 0.6, 4, 2
 #: Documents of the sample on which the SVD is fitted.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 5_000
 #: Characters of items that one block may hold.
 BLOCK_CHARS = 4_000_000
 #: Words of a document that are searched at a time.
