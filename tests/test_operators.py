@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.arrays import run_lengths_to_spans
 from wordloom.operators import align, captions, evaluation, examples, intervals, masking, numbering, packing, quality, sampling, vectors, words
 from wordloom.operators import segments as S
-from wordloom.operators.running import running
+from wordloom.operators.running import neighbours, running
 from wordloom.rand import uniform
 
 
@@ -358,3 +358,16 @@ def test_gates_of_language_and_sound(spark):
     one = F.lit(1.0)
     gates = quality.crawl_gates(transcript=F.lit("x"), duration=one, categories=F.array(F.lit("A")), density=one * 60, lang=F.col("lang"), cosine=one / 2, objects=one, lang_prob=F.col("p"), audio_streams=F.col("a"))
     assert [r.failreason for r in quality.with_reason(df, gates).collect()] == [None, "maybe not english", "no audio", "no audio"]
+
+
+def test_neighbours(spark):
+    r = random.Random(9)
+    data = [(k, i, r.randrange(99)) for k in ("a", "b", None) for i in r.sample(range(0, 300), 50)] + [("c", 5, 1)]
+    df = spark.createDataFrame(data, "k string, pos int, v int")
+    want = []
+    for k in ("a", "b", None, "c"):
+        mine = sorted(x for x in data if x[0] == k)
+        want += [(*x, mine[i - 1][2] if i else None, mine[i + 1][2] if i + 1 < len(mine) else None) for i, x in enumerate(mine)]
+    for width in (1, 7, 1000):
+        assert rows(neighbours(df, ["k"], ["pos"], F.floor(F.col("pos") / width), ["v"])) == sorted(want, key=str)
+    assert neighbours(df.limit(0), ["k"], ["pos"], F.lit(0), ["v"]).count() == 0

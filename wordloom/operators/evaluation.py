@@ -56,11 +56,11 @@ def visible_pairs(df: DataFrame, record: str, pos: str, source: str, valid: Colu
     return a.join(a.withColumnRenamed("pos_a", "pos_b"), [record, source]).select(record, "pos_a", "pos_b")
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, largest: int = 1_000_000) -> DataFrame:
-    """An equi-join that must match; the table is broadcast where its counted rows allow it.
-    Of several rows of a key the last by all columns counts."""
+def lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """An equi-join that must match; which side is broadcast, if any, is left to the optimiser,
+    which knows their bytes. Of several rows of a key the last by all columns counts."""
     rest = [c for c in table.columns if c != key]
-    one = table.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    small = one.count() <= largest
-    out = df.join(F.broadcast(one) if small else one, key, "left")
-    return out.where(F.coalesce(F.assert_true(F.col(rest[0]).isNotNull(), F.concat(F.lit("no match for "), F.col(key).cast("string"))).isNull(), F.lit(True)))
+    one = table.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest], F.lit(True).alias("_there"))
+    out = df.join(one, key, "left")
+    there = F.assert_true(F.coalesce("_there", F.lit(False)), F.concat(F.lit("no match for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return out.where(F.coalesce(there.isNull(), F.lit(True))).drop("_there")

@@ -32,13 +32,31 @@ def against_labels(queries: DataFrame, labels: DataFrame, q: Column, l: Column,
     return out
 
 
-def ranked_labels(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, cand, score, rank): each vector's labels by falling score; equal
-    scores by label."""
-    protos = prototypes(vectors).select(F.col("label").alias("cand"), "proto")
+def label_rankings(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, ranking): each vector's labels by falling score, equal scores by label, as
+    an array of struct(s, cand), s the negative score. The label space is one row that all
+    vectors see, so a ranking is made inside its vector's row, without a shuffle; more than
+    LABEL_BLOCK labels are an error, for which ranked_labels goes by blocks."""
+    protos = prototypes(vectors).select(F.struct(F.col("label").alias("cand"), "proto").alias("p"))
+    few = F.assert_true(F.count("*") <= LABEL_BLOCK, F.lit("too many labels for one row"))
+    space = protos.agg(F.collect_list("p").alias("space"), few.alias("_few")).where(F.col("_few").isNull()).drop("_few")
     q = vectors.where("embedding is not null").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
-    rows = against_labels(q, protos, F.col("u"), F.col("proto")).drop("u", "proto")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "cand")))
+    ranking = F.array_sort(F.transform("space", lambda p: F.struct((-100.0 * dot(F.col("u"), p["proto"])).alias("s"), p["cand"].alias("cand"))))
+    return q.join(F.broadcast(space), how="cross").select("vec_id", "label", ranking.alias("ranking"))  # with one row
+
+
+def ranked_labels(vectors: DataFrame, most: int | None = None) -> DataFrame:
+    """(vec_id, label, cand, score, rank): each vector's labels by falling score, all or the
+    first `most`; equal scores by label."""
+    r = label_rankings(vectors)
+    first = F.col("ranking") if most is None else F.slice("ranking", 1, most)
+    return r.select("vec_id", "label", F.posexplode(first).alias("pos", "x")).select("vec_id", "label", "x.cand", (-F.col("x.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
+
+
+def own_ranks(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, cand, rank): the rank of each vector's own label; none without one."""
+    r = label_rankings(vectors).where("label is not null")
+    return r.select("vec_id", "label", F.col("label").alias("cand"), F.array_position(F.transform("ranking", lambda x: x["cand"]), F.col("label")).cast("int").alias("rank")).where("rank > 0")
 
 
 def topk_accuracy(ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

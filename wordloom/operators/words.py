@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import let
+from .running import neighbours
 
 
 def split_words(text: Column) -> Column:
@@ -92,17 +93,19 @@ def density_bins(words: DataFrame, key: str, time: Column, width: float) -> Data
     return every.join(count, [key, "bin"], "left").select(key, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def smoothed_bounds(words: DataFrame, key: str, start: str = "start", end: str = "end", start_off: str = "start_off", end_off: str = "end_off", most: float = 0.5) -> DataFrame:
+def smoothed_bounds(words: DataFrame, key: str, start: str = "start", end: str = "end", start_off: str = "start_off", end_off: str = "end_off", most: float = 0.5, order: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
     """Start, end and center moved by offsets that are made consistent: a boundary between
     two words moves by the mean of both sides' offsets, the outer ones by their own, all
-    clipped."""
-    w = Window.partitionBy(key).orderBy("pos")
+    clipped. Words are in the given order (`pos`); `bucket` never falls in it and parts a
+    long video's words."""
+    order = order or ["pos"]
+    near = neighbours(words, [key], order, bucket if bucket is not None else F.floor(F.col(order[0]) / 10_000), [start_off, end_off])
     clip = lambda c: F.greatest(F.least(c, F.lit(most)), F.lit(-most))
-    left = clip(F.coalesce((F.col(start_off) + F.lag(end_off).over(w)) / 2, F.col(start_off)))
-    right = clip(F.coalesce((F.lead(start_off).over(w) + F.col(end_off)) / 2, F.col(end_off)))
-    out = words.withColumn("d_start", left).withColumn("d_end", right)
+    left = clip(F.coalesce((F.col(start_off) + F.col(f"prev_{end_off}")) / 2, F.col(start_off)))
+    right = clip(F.coalesce((F.col(f"next_{start_off}") + F.col(end_off)) / 2, F.col(end_off)))
+    out = near.withColumn("d_start", left).withColumn("d_end", right)
     out = out.withColumn("new_start", F.col(start) + F.col("d_start")).withColumn("new_end", F.col(end) + F.col("d_end"))
-    return out.withColumn("center", (F.col("new_start") + F.col("new_end")) / 2)
+    return out.withColumn("center", (F.col("new_start") + F.col("new_end")) / 2).select(*words.columns, "d_start", "d_end", "new_start", "new_end", "center")
 
 
 def per_token(words: Column, tokens: Column) -> Column:

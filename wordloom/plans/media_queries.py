@@ -53,11 +53,11 @@ def _run(spark, stream, name):
 
 
 def stream_copies(spark, d):
-    """Segments of a stream without those delivered again, by content apart from arrival."""
+    """Segments of a stream without those delivered again, which happens within days."""
     path = f"{d}/segment_k2f.parquet"
     schema = spark.read.parquet(path).schema
     s = spark.readStream.schema(schema).parquet(path + "*").select("record_id", "seg_idx", "arrived_at").withColumn("at", F.col("arrived_at").cast("timestamp"))
-    return _run(spark, ST.without_copies(s, "at", ["record_id", "seg_idx"], "3650 days").select("record_id", "seg_idx"), "copies")
+    return _run(spark, ST.without_copies(s, "at", ["record_id", "seg_idx"], "14 days").select("record_id", "seg_idx"), "copies")
 
 
 def stream_day_counts(spark, d):

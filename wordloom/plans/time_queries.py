@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import segments as S
 from ..operators import words as W
-from ..operators.running import running
+from ..operators.running import neighbours, running
 from ..rand import uniform, uniform_sql
 from ..session import table
 
@@ -98,10 +98,9 @@ def expanded_segments(spark, d):
 
 def boundary_smoothing(spark, d):
     """Events as words that end where the next begins, offsets from the event id."""
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id")
-    e = _events(spark, d).withColumn("pos", F.row_number().over(w)).withColumn("end", F.coalesce(F.lead("sec").over(w), F.col("sec") + 1)).withColumnRenamed("sec", "start")
-    e = e.withColumn("start_off", F.pmod("event_id", F.lit(7)) / 5 - 0.5).withColumn("end_off", F.pmod("event_id", F.lit(11)) / 8 - 0.6)
-    r = W.smoothed_bounds(e, "user_id")
+    e = neighbours(_events(spark, d), ["user_id"], ["sec", "event_id"], F.floor(F.col("sec") / DAY), ["sec"])
+    e = e.select("event_id", "user_id", F.col("sec").alias("start"), F.coalesce("next_sec", F.col("sec") + 1).alias("end"), (F.pmod("event_id", F.lit(7)) / 5 - 0.5).alias("start_off"), (F.pmod("event_id", F.lit(11)) / 8 - 0.6).alias("end_off"))
+    r = W.smoothed_bounds(e, "user_id", order=["start", "event_id"], bucket=F.floor(F.col("start") / DAY))
     return r.select("event_id", F.round("d_start", 6).alias("d_start"), F.round("d_end", 6).alias("d_end"), F.round("center", 6).alias("center"))
 
 

@@ -25,11 +25,11 @@ def _emb(spark, d):
 
 
 def rank_topk_accuracy(spark, d):
-    return V.topk_accuracy(V.ranked_labels(_emb(spark, d)))
+    return V.topk_accuracy(V.own_ranks(_emb(spark, d)))
 
 
 def label_space_top5(spark, d):
-    r = V.ranked_labels(_emb(spark, d)).where("rank <= 5")
+    r = V.ranked_labels(_emb(spark, d), 5)
     return r.select("vec_id", "cand", F.round("score", 4).alias("score"), "rank")
 
 
@@ -94,7 +94,7 @@ def missing_counts_wrong(spark, d):
     """Items without an answer count as wrong: those of which the best label leads by less than
     one point are left unanswered."""
     gold = _emb(spark, d).select("vec_id", "label")
-    two = V.ranked_labels(_emb(spark, d)).where("rank <= 2").groupBy("vec_id").agg(F.min_by("cand", "rank").alias("cand"), (F.max("score") - F.min("score")).alias("lead"))
+    two = V.ranked_labels(_emb(spark, d), 2).groupBy("vec_id").agg(F.min_by("cand", "rank").alias("cand"), (F.max("score") - F.min("score")).alias("lead"))
     ans = two.where("lead >= 1").select("vec_id", "cand")
     return gold.join(ans, "vec_id", "left").agg(F.round(F.avg(F.coalesce((F.col("cand") == F.col("label")).cast("int"), F.lit(0))), 6).alias("accuracy"), F.count("*").alias("n"))
 
@@ -133,7 +133,7 @@ def dimension_stats(spark, d):
 
 def batch_topk(spark, d):
     """The 20 greatest scores of the whole batch."""
-    r = V.ranked_labels(_emb(spark, d)).where("rank = 1").orderBy(F.desc("score"), "vec_id").limit(20)
+    r = V.ranked_labels(_emb(spark, d), 1).orderBy(F.desc("score"), "vec_id").limit(20)
     return r.select("vec_id", "cand", F.round("score", 4).alias("score"))
 
 
