@@ -366,6 +366,12 @@ SQL = {
     "empty_span_repair": _S + " SELECT record_id, seg_idx, CASE WHEN seg_idx % 2 = 0 THEN [1, 2, len(tok_ids) - 3] ELSE [0, 3, len(tok_ids) - 3] END AS lengths FROM s WHERE len(tok_ids) >= 6",
     "neighbour_flags": _S + ", f AS (SELECT record_id, seg_idx, coalesce(len(tok_ids), 0) < 12 AS short FROM s) SELECT *, NOT short AND (coalesce(lag(short) OVER w, false) OR coalesce(lead(short) OVER w, false)) AS next_to FROM f WINDOW w AS (PARTITION BY record_id ORDER BY seg_idx)",
     "mask_growth": _S + ", f AS (SELECT record_id, seg_idx AS pos, len(tok_ids) n, len(tok_ids) < 12 m, start_time a, end_time e FROM s WHERE start_time IS NOT NULL AND end_time IS NOT NULL) SELECT record_id, pos, coalesce(m AND NOT lead(m) OVER w AND lead(n) OVER w > 1 AND lead(a) OVER w + 0.05 - e < 0.1, false) AS takes_right, coalesce(m AND NOT lag(m) OVER w AND lag(n) OVER w > 1 AND a - (lag(e) OVER w - 0.05) < 0.1, false) AS takes_left FROM f WINDOW w AS (PARTITION BY record_id ORDER BY pos)",
+    "truncated_masks": _MASKED + """, o AS (SELECT record_id, seg_idx, list_concat(a, b, c) tok, list_concat(list_transform(a, lambda z: 0), list_transform(b, lambda z: 1), list_transform(c, lambda z: 2)) au FROM t),
+f AS (SELECT *, len(tok) n, greatest(len(tok) - 8, 0) ov, coalesce(list_min(list_filter(range(len(tok)), lambda i: tok[i + 1] IN (3, 4, 5))), len(tok)) first, len(tok) - 1 - coalesce(list_max(list_filter(range(len(tok)), lambda i: tok[i + 1] IN (3, 4))), -1) rhs FROM o),
+g AS (SELECT *, least(ov - least(ov // 2, first), rhs) back FROM f), h AS (SELECT *, least(ov - back, first) front FROM g),
+k AS (SELECT record_id, seg_idx, tok[front + 1:n - back] tok, au[front + 1:n - back] au FROM h),
+w AS (SELECT *, list_transform(list_sort(list_transform(range(len(tok)), lambda i: {'a': (tok[i + 1] NOT IN (3, 4))::INT, 'b': -([0.3, 0.2, 0.1][au[i + 1] + 1])::DOUBLE, 'i': i}))[1:8], lambda x: x.i) keep FROM k)
+SELECT record_id, seg_idx, CASE WHEN len(tok) <= 8 THEN tok ELSE list_filter(tok, lambda z, i: list_contains(keep, i - 1)) END AS tok FROM w""",
     "valid_tokens": _S + rf", v AS (SELECT list(doc_id) ok FROM documents WHERE doc_id > 10 AND doc_id NOT IN {M.BAD_TOKENS} AND regexp_matches(regexp_extract(coalesce(text, ''), '^[^ \t\n\f\r\x0B]*'), '^[A-Za-z0-9'']*$')) SELECT record_id, seg_idx, CAST(len(list_filter(random_text, lambda x: list_contains(ok, x))) AS INT) AS valid, CAST(len(random_text) AS INT) AS n FROM s, v WHERE len(random_text) > 0",
     "grown_spans": _3 + """, z AS (SELECT s.record_id, s.seg_idx, m, [len(spans[1]), len(spans[2]), len(spans[3])] n, list_transform(range(len(tok_ids)), lambda i: (tok_start_times[i + 1]::DOUBLE + tok_end_times[i + 1]::DOUBLE) / 2) c FROM s JOIN sp USING (record_id, seg_idx) WHERE len(tok_start_times) >= len(tok_ids) AND len(tok_end_times) >= len(tok_ids)),
 y AS (SELECT *, coalesce(list_max(c), 0) l, record_id % 2 = 0 r FROM z)""" + _grow("y", "y1", "r") + _grow("y1", "y2", "NOT r") + " SELECT record_id, seg_idx, list_transform(n, lambda x: CAST(x AS INT)) AS lengths FROM y2",
