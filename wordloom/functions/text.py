@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -144,10 +144,11 @@ def clean_text(c: Column) -> Column:
     return collapse_blanks(spell_symbols(collapse_runs(fold_ascii(F.regexp_replace(named_emoji(repaired_text(c)), MARKUP, "")))))
 
 
-def spoken_text(c: Column, seed: int, *keys: Column | str, share: float = 0.5) -> Column:
-    """clean_text, with numbers spelled out in a share of the rows chosen by hash of the keys."""
-    clean = clean_text(c)
-    return F.when(uniform(seed, *keys) > 1 - share, spelled_numbers(clean)).otherwise(clean)
+def spoken_text(df: DataFrame, text: str, name: str, seed: int, *keys: str, share: float = 0.5) -> DataFrame:
+    """df with the column `name`: the clean text, with numbers spelled out in a share of the
+    rows chosen by hash of the keys."""
+    rows = df.withColumn(name, clean_text(F.col(text)))
+    return rows.withColumn(name, F.when(uniform(seed, *keys) > 1 - share, spelled_numbers(F.col(name))).otherwise(F.col(name)))
 
 
 def is_clean(c: Column) -> Column:
@@ -216,8 +217,9 @@ def _spelled(s: pd.Series) -> pd.Series:
 
 def spelled_numbers(c: Column) -> Column:
     """Money, ordinals, clock times and numbers below 100 in words. Only texts with a digit
-    leave the JVM."""
-    return F.coalesce(_spelled(let(c, lambda x: F.when(x.rlike(r"\d"), x))), c)
+    leave the JVM. Give a column, not an expression with lambdas, which Spark can't hand
+    to Python."""
+    return F.coalesce(_spelled(F.when(c.rlike(r"\d"), c)), c)
 
 
 def seconds_of_clock(c: Column) -> Column:
