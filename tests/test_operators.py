@@ -371,3 +371,17 @@ def test_neighbours(spark):
     for width in (1, 7, 1000):
         assert rows(neighbours(df, ["k"], ["pos"], F.floor(F.col("pos") / width), ["v"])) == sorted(want, key=str)
     assert neighbours(df.limit(0), ["k"], ["pos"], F.lit(0), ["v"]).count() == 0
+
+
+def test_rankings_in_rows_and_by_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, r.choice([None, *range(9)]), r.choice([None, [r.uniform(-1, 1) for _ in range(4)]]) if i else None) for i in range(80)], "vec_id int, label int, embedding array<double>")
+    want = rows(vectors.ranked_labels(df, 4).select("vec_id", "cand", F.round("score", 9), "rank"))
+    assert want and rows(vectors.ranked_by_blocks(df, 4).select("vec_id", "cand", F.round("score", 9), "rank")) == want
+    own = {x.vec_id: x.rank for x in vectors.ranked_labels(df).where("cand = label").collect()}
+    assert {x.vec_id: x.rank for x in vectors.own_ranks(df).collect()} == own
+    monkeypatch.setattr(vectors, "LABEL_BLOCK", 4)
+    assert rows(vectors.ranked_by_blocks(df, 4).select("vec_id", "cand", F.round("score", 9), "rank")) == want
+    with pytest.raises(Exception, match="too many labels"):
+        vectors.ranked_labels(df).collect()
+    assert vectors.ranked_labels(df.limit(0)).count() == 0

@@ -36,7 +36,7 @@ def label_rankings(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, ranking): each vector's labels by falling score, equal scores by label, as
     an array of struct(s, cand), s the negative score. The label space is one row that all
     vectors see, so a ranking is made inside its vector's row, without a shuffle; more than
-    LABEL_BLOCK labels are an error, for which ranked_labels goes by blocks."""
+    LABEL_BLOCK labels are an error: ranked_by_blocks takes any number."""
     protos = prototypes(vectors).select(F.struct(F.col("label").alias("cand"), "proto").alias("p"))
     few = F.assert_true(F.count("*") <= LABEL_BLOCK, F.lit("too many labels for one row"))
     space = protos.agg(F.collect_list("p").alias("space"), few.alias("_few")).where(F.col("_few").isNull()).drop("_few")
@@ -53,6 +53,16 @@ def ranked_labels(vectors: DataFrame, most: int | None = None) -> DataFrame:
     return r.select("vec_id", "label", F.posexplode(first).alias("pos", "x")).select("vec_id", "label", "x.cand", (-F.col("x.s")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
+def ranked_by_blocks(vectors: DataFrame, most: int) -> DataFrame:
+    """What ranked_labels gives with `most`, for label spaces of any size: each block of labels
+    gives a vector its best ones, of which the best of all blocks are taken."""
+    protos = prototypes(vectors).select(F.col("label").alias("cand"), "proto")
+    q = vectors.where("embedding is not null").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
+    rows = against_labels(q, protos, F.col("u"), F.col("proto")).drop("u", "proto")
+    # The limit on the rank is taken in each partition before rows are shuffled.
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "cand"))).where(F.col("rank") <= most)
+
+
 def own_ranks(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, cand, rank): the rank of each vector's own label; none without one."""
     r = label_rankings(vectors).where("label is not null")
