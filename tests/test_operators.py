@@ -347,6 +347,10 @@ def test_words_in_a_row(spark):
     q = {r.d: r.q for r in df.select("d", words.row_quality(words.split_words(F.col("t"))).alias("q")).collect()}
     w = {r.d: r for r in words.token_quality(words.words_of(df, "d", "t"), "d").collect()}
     assert q[2] is None and all((q[k].n_words, q[k].frac_good, round(q[k].len_var, 9)) == (w[k].n_words, w[k].frac_good, round(w[k].len_var, 9)) for k in (1, 3))
+    cols = ["d", "pos", "word", *[f"feat_{n}{x}" for n in ("charlen", "is_upper", "num_vowels", "num_punct") for x in ("", "_left", "_right")]]
+    want = words.word_features(words.words_of(df, "d", "t"), "d").select(*cols)
+    got = words.row_features(df.unionByName(spark.createDataFrame([(4, None)], df.schema)), words.split_words(F.col("t")), "d").select(*cols)
+    assert rows(got) == rows(want) and got.count() == 5
     subs = spark.createDataFrame([("&gt;",), ("x;",), ("",), ("\x07",), ("caf\u00c3\u00a9",), (None,)], "word string")
     assert rows(words.clean_subtitles(subs)) == [("caf\u00c3\u00a9",)] and rows(words.clean_subtitles(subs, store_repaired=True)) == [("caf\u00e9",)]
     t = spark.range(1).select(words.per_token(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.array(F.lit(1), F.lit(2)), F.array().cast("array<int>"), F.array(F.lit(3))))).first()[0]

@@ -51,23 +51,19 @@ def clean_subtitles(words: DataFrame, word: str = "word", store_repaired: bool =
     return kept.withColumn(word, fixed) if store_repaired else kept
 
 
-def row_features(words: Column, extra: dict[str, object] | None = None) -> Column:
-    """Of an array of words an array of structs: pos, word and each feature with those of its
-    neighbours, as word_features gives them, without bringing words apart and together.
-    Extra features are functions of a word."""
-    one = {"charlen": F.length, "is_upper": lambda w: T.is_upper(F.substring(w, 1, 1)).cast("int"), "num_vowels": T.vowels, "num_punct": T.marks, **(extra or {})}
-    default = {"charlen": 1.0, "chunklen": 0.1}
-
-    def all_(ws: Column) -> Column:
-        feats = F.transform(ws, lambda w: F.struct(*[f(w).cast("double").alias(n) for n, f in one.items()]))
-
-        def with_neighbours(fs: Column) -> Column:
-            near = lambda i, n: F.coalesce(F.get(fs, i)[n], F.lit(default.get(n, 0.0)))
-            return F.transform(ws, lambda w, i: F.struct(i.alias("pos"), w.alias("word"), *[c for n in one for c in (F.get(fs, i)[n].alias(f"feat_{n}"), near(i - 1, n).alias(f"feat_{n}_left"), near(i + 1, n).alias(f"feat_{n}_right"))]))
-
-        return let(feats, with_neighbours)
-
-    return let(words, all_)
+def row_features(df: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """(keep..., pos, word, features): what word_features gives, from an array of words in each
+    row: features and those of both neighbours are laid side by side before words are brought
+    apart, so nothing is shuffled."""
+    one = {"charlen": F.length, "is_upper": lambda w: T.is_upper(F.substring(w, 1, 1)).cast("int"), "num_vowels": T.vowels, "num_punct": T.marks}
+    default = F.struct(*[F.lit(1.0 if n == "charlen" else 0.0).alias(n) for n in one])
+    rows = df.select(*keep, words.alias("_w")).withColumn("_f", F.transform("_w", lambda w: F.struct(*[f(w).cast("double").alias(n) for n, f in one.items()])))
+    n = F.size("_f")
+    left = F.concat(F.array(default), F.slice("_f", F.lit(1), F.greatest(n - 1, F.lit(0))))
+    right = F.concat(F.slice("_f", F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(default))
+    rows = rows.where("size(_w) > 0").select(*keep, F.posexplode(F.arrays_zip("_w", "_f", left.alias("_l"), right.alias("_r"))).alias("pos", "x"))
+    part = lambda name, field: F.col("x")[name][field]
+    return rows.select(*keep, "pos", F.col("x._w").alias("word"), *[c for k in one for c in (part("_f", k).alias(f"feat_{k}"), part("_l", k).alias(f"feat_{k}_left"), part("_r", k).alias(f"feat_{k}_right"))])
 
 
 def row_quality(words: Column) -> Column:

@@ -73,8 +73,7 @@ def normalise_words(spark, d):
 
 
 def word_features(spark, d):
-    rows = _docs(spark, d).where("text is not null").select("doc_id", F.explode(W.row_features(W.split_words(F.col("text")))).alias("x"))
-    return rows.select("doc_id", "x.*").drop("word")
+    return W.row_features(_docs(spark, d).where("text is not null"), W.split_words(F.col("text")), "doc_id").drop("word")
 
 
 def token_quality(spark, d):
