@@ -225,16 +225,20 @@ class NearIndex:
         self.answer = answer
         self.vector = self._unit(np.array([terms[r].sum(axis=0) for r in self.run]).reshape(-1, terms.shape[1]))
         self.asked = np.zeros(len(terms) + 1, bool)  # the last place is for unknown words
-        for rare in answer:
+        self.askers: dict[int, list[int]] = {}
+        for j, rare in enumerate(answer):
             self.asked[rare] = True
+            for t in rare.tolist():
+                self.askers.setdefault(t, []).append(j)
+        self.least_answer = np.array([min(ANSWERED, len(a)) for a in answer], np.int64)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def candidates(self, ids: np.ndarray, least: float = NEAR_COSINE) -> Iterator[tuple[np.ndarray, int]]:
-        """(document passage, place of the item's passage) of at least the given cosine. Passages
-        without any term that answers hang on could not pass and are left out."""
+        """(document passage, place of the item's passage) of at least the given cosine that also
+        pass the answer check. Passages without the terms it asks for are left out."""
         starts = np.arange(0, max(1, len(ids) - SCOPE + STRIDE), STRIDE)
         known = np.concatenate([[0], np.cumsum(self.asked[ids])])
         ends = np.minimum(starts + SCOPE, len(ids))
@@ -245,13 +249,16 @@ class NearIndex:
             at = starts[block : block + 4096]
             parts = [ids[i : i + SCOPE] for i in at]
             mine = self._unit(np.array([self.terms[p[p >= 0]].sum(axis=0) for p in parts]))
-            for i, j in zip(*np.nonzero(mine @ self.vector.T >= least)):
-                yield parts[i], int(j)
+            near = mine @ self.vector.T >= least
+            for i, p in enumerate(parts):
+                # Of the near ones, those whose rarest terms stand here, by postings of terms.
+                asked = [j for t in set(p[self.asked[p]].tolist()) for j in self.askers[t]]
+                there = np.bincount(np.array(asked, np.int64), minlength=len(self.owner)) >= self.least_answer
+                for j in np.flatnonzero(there & near[i]):
+                    yield p, int(j)
 
     def confirmed(self, part: np.ndarray, j: int) -> float:
-        """The share of the item's passage that stands in order; 0 if a check fails."""
-        if np.isin(self.answer[j], part).sum() < min(ANSWERED, len(self.answer[j])):
-            return 0.0
+        """The share of the item's passage that stands in order; 0 if it is too small."""
         share = common_subsequence(self.run[j], part) / len(self.run[j])
         return share if share >= IN_ORDER else 0.0
 
