@@ -1,6 +1,7 @@
 """Operators on small tables, with the cases worked out by hand."""
 
 import random
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -11,6 +12,7 @@ from wordloom.functions.arrays import run_lengths_to_spans
 from wordloom.operators import align, captions, evaluation, examples, intervals, masking, numbering, packing, quality, sampling, vectors, words
 from wordloom.operators import segments as S
 from wordloom.operators.running import neighbours, running
+from wordloom.plans.record_queries import QUERIES
 from wordloom.rand import uniform
 
 
@@ -284,6 +286,28 @@ def test_valid_tokens(spark):
         masking.valid_table(v, 1)
 
 
+def test_valid_tokens_of_a_vocabulary_of_any_size(spark):
+    B = 1 << masking.BLOCK
+    v = spark.createDataFrame([(11, "a b"), (11, "a b"), (12, "a-b"), (149, "x"), (5, "y"), (13, "it's"), (14, None), (63, "z"), (64, "z"), (B - 1, ""), (B, "b"), (3 * B + 127, "c"), (2**31 - 1, "d"), (2**40 + 15, "e"), (None, "f")], "id bigint, text string")
+    arrays = [[5, 11, 12, 13, 14, 149, 999, -1], [], None, [None, B, 11, None, B - 1, B, 63], [3 * B + 127, 64, 2**31 - 1, 2 * B + 11, 15, 65], [3, 149]]
+    df = spark.createDataFrame([(None if i == 3 else i, a) for i, a in enumerate(arrays)], "k int, t array<int>")
+    want = [(0, 8, [11, 13]), (1, 0, []), (2, None, None), (None, 7, [B, 11, B - 1, B, 63]), (4, 6, [3 * B + 127, 64, 2**31 - 1]), (5, 2, [])]
+    for few in (0, 100):
+        assert rows(masking.valid_by_blocks(df, ["k"], "t", v, few)) == sorted(want, key=str)
+    assert masking.valid_by_blocks(df.limit(0), ["k"], "t", v).count() == 0
+    assert rows(masking.valid_by_blocks(df, ["k"], "t", v.limit(0))) == sorted([(k, n, None if n is None else []) for k, n, _ in want], key=str)
+    many = spark.range(1_000_200).selectExpr("id", "'w' as text")  # more ids than a table may have
+    assert rows(masking.valid_by_blocks(df, ["k"], "t", many).where("k = 0")) == [(0, 8, [11, 12, 13, 14, 999])]
+
+
+def test_query_of_valid_tokens_takes_a_large_vocabulary(spark, tmp_path):
+    spark.range(1_000_200).selectExpr("id as doc_id", "if(id = 20, 'no-word', 'word and more') as text").write.parquet(f"{tmp_path}/documents.parquet")
+    cols = "record_id bigint, seg_idx int, youtube_id string, video_src_index int, start_time double, end_time double, playback_speed double, tok_ids array<int>, tok_start_times array<double>, tok_end_times array<double>, title array<int>, tags array<int>, random_text array<int>, arrived_at timestamp_ntz"
+    seg = [(1, k, "v", 0, 0.0, 1.0, 1.0, [], [], [], [], [], t, datetime(2022, 1, 1)) for k, t in enumerate([[5, 20, 21, 21, 1_000_199, 1_000_200], [20], [], None])]
+    spark.createDataFrame(seg, cols).write.parquet(f"{tmp_path}/segment_k2f.parquet")
+    assert rows(QUERIES["valid_tokens"](spark, str(tmp_path))) == [(1, 0, 3, 6), (1, 1, 0, 1)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=40), st.integers(2, 16), st.integers(1, 10), st.integers(0, 9))
 def test_groups_with_draws_are_full_and_disjoint(counts, size, most, seed):

@@ -14,6 +14,10 @@ from ..rand import uniform
 SPAN_WEIGHTS = (0.03233136, 0.05236081, 0.08763368, 0.11757072, 0.13737426, 0.13717706, 0.12541218, 0.10262764, 0.0771088, 0.05364242, 0.0342899, 0.0203823, 0.01177542, 0.00664939, 0.00366406)
 # Fixed value: token ids that never count as valid.
 BAD_TOKENS = (149, 4858, 9504, 15162, 22312, 22433, 32156)
+#: Bits of an id within its block of the vocabulary: 32768 ids, 4 KB.
+BLOCK = 15
+#: Blocks of the vocabulary up to which their bits are broadcast (32 MB); the rows are the same either way.
+FEW_BLOCKS = 8192
 #: Tokens that stand for one audio span.
 AUDIO_TOKENS = 6
 
@@ -211,10 +215,54 @@ def valid_token(t: Column) -> Column:
     return (t > 10) & ~t.isin(*BAD_TOKENS)
 
 
+def valid_ids(vocabulary: DataFrame) -> DataFrame:
+    """(id): the valid ids of a vocabulary (id, text), each at least once: valid_token(), and the
+    text has only letters, digits, blanks and apostrophes."""
+    return vocabulary.where(valid_token(F.col("id")) & F.col("text").rlike(r"^[ A-Za-z0-9']*$")).select(F.col("id").cast("bigint").alias("id"))
+
+
+def valid_blocks(vocabulary: DataFrame) -> DataFrame:
+    """(block, bits): the valid ids that an int can hold as bits of 64-bit words, 2**BLOCK ids a
+    row; blocks without a valid id have no row. That is 4 KB a row and 65536 rows at most."""
+    bit = F.expr("shiftleft(1L, cast(id & 63 as int))")
+    words = valid_ids(vocabulary).where(F.col("id") < 1 << 31).groupBy(F.shiftright("id", 6).alias("w")).agg(F.bit_or(bit).alias("b"))
+    n = 1 << BLOCK - 6
+    held = F.map_from_entries(F.collect_list(F.struct((F.col("w") % n).cast("int").alias("k"), "b")))  # n entries at most
+    blocks = words.groupBy(F.shiftright("w", BLOCK - 6).alias("block")).agg(held.alias("m"))
+    return blocks.select("block", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0).cast("bigint"))).alias("bits"))
+
+
+def valid_by_blocks(rows: DataFrame, keys: list[str], tokens: str, vocabulary: DataFrame, few: int = FEW_BLOCKS) -> DataFrame:
+    """(keys, n, valid): how many tokens (array of int) each row has and which of them are valid, in
+    order and as often as they stand there. The keys tell the rows apart, null ones too.
+
+    For vocabularies of any size: each row's tokens are joined to the blocks they lie in. Up to
+    `few` blocks are broadcast, so that a block that holds most tokens is spread as the rows are;
+    more of them are sorted and merged, where skew handling splits such a block. Ids that the
+    vocabulary has not and null tokens are not valid; a null array gives null for both, an empty
+    one 0 and an empty one.
+    """
+    blocks = valid_blocks(vocabulary)
+    used = valid_ids(vocabulary).where(F.col("id") < 1 << 31).select(F.shiftright("id", BLOCK)).distinct().count()
+    blocks = blocks.hint("broadcast" if used <= few else "merge")
+    # A token and its place in one number, so that those of several blocks can be put in order.
+    packed = F.transform(F.filter(tokens, valid_token), lambda t, i: F.shiftleft(i.cast("bigint"), 32) + t)
+    token = lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF))
+    block = lambda p: F.shiftright(token(p), BLOCK)
+    parts = rows.select(*keys, F.when(F.col(tokens).isNotNull(), F.size(tokens)).alias("n"), packed.alias("_p"))
+    parts = parts.select("*", F.explode_outer(F.array_distinct(F.transform("_p", block))).alias("block"))
+    parts = parts.withColumn("_p", F.filter("_p", lambda p: block(p) == F.col("block")))
+    word = lambda p: F.get("bits", F.shiftright(token(p), 6).bitwiseAND(F.lit((1 << BLOCK - 6) - 1)).cast("int"))
+    known = lambda p: F.getbit(word(p), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+    found = parts.join(blocks, "block", "left").select(*keys, "n", F.filter("_p", known).alias("_p"))
+    whole = F.transform(F.sort_array(F.flatten(F.collect_list("_p"))), lambda p: token(p).cast("int"))  # one row's tokens
+    return found.groupBy(*keys, "n").agg(whole.alias("valid")).withColumn("valid", F.when(F.col("n").isNotNull(), F.col("valid")))
+
+
 def valid_table(vocabulary: DataFrame, most: int = 1_000_000) -> np.ndarray:
-    """Whether each id of a vocabulary (id, text) is valid: valid_token(), and its text has only
-    letters, digits, blanks and apostrophes. A vocabulary of more than `most` ids is an error."""
-    good = vocabulary.where(valid_token(F.col("id")) & F.col("text").rlike(r"^[ A-Za-z0-9']*$")).select("id").distinct()
+    """Whether each id of a vocabulary (id, text) is valid, as valid_ids() says. A vocabulary of
+    more than `most` ids is an error; valid_by_blocks() takes those."""
+    good = valid_ids(vocabulary).distinct()
     ids = [r[0] for r in good.limit(most + 1).collect()]
     if len(ids) > most or max(ids, default=0) > most * 10:
         raise ValueError(f"a vocabulary of more than {most} ids")

@@ -178,9 +178,8 @@ def valid_tokens(spark, d):
     """Tokens of random texts that are valid; the vocabulary has the first word of document n
     as token n."""
     vocabulary = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^(\S*)", 1).alias("text"))
-    keep = M.valid_tokens(F.col("random_text"), M.valid_table(vocabulary))
     s = _seg(spark, d).where("size(random_text) > 0")
-    return s.select("record_id", "seg_idx", F.size(keep).alias("valid"), F.size("random_text").alias("n"))
+    return M.valid_by_blocks(s, ["record_id", "seg_idx"], "random_text", vocabulary).select("record_id", "seg_idx", F.size("valid").alias("valid"), "n")
 
 
 def header_tokens(spark, d):
