@@ -90,6 +90,18 @@ def test_lines_with_changing_parts_are_removed_as_templates(spark):
     assert lines.repeated_lines(s, m).count() == 0
 
 
+def test_repeated_lines_are_counted_without_the_tree(spark, monkeypatch):
+    s = seg(spark, [(f"v{i}", f"Same line!\nPart {x} of the show\nTwice, in one text\nsame LINE") for i, x in enumerate("abcdef")] + [("v6", "Rare\nrare"), ("v7", "same line")])
+    m = meta(spark, videos(7) + [("v7", "other", 1.0, 1.0, None, T0)])
+    of_tree = rows(lines.template_lines(s, m).select("youtube_id", "line_no"))
+    monkeypatch.delattr(lines, "parsed")
+    got = rows(lines.repeated_lines(s, m).select("youtube_id", "line_no"))
+    assert got == sorted((f"v{i}", k) for i in range(6) for k in (1, 3, 4))
+    assert of_tree == sorted(got + [(f"v{i}", 2) for i in range(6)])  # what only the tree finds
+    clean = dict(rows(lines.without_repeated_lines(s, m).select("youtube_id", "description")))
+    assert clean["v0"] == "Part a of the show" and clean["v6"] == "Rare\nrare" and clean["v7"] == "same line"
+
+
 def test_latest_channel_counts(spark):
     m = meta(spark, [("v0", "c", 1.0, 1.0, None, T0), ("v0", " \t", 1.0, 1.0, None, T1)] + videos(5)[1:])
     s = seg(spark, [(f"v{i}", "same") for i in range(5)])
