@@ -18,6 +18,8 @@ BAD_TOKENS = (149, 4858, 9504, 15162, 22312, 22433, 32156)
 BLOCK = 15
 #: Blocks of the vocabulary up to which their bits are broadcast (32 MB); the rows are the same either way.
 FEW_BLOCKS = 8192
+#: Parts of a block's rows where blocks are not broadcast.
+SALTS = 16
 #: Tokens that stand for one audio span.
 AUDIO_TOKENS = 6
 
@@ -238,13 +240,12 @@ def valid_by_blocks(rows: DataFrame, keys: list[str], tokens: str, vocabulary: D
 
     For vocabularies of any size: each row's tokens are joined to the blocks they lie in. Up to
     `few` blocks are broadcast, so that a block that holds most tokens is spread as the rows are;
-    more of them are sorted and merged, where skew handling splits such a block. Ids that the
-    vocabulary has not and null tokens are not valid; a null array gives null for both, an empty
-    one 0 and an empty one.
+    more of them are sorted and merged, each once a salt of the rows, and skew handling splits a
+    salt that is still too large. Ids that the vocabulary has not and null tokens are not valid;
+    a null array gives null for both, an empty one 0 and an empty one.
     """
     blocks = valid_blocks(vocabulary)
     used = valid_ids(vocabulary).where(F.col("id") < 1 << 31).select(F.shiftright("id", BLOCK)).distinct().count()
-    blocks = blocks.hint("broadcast" if used <= few else "merge")
     # A token and its place in one number, so that those of several blocks can be put in order.
     packed = F.transform(F.filter(tokens, valid_token), lambda t, i: F.shiftleft(i.cast("bigint"), 32) + t)
     token = lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -254,7 +255,13 @@ def valid_by_blocks(rows: DataFrame, keys: list[str], tokens: str, vocabulary: D
     parts = parts.withColumn("_p", F.filter("_p", lambda p: block(p) == F.col("block")))
     word = lambda p: F.get("bits", F.shiftright(token(p), 6).bitwiseAND(F.lit((1 << BLOCK - 6) - 1)).cast("int"))
     known = lambda p: F.getbit(word(p), p.bitwiseAND(F.lit(63)).cast("int")) == 1
-    found = parts.join(blocks, "block", "left").select(*keys, "n", F.filter("_p", known).alias("_p"))
+    if used <= few:
+        joined = parts.join(F.broadcast(blocks), "block", "left")
+    else:
+        salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+        salted = blocks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = parts.withColumn("_s", salt).join(salted.hint("merge"), ["block", "_s"], "left")
+    found = joined.select(*keys, "n", F.filter("_p", known).alias("_p"))
     whole = F.transform(F.sort_array(F.flatten(F.collect_list("_p"))), lambda p: token(p).cast("int"))  # one row's tokens
     return found.groupBy(*keys, "n").agg(whole.alias("valid")).withColumn("valid", F.when(F.col("n").isNotNull(), F.col("valid")))
 
